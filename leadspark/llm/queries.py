@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadspark.llm import fingerprint, near_dedup, packing
+from leadspark.llm import fingerprint, near_dedup, packing, repeated_spans, secret_scan, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,17 +15,32 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), packing.tokenizer_path())
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(_documents(spark, sf_dir))
+
+
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans.remove_repeats(_documents(spark, sf_dir))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_groups(_documents(spark, sf_dir))
 
 
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.balanced_shards(_documents(spark, sf_dir))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(_documents(spark, sf_dir))
 
 
 QUERIES = {
     "op1_pack": op1_pack,
+    "op2_secrets": op2_secrets,
+    "op3_repeats": op3_repeats,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_shards": op9_shards,
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLES: dict[str, str] = {}

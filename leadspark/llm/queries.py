@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadspark.llm import fingerprint, near_dedup, packing, repeated_spans, secret_scan, sharding
+from leadspark.llm import decontaminate, fingerprint, near_dedup, packing, quality, repeated_spans, secret_scan, sharding, toxicity, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,25 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans.remove_repeats(_documents(spark, sf_dir))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality.score_quality(docs, quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filter.filter_captures(url_filter.derived_captures(pages), url_filter.derived_entries(pages))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_groups(_documents(spark, sf_dir))
 
@@ -39,8 +58,12 @@ QUERIES = {
     "op1_pack": op1_pack,
     "op2_secrets": op2_secrets,
     "op3_repeats": op3_repeats,
+    "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
+    "op6_leaks": op6_leaks,
+    "op7_url_lists": op7_url_lists,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_shards": op9_shards,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_url_lists": url_filter.SQL}

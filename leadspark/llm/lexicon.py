@@ -1,9 +1,9 @@
 """A lexicon trie and the Levenshtein automaton that walks it.
 
-Terms are stems: a word matches a term if some beginning of it is within the allowed number of edits.
-The automaton runs over all terms at once; a state is the set of (trie node, edits) pairs that a
-word's letters so far can reach. States and moves are made when first met and kept, and most words
-reach the empty state after three or four letters.
+The trie holds stems, which match every word that begins with them, and whole terms, which match
+words within the allowed number of edits. The automaton runs over all of them at once; a state is the
+set of (trie node, edits) pairs that a word's letters so far can reach. States and moves are made
+when first met and kept, and most words reach the empty state after three or four letters.
 """
 
 from __future__ import annotations
@@ -16,30 +16,32 @@ EXACT, FUZZY = 1, 2
 
 
 class LexiconTrie:
-    def __init__(self, terms: list[str]) -> None:
+    def __init__(self, stems: list[str], terms: list[str] = ()) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.length: list[int] = [0]
-        self.term: list[bool] = [False]
-        for term in sorted(terms):
-            node = 0
-            for ch in term:
-                if ch not in self.children[node]:
-                    self.children[node][ch] = len(self.children)
-                    self.children.append({})
-                    self.length.append(self.length[node] + 1)
-                    self.term.append(False)
-                node = self.children[node][ch]
-            self.term[node] = True
+        self.stems = {self._add(stem) for stem in sorted(stems)}
+        self.terms = {self._add(term) for term in sorted(terms)}
+
+    def _add(self, word: str) -> int:
+        node = 0
+        for ch in word:
+            if ch not in self.children[node]:
+                self.children[node][ch] = len(self.children)
+                self.children.append({})
+                self.length.append(self.length[node] + 1)
+            node = self.children[node][ch]
+        return node
 
 
 class LevenshteinAutomaton:
-    """Deterministic matcher of word beginnings against a trie, with one edit in longer terms."""
+    """Deterministic matcher of words against a trie, with edits allowed in longer whole terms."""
 
     def __init__(self, trie: LexiconTrie, edits: int = 1, least_fuzzy: int = 5) -> None:
         self.trie, self.edits, self.least = trie, edits, least_fuzzy
         self.names: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
-        self.found: list[int] = []
+        self.begins: list[bool] = []
+        self.ends: list[int] = []
         self.moves: dict[tuple[int, str], int] = {}
         self.start = self._state(self._closed({(0, 0)}))
 
@@ -61,8 +63,9 @@ class LevenshteinAutomaton:
         if pairs not in self.names:
             self.names[pairs] = len(self.sets)
             self.sets.append(pairs)
-            ends = [e for node, e in pairs if self.trie.term[node] and (e == 0 or self.trie.length[node] >= self.least)]
-            self.found.append(NO_MATCH if not ends else EXACT if min(ends) == 0 else FUZZY)
+            self.begins.append(any(e == 0 and node in self.trie.stems for node, e in pairs))
+            ends = [e for node, e in pairs if node in self.trie.terms and (e == 0 or self.trie.length[node] >= self.least)]
+            self.ends.append(NO_MATCH if not ends else EXACT if min(ends) == 0 else FUZZY)
         return self.names[pairs]
 
     def _move(self, state: int, ch: str) -> int:
@@ -80,16 +83,14 @@ class LevenshteinAutomaton:
         return self.moves[key]
 
     def match(self, word: str) -> int:
-        state, best = self.start, NO_MATCH
+        state = self.start
         for ch in word:
-            state = self.moves.get((state, ch), -1) if (state, ch) in self.moves else self._move(state, ch)
-            kind = self.found[state]
-            if kind == EXACT:
+            state = self.moves[state, ch] if (state, ch) in self.moves else self._move(state, ch)
+            if self.begins[state]:
                 return EXACT
-            best = best or kind
             if not self.sets[state]:
-                break
-        return best
+                return NO_MATCH
+        return self.ends[state]
 
 
 class WordMatcher(dict):

@@ -1,8 +1,8 @@
 """Toxicity scores from a learned lexicon, misspellings included, and the context of each hit.
 
-The lexicon is learned from training labels: word beginnings that toxic documents hold far more
-often than others. A Levenshtein automaton walks its trie over every word of every whole text, so
-terms with one letter changed, added or left out are caught too. A window of tokens around a hit
+The lexicon is learned from training labels: word beginnings and whole words that toxic documents
+hold far more often than others. A Levenshtein automaton walks its trie over every word of every
+whole text, so whole words with one letter changed, added or left out are caught too. A window of tokens around a hit
 tells quotation (quotation marks or words of reporting nearby) from abuse. A logistic regression on
 counts of the four kinds of hit gives the document's score.
 """
@@ -21,29 +21,46 @@ FOLDS, HELD_OUT = 3, 1
 #: Labelled rows that the lexicon and the weights are fitted on, at most.
 FIT_ROWS = 8_000
 STEM_LENGTHS = (4, 5, 6, 7, 8)
-LEAST_DOCS, LEAST_RATIO = 6, 30.0
+LEAST_DOCS, LEAST_RATIO = 8, 30.0
 WINDOW = 6
 QUOTES = ('"', "“", "”", "„", "«", "»")
 REPORTING = {"said", "says", "wrote", "writes", "quoted", "quote", "called", "according", "dijo", "dit", "sagte"}
 
 
-def learn_stems(sample: DataFrame) -> list[str]:
-    """Shortest word beginnings (or whole words) that mark toxic documents of the sample."""
+def one_of_each_copy(sample: DataFrame) -> DataFrame:
+    """One row of every set of near copies, found by two minimum hashes over word triples.
+
+    Copies of one toxic document would otherwise make all of its words look toxic.
+    """
+    words = F.split(F.lower("text"), r"\s+")
+    rows = sample.withColumn("_w", words)
+    triples = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - 2)), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, F.lit(3)), " ")))
+    rows = rows.withColumn("_t", triples)
+    for salt in (1, 2):
+        sign = F.array_min(F.transform("_t", lambda h: F.xxhash64(h, F.lit(salt))))
+        rows = rows.groupBy(sign.alias("_s")).agg(F.min_by(F.struct("doc_id", "text", "label", "_t"), "doc_id").alias("r")).select("r.*")
+    return rows.drop("_t")
+
+
+def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
+    """Shortest word beginnings that mark toxic documents of the sample, and whole words that do."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))
-    stems = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array_compact(F.array(F.concat(w, F.lit("$")), *[F.when(F.char_length(w) >= n, F.substring(w, 1, n)) for n in STEM_LENGTHS])))))
+    beginnings = F.transform(words, lambda w: F.array_compact(F.array(F.concat(w, F.lit("$")), *[F.when(F.char_length(w) >= n, F.substring(w, 1, n)) for n in STEM_LENGTHS])))
+    sample = one_of_each_copy(sample).cache()
     total = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = total.get(1, 0), total.get(0, 0)
     if not bad or not good:
-        return []
-    counts = sample.select("label", F.explode(stems).alias("stem")).groupBy("stem").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
+        return [], []
+    counts = sample.select("label", F.explode(F.array_distinct(F.flatten(beginnings))).alias("stem"))
+    counts = counts.groupBy("stem").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
     ratio = (F.col("bad") / bad) / ((F.col("good") + 0.5) / good)
-    marked = sorted((r["stem"] for r in counts.where((F.col("bad") >= LEAST_DOCS) & (ratio >= LEAST_RATIO)).collect()), key=len)
-    kept: list[str] = []
+    marked = sorted((r["stem"] for r in counts.where((F.col("bad") >= LEAST_DOCS) & (ratio >= LEAST_RATIO)).collect()), key=lambda x: (len(x), x))
+    sample.unpersist()
+    stems: list[str] = []
     for stem in marked:
-        plain = stem.rstrip("$")
-        if not any(plain.startswith(k) for k in kept):
-            kept.append(plain)
-    return kept
+        if stem[-1] != "$" and not any(stem.startswith(k) for k in stems):
+            stems.append(stem)
+    return stems, [m[:-1] for m in marked if m[-1] == "$"]
 
 
 def hit_counts(text: str, matcher: WordMatcher) -> tuple[int, int, int, int, int]:
@@ -68,9 +85,9 @@ def features(counts: np.ndarray) -> np.ndarray:
     return np.hstack([np.log1p(hits), np.minimum(hits, 1), np.minimum(density, 5)])
 
 
-def _count_batches(stems: list[str], weights: np.ndarray | None):
+def _count_batches(lexicon: tuple[list[str], list[str]], weights: np.ndarray | None):
     def run(batches):
-        matcher = WordMatcher(LevenshteinAutomaton(LexiconTrie(stems)))
+        matcher = WordMatcher(LevenshteinAutomaton(LexiconTrie(*lexicon)))
         for batch in batches:
             counts = np.array([hit_counts(t.as_py() or "", matcher) for t in batch.column(1)], np.int64).reshape(-1, 5)
             if weights is None:
@@ -83,33 +100,34 @@ def _count_batches(stems: list[str], weights: np.ndarray | None):
     return run
 
 
+Model = tuple[tuple[list[str], list[str]], np.ndarray]
 COUNT_SCHEMA = "doc_id long, tokens long, abuse long, abuse_misspelled long, quoted long, quoted_misspelled long"
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """(stems, weights) from at most ``rows`` labelled training documents; score 0.5 without any."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
+    """(lexicon, weights) from at most ``rows`` labelled training documents; score 0.5 without any."""
     sample = training_sample(docs, labels, "toxic", FOLDS, HELD_OUT, rows).cache()
-    stems = learn_stems(sample)
-    counted = sample.select("doc_id", "text").mapInArrow(_count_batches(stems, None), COUNT_SCHEMA).join(sample.select("doc_id", "label"), "doc_id").toPandas()
+    lexicon = learn_lexicon(sample)
+    counted = sample.select("doc_id", "text").mapInArrow(_count_batches(lexicon, None), COUNT_SCHEMA).join(sample.select("doc_id", "label"), "doc_id").toPandas()
     sample.unpersist()
     x = features(counted[["tokens", "abuse", "abuse_misspelled", "quoted", "quoted_misspelled"]].to_numpy())
-    return stems, fit_logistic(x, counted["label"].to_numpy(float))
+    return lexicon, fit_logistic(x, counted["label"].to_numpy(float))
 
 
-def score_toxicity(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``; a null text is empty."""
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_count_batches(*model), "doc_id long, score double")
     return scored.select("doc_id", (fold(FOLDS) == HELD_OUT).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
-def keep_clean(docs: DataFrame, model: tuple[list[str], np.ndarray], limit: float = 0.7) -> DataFrame:
+def keep_clean(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
     """Rows of ``docs`` whose text scores below ``limit``, columns unchanged."""
-    stems, weights = model
+    lexicon, weights = model
     schema = docs.schema
     at = docs.columns.index("text")
 
     def run(batches):
-        matcher = WordMatcher(LevenshteinAutomaton(LexiconTrie(stems)))
+        matcher = WordMatcher(LevenshteinAutomaton(LexiconTrie(*lexicon)))
         for batch in batches:
             counts = np.array([hit_counts(t.as_py() or "", matcher) for t in batch.column(at)], np.int64).reshape(-1, 5)
             yield batch.filter(pa.array(apply_logistic(features(counts), weights) < limit))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadspark.functions.columns import cosine, payload_key, record_key, row_id, shorten, slug, title_case, weather_type, without_contact_data
-from leadspark.operators import dedup, disruption, leads, metrics, model_steps, prescore, vectors
+from leadspark.operators import dedup, disruption, leads, metrics, model_steps, normalize, prescore, vectors
 from leadspark.plans import views
 from leadspark.sources import feeds, pages, reports
 
@@ -392,3 +392,110 @@ def digest_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     blank = {c: F.lit("") for c in ("contractor", "applicant", "source_url", "general_contractor", "suggested_outreach_timing", "notes", "project_type", "priority_reason")}
     full = rows.withColumns({**blank, "project_value": F.lit(0).cast("bigint"), "estimated_crew_size": F.lit(0), "estimated_duration_months": F.lit(0), "out_of_town_crew_likely": F.lit(False), "id": F.col("id").cast("string"), "raw_input_id": F.col("raw_input_id").cast("string")})
     return leads.digest_message(full, F.lit("2024-03-31").cast("date"), limit=100)
+
+
+# Records written in a source's form and parsed back ---------------------------------------------------
+
+
+@register("column_report_records", "SELECT p_partkey AS doc_id, 'BP' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS permit_number, upper(p_name) AS builder, CAST('2024-03-' || lpad(CAST(p_partkey % 28 + 1 AS VARCHAR), 2, '0') AS DATE) AS issue_date, CAST(floor(p_retailprice) AS BIGINT) * 1000 AS value, p_type || ' - NORTH' AS type_raw, lower(p_type) AS type_prefix, p_brand AS civic_address FROM part")
+def column_report_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = (F.col("p_partkey") % 28 + 1).cast("string")
+    head = F.concat(F.lit("Mar "), day, F.lit(", 2024  BP"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit(" "), F.upper("p_name"), F.lit("   120.00   "), F.floor("p_retailprice").cast("string"), F.lit(",000.00"))
+    lines = [head, F.concat(F.lit("  Type "), F.col("p_type"), F.lit(" - NORTH")), F.lit("  Civic Address: "), F.concat(F.lit("  Civic Address: "), F.col("p_brand"))]
+    docs = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.array_join(F.array(*lines), "\n").alias("value"))
+    return reports.column_records(reports.document_lines(docs, trim=False)).select("doc_id", "permit_number", "builder", "issue_date", "value", "type_raw", "type_prefix", "civic_address")
+
+
+@register("permit_projects", "SELECT 'column_permits' AS source, 'BP' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS external_id, p_type || ' - NORTH — ' || p_brand AS title, p_brand || ', Delta BC' AS location, sha256('column_permits|BP' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') || '|' || p_brand || '|2024-03-' || lpad(CAST(p_partkey % 28 + 1 AS VARCHAR), 2, '0')) AS hash FROM part WHERE CAST(floor(p_retailprice) AS BIGINT) * 1000 > 920000 AND lower(p_type) IN ('large', 'small')")
+def permit_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = prescore.relevant_permits(column_report_records(spark, sf_dir).withColumn("purpose", F.lit("")), ["large", "small"], 920_000, "type_prefix")
+    return normalize.column_permit_projects(records).select("source", "external_id", "title", "location", "hash")
+
+
+@register("award_notices", "SELECT CAST(o_orderkey AS VARCHAR) AS external_id, o_orderpriority AS title, CAST(floor(o_totalprice) AS BIGINT) AS value, CAST(o_orderdate AS DATE) AS issued_at, sha256('awards|' || CAST(o_orderkey AS VARCHAR) || '|' || o_orderpriority || '|') AS hash FROM orders")
+def award_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as JSON award notices; every other value is a dollar text."""
+    value = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit('"$'), F.format_number(F.floor("o_totalprice"), 0), F.lit('.00"'))).otherwise(F.floor("o_totalprice").cast("string"))
+    text = F.concat(F.lit('[{"opportunity_id":"'), F.col("o_orderkey").cast("string"), F.lit('","title":"'), F.col("o_orderpriority"), F.lit('","value":'), value, F.lit(',"award_date":"'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('"},{"title":"no id"}]'))
+    records, _ = feeds.award_notices(views.table(spark, sf_dir, "orders").select(text.alias("value")))
+    return records.select("external_id", "title", "value", "issued_at", "hash")
+
+
+@register("feed_items", "SELECT CASE WHEN c_custkey % 2 = 0 THEN 'g' || CAST(c_custkey AS VARCHAR) ELSE 'http://news/' || CAST(c_custkey AS VARCHAR) END AS external_id, c_name AS title, sha256('news:' || CASE WHEN c_custkey % 2 = 0 THEN 'g' || CAST(c_custkey AS VARCHAR) ELSE 'http://news/' || CAST(c_custkey AS VARCHAR) END) AS hash, CAST('2024-03-05' AS DATE) AS issued_at FROM customer")
+def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as feed documents of one item; every other one has no guid."""
+    key = F.col("c_custkey").cast("string")
+    guid = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("<guid>g"), key, F.lit("</guid>"))).otherwise("")
+    text = F.concat(F.lit("<rss><channel><item><title>"), F.col("c_name"), F.lit("</title><link>http://news/"), key, F.lit("</link><pubDate>Tue, 05 Mar 2024 10:00:00 GMT</pubDate>"), guid, F.lit("</item></channel></rss>"))
+    return feeds.feed_items(views.table(spark, sf_dir, "customer").select(text.alias("value"))).select("external_id", "title", "hash", "issued_at")
+
+
+@register("production_projects", "SELECT trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-') AS external_id, n_name || ', BC' AS location, CAST('2026-03-09' AS DATE) AS issued_at, CASE WHEN c_custkey % 3 = 0 THEN 'Feature Film' ELSE 'TV Series' END || ' — ' || c_mktsegment || ' | Schedule: 3/9/2026 - 4/10/2026 | Address: 1 Road, ' || n_name || ', Canada' AS description FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 < 2")
+def production_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as pages of a labelled production list; one in three is of a type that is not kept."""
+    rows = views.table(spark, sf_dir, "customer").join(views.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    kind = F.element_at(F.array(F.lit("Feature"), F.lit("TV Series"), F.lit("Commercial")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    html = F.concat(F.lit('<div id="list"><h5>'), kind, F.lit('</h5><h3 class="production">'), F.upper("c_name"), F.lit("</h3><p><b>Studio:</b> "), F.col("c_mktsegment"), F.lit("</p><p><b>Schedule:</b> 3/9/2026 - 4/10/2026</p><p><b>Address:</b> 1 Road, "), F.col("n_name"), F.lit(", Canada</p></div>"))
+    records, _ = pages.labelled_list(rows.select(F.col("c_custkey").alias("page_id"), html.alias("html")), "h5", "h3", container='id="list"')
+    return normalize.production_projects(records).select("external_id", "location", "issued_at", "description")
+
+
+@register("weather_alert_rows", "SELECT event_id, unnest(['z1', 'z2']) AS zone, unnest([CASE WHEN event_type = 'error' THEN 'Snow' WHEN event_type = 'click' THEN 'Wind' ELSE 'Unknown' END, 'Fog']) AS type FROM events")
+def weather_alert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as GeoJSON documents of two alerts."""
+    event = F.when(F.col("event_type") == "error", "SNOWFALL WARNING").when(F.col("event_type") == "click", "Wind warning").otherwise("heat")
+    text = F.concat(F.lit('{"features":[{"properties":{"event":"'), event, F.lit('","headline":"x","severity":"s","zone":"z1"}},{"properties":{"event":"Fog","zone":"z2"}}]}'))
+    return feeds.weather_alerts(views.table(spark, sf_dir, "events").select("event_id", text.alias("value"))).select("event_id", "zone", "type")
+
+
+@register("weather_tuning", "SELECT event_type, count(*) AS n, CASE event_type WHEN 'error' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS duration_weight, CASE event_type WHEN 'click' THEN 40.0::DOUBLE ELSE 60.0::DOUBLE END AS watch_threshold FROM events GROUP BY event_type")
+def weather_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    kinds = rows.withColumn("type", F.when(F.col("event_type") == "error", "Fog").when(F.col("event_type") == "click", "AtmosphericRiver").otherwise("Wind"))
+    return normalize.with_weather_tuning(kinds).select("event_type", "n", "duration_weight", "watch_threshold")
+
+
+@register("flight_board", "SELECT 'A' || CAST(user_id % 3 AS VARCHAR) AS airport, CAST(ts AS DATE) AS as_of, count(*) AS total, count(*) FILTER (event_type = 'error') AS cancelled, round(count(*) FILTER (event_type = 'error') / count(*), 9) AS rate, bool_or(event_type = 'signup') AS ground_stop FROM events GROUP BY 1, 2")
+def flight_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("event_type") == "error", "AC 1 CANCELLED").when(F.col("event_type") == "signup", "Ground stop in effect").otherwise("AC 2 on time")
+    rows = views.table(spark, sf_dir, "events").select(F.concat(F.lit("A"), F.pmod("user_id", F.lit(3)).cast("string")).alias("airport"), F.col("ts").cast("date").alias("as_of"), text.alias("row_text"))
+    return feeds.flight_board(rows).withColumn("rate", F.round("rate", 9))
+
+
+@register("ground_stops", "SELECT 'A' || CAST(user_id % 3 AS VARCHAR) AS airport, CAST(ts AS DATE) AS as_of, bool_or(event_type = 'signup') AS ground_stop FROM events GROUP BY 1, 2")
+def ground_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("event_type") == "signup", "yvr gnd stop").otherwise("routine")
+    rows = views.table(spark, sf_dir, "events").select(F.concat(F.lit("A"), F.pmod("user_id", F.lit(3)).cast("string")).alias("airport"), F.col("ts").cast("date").alias("as_of"), text.alias("value"))
+    return feeds.ground_stops(rows)
+
+
+@register("parsed_answers", "SELECT doc_id, CAST(n_chars % 10 AS INTEGER) AS priority_score, 'note ' || source AS notes FROM documents WHERE doc_id % 3 = 0")
+def parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model responses made of the documents; two in three are malformed or of a wrong type."""
+    score = F.when(F.col("doc_id") % 3 == 1, F.lit('\\"high\\"')).otherwise((F.col("n_chars") % 10).cast("string"))
+    body = F.concat(F.lit('{"content":[{"type":"text","text":"```json\\n{\\"priority_score\\": '), score, F.lit(', \\"notes\\": \\"note '), F.col("source"), F.lit('\\"}\\n```"}]}'))
+    answers = views.table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 2, "oops").otherwise(body).alias("response"))
+    return model_steps.parse_answers(answers)[0].select("doc_id", "priority_score", "notes")
+
+
+@register("parsed_signals", "SELECT doc_id, source AS org_name, CAST(n_chars % 50 AS INTEGER) AS crew_size, 2 AS field_hits FROM documents WHERE n_chars % 50 > 0")
+def parsed_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.concat(F.lit('{"org_name":"'), F.col("source"), F.lit('","crew_size":'), (F.col("n_chars") % 50).cast("string"), F.lit('.5,"duration_days":"x","location":7}'))
+    answers = views.table(spark, sf_dir, "documents").where("n_chars % 50 > 0").select("doc_id", body.alias("response"))
+    return model_steps.parse_signals(answers).select("doc_id", "org_name", "crew_size", "field_hits")
+
+
+@register("prompts", "SELECT CAST(o_orderkey AS VARCHAR) AS external_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Site ' || o_orderpriority || ' ' || c_name || ' in ' || n_name ELSE 'Assess this record for group lodging demand.' || chr(10) || 'Source: ' || c_mktsegment || chr(10) || 'Title: ' || o_orderpriority || ' ' || c_name || chr(10) || 'Location: ' || n_name || chr(10) || 'Value (CAD): ' || CAST(CAST(floor(o_totalprice * 100) AS BIGINT) AS VARCHAR) || chr(10) || 'Issued: ' || strftime(o_orderdate, '%Y-%m-%d') || chr(10) || 'Details: ' || chr(10) || 'Link: ' END AS prompt FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    templates = spark.createDataFrame([("BUILDING", "Site {title} in {location}")], "source string, template string")
+    rows = views.projects_from_orders(spark, sf_dir).withColumns({"description": F.lit(""), "source_url": F.lit("")})
+    return model_steps.with_prompt(rows, templates).select("external_id", "prompt")
+
+
+@register("repeat_organisations", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 0 END AS bonus FROM supplier")
+def repeat_organisations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers against past organisations, which are the even ones written another way."""
+    word = F.concat(F.lit("org"), F.substring(F.md5(F.col("s_suppkey").cast("string")), 1, 16))
+    rows = views.table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(word, F.lit(" Ltd")).alias("org_name"))
+    past = views.table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.upper(word), F.lit(", Inc.")).alias("org_name"))
+    return metrics.repeat_organisations(rows, past).select("s_suppkey", "bonus")

@@ -85,6 +85,18 @@ def context_text(leads: DataFrame, raw_inputs: DataFrame) -> DataFrame:
     return joined.select("id", F.concat_ws(" | ", part("Title: ", "title"), part("Location: ", "location"), part("Type: ", "project_type"), part("Value: ", "project_value"), part("Notes: ", "notes"), part("Document: ", "payload_type")).alias("context"))
 
 
+def find(rows: DataFrame, wanted: DataFrame, key: str = "id") -> DataFrame:
+    """The asked keys with their rows; columns are null where a key is missing."""
+    return wanted.select(key).join(rows, key, "left")
+
+
+def notify_new(table: DataFrame, day: Column, limit: int = 500) -> tuple[DataFrame, DataFrame]:
+    """(message of the best new leads, table in which just those are marked as notified)."""
+    new = ranked(table.where("status = 'new'"), limit)
+    marked = table.join(new.select("id", F.lit("notified").alias("_s")), "id", "left")
+    return digest_message(new, day, limit=limit), marked.withColumn("status", F.coalesce("_s", "status")).select(*table.columns)
+
+
 # Payload rows ---------------------------------------------------------------------------------------
 
 

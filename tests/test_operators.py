@@ -197,6 +197,13 @@ def test_payloads(spark):
     assert len(block) == 5 and "room count not set" in block[3]["fields"][1]["text"] and "150" in block[2]["fields"][1]["text"]
 
 
+def test_notify_and_find(spark):
+    message, marked = leads.notify_new(lead(spark), F.lit("2024-01-05").cast("date"), limit=2)
+    assert message.first()["n"] == 2
+    assert {r["id"]: r["status"] for r in marked.collect()} == {"0": "new", "1": "notified", "2": "notified"}
+    assert {r["id"]: r["title"] for r in leads.find(lead(spark), spark.createDataFrame([("1",), ("9",)], "id string")).collect()} == {"1": "T1 <x>", "9": None}
+
+
 def test_lineage(spark):
     held = spark.createDataFrame([("1", "r1"), ("2", None), ("3", "gone")], "id string, raw_input_id string")
     raw = spark.createDataFrame([("r1", "h", "pdf", "u")], "id string, hash string, payload_type string, source_url string")

@@ -195,14 +195,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, least_see
     """Documents that hold a benchmark item or an edited copy: doc_id, item_id, seeds, score, begin_word, end_word.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text. Null and empty texts and items
-    match nothing. A row that repeats a document gives its findings once. Word places are of
+    match nothing; letters match in either case. A row that repeats a document gives its findings once. Word places are of
     the text's white-space words, end exclusive.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "leaks")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null")
+    texts = docs.select(F.col("doc_id").cast("long"), F.lower("text").alias("text")).where("text is not null")
     found = spark.createDataFrame([], RESULT_SCHEMA)
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").dropDuplicates(["item_id"])
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.lower("text").alias("text")).dropDuplicates(["item_id"])
     # Items come to the driver block by block, each of a fixed number of items.
     blocks_of = max(1, -(-items.count() // block_items))
     for b in range(blocks_of):

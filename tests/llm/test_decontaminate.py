@@ -26,7 +26,7 @@ def test_alignment_equals_the_textbook():
 
 def test_copies_and_edits_are_found_and_clean_rows_are_not(spark):
     rnd = random.Random(4)
-    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 8)))
+    word = lambda: "".join(rnd.choice("abcdéfghij") for _ in range(rnd.randrange(2, 8)))
     prose = lambda n: " ".join(rnd.choice(["the", "of", "and", word(), word()]) for _ in range(n))
     items = [(i, prose(40)) for i in range(12)]
     rows, want = [], set()

@@ -51,23 +51,29 @@ def _packed() -> list[Column]:
     return [F.col(f"_s{s}_{k}") for s in range(SEEDS) for k in range(PACKED)]
 
 
-def _halves() -> list[Column]:
-    return [half for c in _packed() for half in (F.shiftrightunsigned(c, 32), c.bitwiseAND(F.lit(0xFFFFFFFF)))]
+def _halves() -> Column:
+    """The packed counts as one array of LANES counts."""
+    low = F.lit(0xFFFFFFFF)
+    return F.flatten(F.transform(F.array(*_packed()), lambda c: F.array(F.shiftrightunsigned(c, 32), c.bitwiseAND(low))))
 
 
-def _hex(lanes: list[Column], digits: int) -> Column:
-    return F.lower(F.concat(*[F.lpad(F.hex(F.pmod(c, F.lit(1 << (4 * digits)))), digits, "0") for c in lanes]))
+def _hex(lanes: Column, digits: int) -> Column:
+    return F.lower(F.array_join(F.transform(lanes, lambda c: F.lpad(F.hex(F.pmod(c, F.lit(1 << (4 * digits)))), digits, "0")), ""))
+
+
+def _columns(letter: str) -> Column:
+    return F.array(*[F.col(f"_{letter}{k}") for k in range(8)])
 
 
 def _fingerprint() -> Column:
     """Identity lanes, pair count and likeness lanes as fixed-width hexadecimal."""
-    return F.concat(_hex([F.col(f"_i{k}") for k in range(8)], 8), _hex([F.col("pairs")], 8), _hex(_halves(), 4))
+    return F.concat(_hex(_columns("i"), 8), _hex(F.array("pairs"), 8), _hex(F.col("halves"), 4))
 
 
 def _signed() -> Column:
     """Likeness lanes as deviations from the mean, read back modulo 2**16 around zero."""
-    around = lambda c: F.pmod(2 * c - F.col("pairs") + F.lit(1 << 15), F.lit(1 << 16)) - F.lit(1 << 15)
-    return F.array(*[around(c) for c in _halves()])
+    wrap = F.lit(1 << 15)
+    return F.transform("halves", lambda c: F.pmod(2 * c - F.col("pairs") + wrap, 2 * wrap) - wrap)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -130,7 +136,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     keys, facts = ["bucket", "rn", "variant"], ["last", "doc_id", "n_chars", *[f"_e{k}" for k in range(8)], *[f"_i{k}" for k in range(8)]]
     lanes = [*[c.alias(f"_e{k}") for k, c in enumerate(_hex_lanes(F.col("sha")))], *[c.alias(f"_i{k}") for k, c in enumerate(_identity_lanes(F.col("hashes")))]]
     parts = paragraph_vectors(digests.select(*keys, "last", "doc_id", "n_chars", "text", *lanes), keys, "text", facts)
-    prints = parts.select(*keys, "last", "doc_id", "n_chars", _hex([F.col(f"_e{k}") for k in range(8)], 8).alias("sha"), _fingerprint().alias("print"), _signed().alias("lanes"))
+    prints = parts.withColumn("halves", _halves()).select(*keys, "last", "doc_id", "n_chars", _hex(_columns("e"), 8).alias("sha"), _fingerprint().alias("print"), _signed().alias("lanes"))
     by_row = Window.partitionBy("bucket").orderBy("rn", "variant")
     told = prints.select("*", *[F.lead(c).over(by_row).alias(f"{c}1") for c in ("sha", "print", "lanes")], F.lead("lanes", 2).over(by_row).alias("following"))
     return told.where("variant = 0 AND last = 0").select(

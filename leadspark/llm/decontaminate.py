@@ -1,11 +1,12 @@
-"""Benchmark leaks: rare word n-grams as seeds, Smith-Waterman alignment as the judge.
+"""Benchmark leaks: word n-grams as seeds, Smith-Waterman alignment as the judge.
 
 The benchmark's n-grams are indexed in blocks of items of bounded size; every block is matched
-against all texts in one pass. A seed's occurrences are counted over the whole corpus, and seeds that
-are far more frequent than the median seed of their item (runs of everyday words) are not rare and
-start nothing. A leaked item raises all of its seeds alike, so it stays in. Documents with
-enough rare seeds of one item within its reach are aligned word by word against it, and the score is
-the share of a perfect alignment that the best local one reaches.
+against all texts in one pass. How often the corpus holds a seed decides nothing: many copies of an
+edited or cut item make some of its seeds frequent and leave the others absent, like everyday words
+do. Every document with enough seeds of one item within its reach is therefore a candidate. An
+alignment matches at most the words that item and window share, counted with repeats; a candidate
+that cannot reach the least score by this bound is passed over, which loses nothing. The
+others are aligned word by word, and the score is the share of a perfect alignment that the best local one reaches.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from leadspark.llm.textops import blocks, mix, utf8_parts, word_hashes
 N_GRAM = 3
 #: Items whose seeds are matched in one pass; a larger benchmark takes more passes.
 BLOCK_ITEMS = 20_000
-RARE_FACTOR, LEAST_SEEDS, LEAST_SCORE = 20, 2, 0.4
+LEAST_SEEDS, LEAST_SCORE = 2, 0.4
 MATCH, MISMATCH, GAP = 2, -1, -1
 HIT_SCHEMA = "doc_id long, text string, hits array<struct<seed:int,at:int>>"
 RESULT_SCHEMA = "doc_id long, item_id long, seeds int, score double, begin_word int, end_word int"
@@ -137,12 +138,25 @@ def align(jobs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
     return best, begin, end
 
 
-def _judge_batches(index: SeedIndex, rare: np.ndarray, least_seeds: int, least_score: float, batch_jobs: int = 128):
+def most_matches(item: tuple[np.ndarray, np.ndarray], window: np.ndarray) -> int:
+    """Words of ``window`` that an alignment can match at most; ``item`` has distinct sorted words and their counts."""
+    word, count = item
+    spot = np.minimum(np.searchsorted(word, window), len(word) - 1)
+    held = np.bincount(spot[word[spot] == window], minlength=len(word))
+    return int(np.minimum(held, count).sum())
+
+
+def _judge_batches(index: SeedIndex, least_seeds: int, least_score: float, batch_jobs: int = 128, batch_words: int = 1 << 18):
+    counted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def can_reach(k, window):
+        if k not in counted:
+            counted[k] = np.unique(index.items[k][1], return_counts=True)
+        return most_matches(counted[k], window) >= least_score * len(index.items[k][1])
+
     def windows(hits, value):
-        """(item, seeds, first word, last word) of every cluster of rare seeds."""
+        """(item, seeds, first word, last word) of every cluster of seeds."""
         seed, at = np.asarray(hits.field(0)), np.asarray(hits.field(1)).astype(np.int64)
-        ok = rare[seed]
-        seed, at = seed[ok], at[ok]
         reps = index.until[seed] - index.first[seed]
         slot = np.repeat(index.first[seed], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
         item, word, place = index.owner[slot], np.repeat(at, reps), index.place[slot]
@@ -160,7 +174,7 @@ def _judge_batches(index: SeedIndex, rare: np.ndarray, least_seeds: int, least_s
     def run(batches):
         for batch in batches:
             out: dict[tuple[int, int], tuple] = {}
-            jobs, about = [], []
+            jobs, about, width = [], [], 0
 
             def settle():
                 score, begin, end = align(jobs)
@@ -177,6 +191,12 @@ def _judge_batches(index: SeedIndex, rare: np.ndarray, least_seeds: int, least_s
                 raw = np.frombuffer(text.as_py().encode(), np.uint8)
                 value = word_hashes(raw, np.array([0, len(raw)]))[0]
                 for k, seeds, lo, hi in windows(hits.values, value):
+                    if not can_reach(k, value[lo:hi]):
+                        continue
+                    # Jobs are padded to the widest of their batch.
+                    if jobs and max(width, hi - lo) * (len(jobs) + 1) > batch_words:
+                        settle()
+                    width = max(width, hi - lo) if jobs else hi - lo
                     jobs.append((index.items[k][1], value[lo:hi]))
                     about.append((doc, k, seeds, lo))
                     if len(jobs) >= batch_jobs:
@@ -211,14 +231,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, least_see
             continue
         index = SeedIndex([(r["item_id"], r["text"]) for r in part], n)
         hits = work.write(texts.mapInArrow(_hit_batches(index), HIT_SCHEMA), f"hits-{b}")
-        seen = np.zeros(len(index.hash), np.int64)
-        for r in hits.select(F.explode("hits.seed").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("n")).collect():
-            seen[r["seed"]] = r["n"]
-        rare = np.zeros(len(index.hash), bool)
-        number = np.repeat(np.arange(len(index.hash)), index.until - index.first)
-        for k in range(len(index.items)):
-            own = number[index.owner == k]
-            if len(own):
-                rare[own] |= seen[own] <= RARE_FACTOR * max(1.0, float(np.median(seen[own])))
-        found = found.union(hits.mapInArrow(_judge_batches(index, rare, least_seeds, least_score), RESULT_SCHEMA))
+        found = found.union(hits.mapInArrow(_judge_batches(index, least_seeds, least_score), RESULT_SCHEMA))
     return found.groupBy("doc_id", "item_id").agg(*[F.max_by(c, F.struct("score", "begin_word")).alias(c) for c in ("seeds", "score", "begin_word", "end_word")])

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from leadspark.llm.decontaminate import GAP, MATCH, MISMATCH, align, find_leaks
+from leadspark.llm.decontaminate import GAP, MATCH, MISMATCH, align, find_leaks, most_matches
 from tests.llm.fixtures import awkward_docs
 
 
@@ -54,3 +54,28 @@ def test_awkward_rows_and_empty_benchmark(spark):
     assert find_leaks(docs, spark.createDataFrame([(1, "zz yy xx ww vv uu")], "item_id long, text string")).collect() == []
     assert find_leaks(docs, spark.createDataFrame([], "item_id long, text string")).collect() == []
     assert find_leaks(docs.limit(0), spark.createDataFrame([(1, "a b c d")], "item_id long, text string")).collect() == []
+
+
+def test_many_edited_and_half_copies_are_found(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(8))
+    items = [(1, [word() for _ in range(40)]), (2, [word() for _ in range(40)])]
+    edited = ["changed" if i % 5 == 4 else w for i, w in enumerate(items[0][1])]
+    half = items[1][1][:20]
+    rows, want = [], set()
+    for i in range(90):
+        passage, item = ((edited, 1), (half, 2), ([], 0))[i % 3]
+        rows.append((i, " ".join([*(word() for _ in range(50)), *passage, *(word() for _ in range(30))])))
+        want |= {(i, item)} if item else set()
+    rows.append((90, " ".join(" ".join([word(), *edited]) for _ in range(25))))
+    want.add((90, 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in find_leaks(docs, bench).collect()} == want
+
+
+def test_bound_is_never_under_the_alignment():
+    rnd = random.Random(5)
+    for _ in range(200):
+        a, b = (np.array([rnd.randrange(6) for _ in range(rnd.randrange(1, 20))], np.uint64) for _ in range(2))
+        assert MATCH * most_matches(np.unique(a, return_counts=True), b) >= smith_waterman(a, b)

@@ -1,7 +1,7 @@
 """Toxicity scores from a learned lexicon, misspellings included, and the context of each hit.
 
 The lexicon is learned from training labels: word beginnings and whole words that toxic documents
-hold far more often than others. A Levenshtein automaton walks its trie over every word of every
+hold far more often than others, and more often than chance lets them. A Levenshtein automaton walks its trie over every word of every
 whole text, so whole words with one letter changed, added or left out are caught too. A window of tokens around a hit
 tells quotation (quotation marks or words of reporting nearby) from abuse. A logistic regression on
 counts of the four kinds of hit gives the document's score.
@@ -9,6 +9,8 @@ counts of the four kinds of hit gives the document's score.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +23,8 @@ FOLDS, HELD_OUT = 3, 1
 #: Labelled rows that the lexicon and the weights are fitted on, at most.
 FIT_ROWS = 8_000
 STEM_LENGTHS = (4, 5, 6, 7, 8)
-LEAST_DOCS, LEAST_RATIO = 8, 30.0
+#: A term's place in toxic documents is by chance with at most this probability, ten times the share of toxic documents as much if over a tenth hold it.
+MOST_CHANCE, LEAST_RATIO = 1e-3, 30.0
 WINDOW = 6
 QUOTES = ('"', "“", "”", "„", "«", "»")
 REPORTING = {"said", "says", "wrote", "writes", "quoted", "quote", "called", "according", "dijo", "dit", "sagte"}
@@ -42,6 +45,17 @@ def one_of_each_copy(sample: DataFrame) -> DataFrame:
     return rows.drop("_t")
 
 
+def chance(n: int, hits: int, bad: int, good: int) -> float:
+    """Probability that ``n`` documents drawn from ``bad`` + ``good`` hold ``hits`` bad ones or more."""
+    log = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    return sum(math.exp(log(bad, k) + log(good, n - k) - log(bad + good, n)) for k in range(max(hits, n - good), min(n, bad) + 1))
+
+
+def marks(bad_hits: int, good_hits: int, bad: int, good: int) -> bool:
+    """Whether a term of so many toxic and clean documents is there by more than chance; one document never tells."""
+    return bad_hits > 1 and chance(bad_hits + good_hits, bad_hits, bad, good) <= MOST_CHANCE * max(1, 10 * bad_hits / bad)
+
+
 def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
     """Shortest word beginnings that mark toxic documents of the sample, and whole words that do."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))
@@ -53,8 +67,11 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
         return [], []
     counts = sample.select("label", F.explode(F.array_distinct(F.flatten(beginnings))).alias("stem"))
     counts = counts.groupBy("stem").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
+    # Fewer bad documents than these are likely by chance even without a good one; the exact test follows.
+    least = next((k for k in range(1, bad + 1) if marks(k, 0, bad, good)), bad + 1)
     ratio = (F.col("bad") / bad) / ((F.col("good") + 0.5) / good)
-    marked = sorted((r["stem"] for r in counts.where((F.col("bad") >= LEAST_DOCS) & (ratio >= LEAST_RATIO)).collect()), key=lambda x: (len(x), x))
+    rows = counts.where((F.col("bad") >= least) & ((F.col("good") == 0) | (ratio >= LEAST_RATIO))).collect()
+    marked = sorted((r["stem"] for r in rows if marks(r["bad"], r["good"], bad, good)), key=lambda x: (len(x), x))
     sample.unpersist()
     stems: list[str] = []
     for stem in marked:

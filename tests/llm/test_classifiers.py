@@ -1,5 +1,9 @@
+import math
+import random
+import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -7,7 +11,7 @@ from hypothesis import strategies as st
 
 from leadspark.llm.lexicon import EXACT, FUZZY, NO_MATCH, LevenshteinAutomaton, LexiconTrie, WordMatcher
 from leadspark.llm.quality import Chains, fit_quality, line_features, score_quality
-from leadspark.llm.toxicity import fit_toxicity, hit_counts, keep_clean, score_toxicity
+from leadspark.llm.toxicity import LEAST_RATIO, MOST_CHANCE, fit_toxicity, hit_counts, keep_clean, learn_lexicon, score_toxicity
 from tests.llm.fixtures import awkward_docs, empty_docs
 
 DIR = "/root/testdata/sf0.01"
@@ -88,3 +92,41 @@ def test_line_features_cover_every_document():
     offsets = np.cumsum([0, *(len(t) for t in texts)])
     x, weight, docs = line_features(np.frombuffer(raw, np.uint8), offsets)
     assert np.bincount(docs).tolist() == [1, 3, 1, 1, 1] and len(x) == len(weight)
+
+
+@pytest.mark.parametrize(("toxic", "clean", "marked"), [(6, 45, 4), (33, 250, 5)])
+def test_few_toxic_rows_teach_terms_and_stage_one_drops_them(spark, tmp_path, toxic, clean, marked):
+    rnd = random.Random(toxic)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    common = [word() for _ in range(400)]
+    train = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows, labels = [], []
+    for k, i in enumerate(train[: toxic + clean]):
+        text = [rnd.choice(common) for _ in range(30)]
+        if k < toxic:
+            # Every marker is in few of the toxic documents.
+            text += ["vermin"] * (k < marked) + ["wretch"] * (k >= toxic - marked) + ["numskull"] * (marked <= k or k < 2)
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(k < toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    sample = docs.join(known.withColumnRenamed("toxic", "label"), "doc_id")
+    label, counts = dict(labels), {}
+    for i, text in rows:
+        words = set(re.findall(r"[^\W\d_]{3,}", text))
+        for term in {f"{w}$" for w in words} | {w[:n] for w in words for n in range(4, 9) if len(w) >= n}:
+            counts.setdefault(term, [0, 0])[label[i]] += 1
+    want = set()
+    for term, (g, b) in counts.items():
+        n = g + b
+        p = sum(math.comb(toxic, k) * math.comb(clean, n - k) for k in range(b, min(n, toxic) + 1)) / math.comb(toxic + clean, n)
+        if b > 1 and p <= MOST_CHANCE * max(1, 10 * b / toxic) and (g == 0 or (b / toxic) / ((g + 0.5) / clean) >= LEAST_RATIO):
+            want.add(term)
+    stems, terms = learn_lexicon(sample)
+    assert {"vermin", "wretch", "numskull"} <= set(terms) == {t[:-1] for t in want if t[-1] == "$"}
+    assert set(stems) == {t for t in want if t[-1] != "$" and not any(u != t and t.startswith(u) for u in want)}
+    known.write.parquet(f"{tmp_path}/labels.parquet")
+    extra = [(5000, rows[-1][1] + " vermin numskull"), (5001, rows[-1][1] + " plain words")]
+    table = docs.union(spark.createDataFrame(extra, docs.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, table, str(tmp_path)).collect()}
+    bad = {i for i, text in [*rows, *extra] if re.search("vermin|wretch|numskull", text)}
+    assert kept == {i for i, _ in [*rows, *extra]} - bad

@@ -3,7 +3,10 @@
 The trie holds stems, which match every word that begins with them, and whole terms, which match
 words within the allowed number of edits. The automaton runs over all of them at once; a state is the
 set of (trie node, edits) pairs that a word's letters so far can reach. States and moves are made
-when first met and kept, and most words reach the empty state after three or four letters.
+when first met and kept, and most words reach the empty state after three or four letters. A second
+automaton allows the edit at the first letter too; its states live longer, so it is asked only about
+words that the first one does not match. Terms under five letters and stems get no edits: too many
+everyday words are one letter away from them.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ import re
 
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 NO_MATCH = 0
-EXACT, FUZZY = 1, 2
+EXACT, FUZZY, FIRST = 1, 2, 3
 
 
 class LexiconTrie:
@@ -36,8 +39,8 @@ class LexiconTrie:
 class LevenshteinAutomaton:
     """Deterministic matcher of words against a trie, with edits allowed in longer whole terms."""
 
-    def __init__(self, trie: LexiconTrie, edits: int = 1, least_fuzzy: int = 5) -> None:
-        self.trie, self.edits, self.least = trie, edits, least_fuzzy
+    def __init__(self, trie: LexiconTrie, edits: int = 1, least_fuzzy: int = 5, first_letter: bool = False) -> None:
+        self.trie, self.edits, self.least, self.first_letter = trie, edits, least_fuzzy, first_letter
         self.names: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.begins: list[bool] = []
@@ -54,8 +57,8 @@ class LevenshteinAutomaton:
             if best.get(node, self.edits + 1) <= e:
                 continue
             best[node] = e
-            # The first letter must be there, or every word would begin a match.
-            if e < self.edits and node:
+            # Edits of the first letter are for the second automaton, or every word would begin a match.
+            if e < self.edits and (node or self.first_letter):
                 todo += [(child, e + 1) for child in self.trie.children[node].values()]
         return frozenset(best.items())
 
@@ -74,9 +77,9 @@ class LevenshteinAutomaton:
             for letter, child in self.trie.children[node].items():
                 if letter == ch:
                     out.add((child, e))
-                elif e < self.edits and node:
+                elif e < self.edits and (node or self.first_letter):
                     out.add((child, e + 1))
-            if e < self.edits and node:
+            if e < self.edits and (node or self.first_letter):
                 out.add((node, e + 1))
         key = (state, ch)
         self.moves[key] = self._state(self._closed(out))
@@ -99,9 +102,14 @@ class WordMatcher(dict):
     def __init__(self, automaton: LevenshteinAutomaton, most: int = 300_000) -> None:
         super().__init__()
         self.automaton, self.most = automaton, most
+        self.second = LevenshteinAutomaton(automaton.trie, automaton.edits, automaton.least, True)
 
     def __missing__(self, token: str) -> int:
         if len(self) >= self.most:
             self.clear()
-        kind = self[token] = self.automaton.match(_EDGES.sub("", token))
+        word = _EDGES.sub("", token)
+        kind = self.automaton.match(word)
+        if not kind and self.second.match(word):
+            kind = FIRST
+        self[token] = kind
         return kind

@@ -2,9 +2,9 @@
 
 The lexicon is learned from training labels: word beginnings and whole words that toxic documents
 hold far more often than others, and more often than chance lets them. A Levenshtein automaton walks its trie over every word of every
-whole text, so whole words with one letter changed, added or left out are caught too. A window of tokens around a hit
+whole text, so whole words of five letters or more with one letter changed, added or left out are caught too. A window of tokens around a hit
 tells quotation (quotation marks or words of reporting nearby) from abuse. A logistic regression on
-counts of the four kinds of hit gives the document's score.
+counts of the kinds of hit gives the document's score.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadspark.llm.labels import apply_logistic, fit_logistic, fold, training_sample
-from leadspark.llm.lexicon import EXACT, LevenshteinAutomaton, LexiconTrie, WordMatcher
+from leadspark.llm.lexicon import EXACT, FIRST, LevenshteinAutomaton, LexiconTrie, WordMatcher
 
 FOLDS, HELD_OUT = 3, 1
 #: Labelled rows that the lexicon and the weights are fitted on, at most.
@@ -82,9 +82,14 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
 
 def hit_counts(text: str, matcher: WordMatcher) -> tuple[int, int, int, int, int]:
     """Tokens, then exact and misspelled hits meant as abuse, then those in quotation."""
+    return all_counts(text, matcher)[:5]
+
+
+def all_counts(text: str, matcher: WordMatcher) -> tuple[int, ...]:
+    """As ``hit_counts``, then how many of the misspelled hits differ in the first letter: abuse, quotation."""
     tokens = text.lower().split()
     kinds = [matcher[t] for t in tokens]
-    counts = [0, 0, 0, 0]
+    counts = [0, 0, 0, 0, 0, 0]
     if any(kinds):
         for i, kind in enumerate(kinds):
             if kind:
@@ -92,24 +97,28 @@ def hit_counts(text: str, matcher: WordMatcher) -> tuple[int, int, int, int, int
                 marks = sum(t[:1] in QUOTES for t in near[: WINDOW + 1]) and sum(t.rstrip(".,;:!?")[-1:] in QUOTES for t in near[min(i, WINDOW) :])
                 quoted = bool(marks) or any(t.strip(".,;:") in REPORTING for t in near)
                 counts[2 * quoted + (kind != EXACT)] += 1
+                counts[4 + quoted] += kind == FIRST
     return len(tokens), *counts
 
 
 def features(counts: np.ndarray) -> np.ndarray:
-    """Bounded functions of the hit counts, so that length alone never makes a text toxic."""
-    n, hits = counts[:, :1].astype(float), counts[:, 1:].astype(float)
+    """Bounded functions of the hit counts, so that length alone never makes a text toxic.
+
+    First-letter hits count as misspelled; what their own columns add is a correction that
+    stays at zero where the training rows have none.
+    """
+    n, hits, first = counts[:, :1].astype(float), counts[:, 1:5].astype(float), counts[:, 5:].astype(float)
     density = hits[:, :2].sum(axis=1, keepdims=True) * 100 / np.maximum(n, 20)
-    return np.hstack([np.log1p(hits), np.minimum(hits, 1), np.minimum(density, 5)])
+    return np.hstack([np.log1p(hits), np.minimum(hits, 1), np.minimum(density, 5), np.log1p(first), np.minimum(first, 1)])
 
 
 def _count_batches(lexicon: tuple[list[str], list[str]], weights: np.ndarray | None):
     def run(batches):
         matcher = WordMatcher(LevenshteinAutomaton(LexiconTrie(*lexicon)))
         for batch in batches:
-            counts = np.array([hit_counts(t.as_py() or "", matcher) for t in batch.column(1)], np.int64).reshape(-1, 5)
+            counts = np.array([all_counts(t.as_py() or "", matcher) for t in batch.column(1)], np.int64).reshape(-1, 7)
             if weights is None:
-                columns = [pa.array(counts[:, i]) for i in range(5)]
-                names = ["tokens", "abuse", "abuse_misspelled", "quoted", "quoted_misspelled"]
+                columns, names = [pa.array(counts[:, i]) for i in range(7)], COUNT_NAMES
             else:
                 columns, names = [pa.array(apply_logistic(features(counts), weights))], ["score"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
@@ -118,7 +127,8 @@ def _count_batches(lexicon: tuple[list[str], list[str]], weights: np.ndarray | N
 
 
 Model = tuple[tuple[list[str], list[str]], np.ndarray]
-COUNT_SCHEMA = "doc_id long, tokens long, abuse long, abuse_misspelled long, quoted long, quoted_misspelled long"
+COUNT_NAMES = ["tokens", "abuse", "abuse_misspelled", "quoted", "quoted_misspelled", "abuse_first", "quoted_first"]
+COUNT_SCHEMA = ", ".join(f"{name} long" for name in ["doc_id", *COUNT_NAMES])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
@@ -127,7 +137,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Mo
     lexicon = learn_lexicon(sample)
     counted = sample.select("doc_id", "text").mapInArrow(_count_batches(lexicon, None), COUNT_SCHEMA).join(sample.select("doc_id", "label"), "doc_id").toPandas()
     sample.unpersist()
-    x = features(counted[["tokens", "abuse", "abuse_misspelled", "quoted", "quoted_misspelled"]].to_numpy())
+    x = features(counted[COUNT_NAMES].to_numpy())
     return lexicon, fit_logistic(x, counted["label"].to_numpy(float))
 
 
@@ -146,7 +156,7 @@ def keep_clean(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
     def run(batches):
         matcher = WordMatcher(LevenshteinAutomaton(LexiconTrie(*lexicon)))
         for batch in batches:
-            counts = np.array([hit_counts(t.as_py() or "", matcher) for t in batch.column(at)], np.int64).reshape(-1, 5)
+            counts = np.array([all_counts(t.as_py() or "", matcher) for t in batch.column(at)], np.int64).reshape(-1, 7)
             yield batch.filter(pa.array(apply_logistic(features(counts), weights) < limit))
 
     return docs.mapInArrow(run, schema)

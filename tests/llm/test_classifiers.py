@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from leadspark.llm.lexicon import EXACT, FUZZY, NO_MATCH, LevenshteinAutomaton, LexiconTrie, WordMatcher
+from leadspark.llm.lexicon import EXACT, FIRST, FUZZY, NO_MATCH, LevenshteinAutomaton, LexiconTrie, WordMatcher
 from leadspark.llm.quality import Chains, fit_quality, line_features, score_quality
 from leadspark.llm.toxicity import LEAST_RATIO, MOST_CHANCE, fit_toxicity, hit_counts, keep_clean, learn_lexicon, score_toxicity
 from tests.llm.fixtures import awkward_docs, empty_docs
@@ -130,3 +130,25 @@ def test_few_toxic_rows_teach_terms_and_stage_one_drops_them(spark, tmp_path, to
     kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, table, str(tmp_path)).collect()}
     bad = {i for i, text in [*rows, *extra] if re.search("vermin|wretch|numskull", text)}
     assert kept == {i for i, _ in [*rows, *extra]} - bad
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc", min_size=1, max_size=9), st.lists(st.text("abc", min_size=3, max_size=7), min_size=1, max_size=4), st.lists(st.text("abc", min_size=4, max_size=5), max_size=2))
+def test_edits_of_the_first_letter_are_a_kind_of_their_own(word, terms, stems):
+    got = WordMatcher(LevenshteinAutomaton(LexiconTrie(stems, terms)))[word]
+    exact = any(word.startswith(s) for s in stems) or word in terms
+    near = [t for t in terms if len(t) >= 5 and distance(word, t) <= 1]
+    inside = any(t[0] == word[0] and distance(word[1:], t[1:]) <= 1 for t in near)
+    assert got == (EXACT if exact else FUZZY if inside else FIRST if near else NO_MATCH)
+
+
+def test_abuse_misspelt_in_the_first_letter_is_toxic(spark):
+    rnd = random.Random(3)
+    train = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 3 != 1][:200]
+    prose = lambda: " ".join("".join(rnd.choice("efghjk") for _ in range(7)) for _ in range(30))
+    rows = [(i, prose() + (" " + rnd.choice(["you idiot", "an id1ot", "idiots all"]) if k % 4 == 0 else "")) for k, i in enumerate(train)]
+    model = fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(k % 4 == 0)) for k, i in enumerate(train)], "doc_id long, toxic int"))
+    assert "idiot" in model[0][1]
+    words = ["1diot", "diot", "xidiot", "diary"]
+    docs = spark.createDataFrame([(k, f"{prose()} {w}") for k, w in enumerate(words)], "doc_id long, text string")
+    assert {r["doc_id"]: r["predicted"] for r in score_toxicity(docs, model).collect()} == {0: 1, 1: 1, 2: 1, 3: 0}

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from leadspark import rules
 
+#: Tasks that the names of one frequent segment are dealt to.
+SALTS = 4
+
 
 def counts_by(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -37,13 +40,32 @@ def snapshot_changes(snapshots: DataFrame, key: str, order: str, digest: str) ->
 
 
 def repeat_organisations(rows: DataFrame, past: DataFrame, name: str = "org_name", most_edits: int = 2, bonus: int = 2) -> DataFrame:
-    """Rows with their past organisation: equal names once normalised, else few edits within a block."""
+    """Rows with their past organisation: the name with the fewest edits once normalised, at most ``most_edits``.
+
+    Names with that few edits share one of ``most_edits`` + 1 segments of the past name, moved by
+    as many places at most, so every such pair meets in the join. The join is salted, as many names may share a segment.
+    """
     plain = F.btrim(F.regexp_replace(F.lower(F.coalesce(F.col(name), F.lit(""))), r"\b(inc|ltd|corp|llc|co)\b|[^a-z0-9]+", " "))
     known = past.select(plain.alias("_p")).where("_p <> ''").distinct()
     asked = rows.select(F.col(name), plain.alias("_n")).distinct().where("_n <> ''")
-    block = lambda c: F.concat(F.substring(c, 1, 3), F.lit(":"), F.floor(F.char_length(c) / 4).cast("string"))
-    near = asked.withColumn("_b", block("_n")).join(known.withColumn("_b", block("_p")), "_b").where(F.levenshtein("_n", "_p") <= most_edits)
-    best = near.groupBy(name).agg(F.min_by("_p", F.struct(F.levenshtein("_n", "_p"), "_p")).alias("matched"))
+    pieces, shifts = range(most_edits + 1), range(-most_edits, most_edits + 1)
+    begin = lambda size, i: F.floor(size * i / len(pieces)).cast("int")
+
+    def segment(c: str, size: Column, i: int, shift: int) -> Column:
+        at, until = begin(size, i) + shift, begin(size, i + 1) + shift
+        text = F.when((at >= 0) & (until <= F.char_length(c)), F.substring(F.col(c), at + 1, until - at))
+        return F.when(text.isNotNull(), F.xxhash64(size, F.lit(i), text))
+
+    size = F.char_length("_p")
+    cuts = known.select("_p", F.explode(F.array(*[segment("_p", size, i, 0) for i in pieces])).alias("_k"))
+    cuts = cuts.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sizes = F.explode(F.array(*[F.char_length("_n") + d for d in shifts])).alias("_size")
+    places = F.array_distinct(F.array_compact(F.array(*[segment("_n", F.col("_size"), i, d) for i in pieces for d in shifts])))
+    names = asked.select("_n").distinct()
+    tries = names.select("_n", sizes).where("_size > 0").select("_n", F.explode(places).alias("_k"), F.pmod(F.xxhash64("_n"), F.lit(SALTS)).cast("int").alias("_s"))
+    near = tries.join(cuts, ["_k", "_s"]).where(F.levenshtein("_n", "_p") <= most_edits)
+    best = near.groupBy("_n").agg(F.min_by("_p", F.struct(F.levenshtein("_n", "_p"), "_p")).alias("matched"))
+    best = asked.join(best, "_n").select(name, "matched")
     return rows.join(best, name, "left").withColumn("bonus", F.when(F.col("matched").isNotNull(), bonus).otherwise(0))
 
 

@@ -499,3 +499,23 @@ def repeat_organisations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(word, F.lit(" Ltd")).alias("org_name"))
     past = views.table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.upper(word), F.lit(", Inc.")).alias("org_name"))
     return metrics.repeat_organisations(rows, past).select("s_suppkey", "bonus")
+
+
+@register(
+    "repeat_organisations_edited",
+    """WITH past AS (SELECT DISTINCT substr(md5(CAST(s_suppkey AS VARCHAR)), 1, 14 + s_suppkey % 4) AS p FROM supplier WHERE s_suppkey % 2 = 0),
+asked AS (SELECT s_suppkey, substr(md5(CAST(s_suppkey AS VARCHAR)), 1, 14 + s_suppkey % 4) AS w FROM supplier),
+edited AS (SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN w WHEN 1 THEN 'z' || w WHEN 2 THEN 'yz' || substr(w, 3) WHEN 3 THEN substr(w, 2, 6) || 'z' || substr(w, 8) ELSE substr(w, 1, 7) || 'zyx' || substr(w, 8) END AS n FROM asked)
+SELECT s_suppkey, CASE WHEN EXISTS (SELECT 1 FROM past WHERE levenshtein(n, p) <= 2) THEN 2 ELSE 0 END AS bonus FROM edited""",
+)
+def repeat_organisations_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers under names with none to three edits against past organisations of 14 to 17 letters."""
+    word = F.substring(F.md5(F.col("s_suppkey").cast("string")), F.lit(1), (14 + F.col("s_suppkey") % 4).cast("int"))
+    rest = lambda at: F.substring("w", at, 40)
+    ways = [F.col("w"), F.concat(F.lit("z"), "w"), F.concat(F.lit("yz"), rest(3)), F.concat(F.substring("w", 2, 6), F.lit("z"), rest(8))]
+    edited = F.concat(F.substring("w", 1, 7), F.lit("zyx"), rest(8))
+    for k, way in enumerate(ways):
+        edited = F.when(F.col("s_suppkey") % 5 == k, way).otherwise(edited)
+    named = views.table(spark, sf_dir, "supplier").select("s_suppkey", word.alias("w"))
+    past = named.where("s_suppkey % 2 = 0").select(F.col("w").alias("org_name"))
+    return metrics.repeat_organisations(named.select("s_suppkey", edited.alias("org_name")), past).select("s_suppkey", "bonus")

@@ -237,3 +237,25 @@ def test_metrics(spark):
     rows = spark.createDataFrame([("Acme Builders Ltd",), ("ACME Bilders",), ("Other",), (None,)], "org_name string")
     got = metrics.repeat_organisations(rows, spark.createDataFrame([("acme builders",)], "org_name string"))
     assert {r["org_name"]: r["bonus"] for r in got.collect()} == {"Acme Builders Ltd": 2, "ACME Bilders": 2, "Other": 0, None: 0}
+
+
+def test_repeat_organisations_equal_all_pairs(spark):
+    rnd = random.Random(8)
+    name = lambda: "".join(rnd.choice("ab1 ") for _ in range(rnd.randrange(1, 18))).strip()
+    past = sorted({name() for _ in range(60)} - {""}) + ["xacmebuilders", "fifteen letters"]
+    asked = sorted({name() for _ in range(60)} - {""}) + ["acmebuilders", "xzcmebuildors", "fifteen lettersx", "far away from all"]
+    rows, known = (spark.createDataFrame([(n,) for n in names], "org_name string") for names in (asked, past))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    plain = lambda n: " ".join(n.split())
+    for edits in (0, 1, 2, 3):
+        got = {r["org_name"]: r["matched"] for r in metrics.repeat_organisations(rows, known, most_edits=edits).collect()}
+        want = {n: min(((d, p) for p in map(plain, past) if (d := distance(plain(n), p)) <= edits), default=(0, None))[1] for n in asked}
+        assert got == want

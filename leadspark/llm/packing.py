@@ -128,16 +128,21 @@ def exact_fill(gap: int, counts: np.ndarray) -> list[int] | None:
     pair = pair[(2 * pair != gap) | (counts[pair] > 1)]
     if len(pair):
         return [int(pair[0]), int(gap - pair[0])]
-    for first in a[there[a]][:64]:
-        rest, left = gap - int(first), counts.copy()
-        left[first] -= 1
-        b = np.arange(min(rest - 1, int(first)), 0, -1)
-        if not len(b):
-            continue
-        ok = b[(left[b] > 0) & (left[np.clip(rest - b, 0, len(counts) - 1)] > 0) & (rest - b < len(counts))]
-        ok = ok[(2 * ok != rest) | (left[ok] > 1)]
-        if len(ok):
-            return [int(first), int(ok[0]), int(rest - ok[0])]
+    # Bit b of ``have`` says whether length b is there, of ``mirror`` whether length ``top`` - b is.
+    have = int.from_bytes(np.packbits(there[: top + 1], bitorder="little").tobytes(), "little")
+    mirror = int.from_bytes(np.packbits(there[top::-1], bitorder="little").tobytes(), "little")
+    for first in a[there[a]].tolist():
+        if 3 * first < gap:
+            break
+        last = counts[first] == 1
+        rest, one = gap - first, have & ~(1 << first) if last else have
+        other = mirror & ~(1 << (top - first)) if last else mirror
+        both = one & (other >> (top - rest) if rest <= top else other << (rest - top)) & ((2 << min(rest - 1, first)) - 2)
+        while both:
+            b = both.bit_length() - 1
+            if 2 * b != rest or counts[b] - (b == first) > 1:
+                return [first, b, rest - b]
+            both ^= 1 << b
     return None
 
 

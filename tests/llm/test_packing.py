@@ -1,10 +1,12 @@
+import itertools
+import random
 import zlib
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from leadspark.llm.packing import CachedEncoder, pack_documents, plan_packing, tokenizer_path
+from leadspark.llm.packing import CachedEncoder, exact_fill, pack_documents, plan_packing, tokenizer_path
 from tests.llm.fixtures import awkward_docs, empty_docs
 
 
@@ -63,3 +65,21 @@ def test_cached_encoder_equals_the_tokenizer(text):
     encode = CachedEncoder(tokenizer_path())
     for _ in range(2):
         assert np.frombuffer(encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_exact_triples_are_found_however_deep():
+    counts = np.zeros(2049, np.int64)
+    counts[801:901] = 1
+    counts[[300, 333, 367]] = 1
+    assert exact_fill(1000, counts) == [367, 333, 300]
+    rnd = random.Random(6)
+    for _ in range(400):
+        counts = np.zeros(61, np.int64)
+        for _ in range(rnd.randrange(1, 9)):
+            counts[rnd.randrange(1, 61)] += rnd.randrange(1, 3)
+        gap, there = rnd.randrange(1, 100), [int(n) for n in np.repeat(np.arange(61), counts)]
+        fits = any(sum(parts) == gap for k in (1, 2, 3) for parts in itertools.combinations(there, k))
+        found = exact_fill(gap, counts)
+        assert (found is not None) == fits
+        if found:
+            assert sum(found) == gap and (np.bincount(found, minlength=61) <= counts).all()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leadspark.llm import decontaminate, near_dedup, packing, secret_scan, toxicity
 from leadspark.llm.store import Workspace
@@ -13,16 +14,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def with_row_id(docs: DataFrame) -> DataFrame:
+    """Add ``_row``, a 64-bit hash of id and text; ids may be null or stand for several texts."""
+    return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group, the one with the smallest id, and one row of each id."""
-    kept = near_dedup.near_duplicate_groups(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    """Keep one document of each near-duplicate group, the one with the smallest id (null last), and one of equal rows.
+
+    Rows with a null id and different texts of one id are documents of their own.
+    """
+    rows = with_row_id(docs)
+    groups = near_dedup.near_duplicate_groups(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    kept = rows.select("_row", "doc_id").distinct().join(groups, "_row").groupBy("component_id").agg(F.min_by("_row", order).alias("_row"))
+    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a benchmark item or an edited copy of one."""
-    leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Drop the rows that hold a benchmark item or an edited copy of one, whatever their id."""
+    rows = with_row_id(docs)
+    leaks = decontaminate.find_leaks(rows.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(leaks.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,3 +31,22 @@ def test_every_stage_works_on_what_is_left(spark, tmp_path):
     tokens = packing.token_pieces(before, packing.tokenizer_path()).agg({"length": "sum"}).first()[0]
     assert docs.agg({"length": "sum"}).first()[0] == tokens
     assert corpus_pipeline.run(spark, sf_dir).count() == docs.count()
+
+
+def test_null_ids_and_texts_that_share_an_id_are_documents_of_their_own(spark, tmp_path):
+    prose = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    item = prose("leak")
+    clean = [(None, prose("a")), (None, prose("b")), (1, prose("c")), (1, prose("d")), (2, prose("e")), (5, prose("h"))]
+    copies = [(2, prose("e")), (3, f"{prose('e')} more"), (None, prose("e")), (None, prose("a"))]
+    leaks = [(None, f"{prose('f')} {item}"), (5, f"{prose('g')} {item}")]
+    docs = spark.createDataFrame([*clean, *copies, *leaks], "doc_id long, text string").repartition(3)
+    spark.createDataFrame([(9, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    kept.write.parquet(f"{tmp_path}/kept")
+    kept = spark.read.parquet(f"{tmp_path}/kept")
+    key = lambda rows: sorted(((r[0] is None, r[0] or 0, r[1]) for r in rows))
+    assert key(kept.collect()) == key([*clean, *leaks])
+    left = corpus_pipeline.drop_leaks(spark, kept, str(tmp_path))
+    assert left.columns == docs.columns and key(left.collect()) == key(clean)
+    pieces = corpus_pipeline.pack(spark, left, str(tmp_path)).collect()
+    assert sorted(str(r["doc_id"]) for r in pieces) == sorted(str(i) for i, _ in clean)

@@ -1,9 +1,8 @@
-"""Removal of every byte that a long repeated string covers, by sampled induced sorting.
+"""Removal of every byte that a long repeated string covers, by content-sampled window hashing.
 
-As in induced suffix sorting, only sampled suffixes are compared and the others follow from them.
+This replaces external induced sorting: no suffix is ordered and no common prefix is computed.
 A text position is sampled if its k-byte string has the smallest hash in some window of ``length``
-bytes; the windows that chose the same sample are one run. Samples carry tuples of hashes
-instead of ranks:
+bytes; the windows that chose the same sample are one run. Samples carry tuples of hashes:
 
 * a context string around the sample that every window of the (half) run contains; runs whose
   context occurs once in the corpus hold no repeated window and leave;

@@ -6,7 +6,7 @@ paragraph is inserted or deleted by adding or subtracting its vector.
 
 A vector has two parts: 8 lanes of 32 random bits of the paragraph's SHA-256 (identity,
 modulo 2**32), and 128 lanes that count, over the paragraph's pairs of adjoining words, those whose
-hash has that lane's bit set (likeness, modulo 2**16). The deviations of the second part from half
+hash has that lane's bit set (likeness, modulo 2**32). The deviations of the second part from half
 the pairs add up like random signs, so their cosine estimates the share of word pairs in common.
 """
 
@@ -67,12 +67,12 @@ def _columns(letter: str) -> Column:
 
 def _fingerprint() -> Column:
     """Identity lanes, pair count and likeness lanes as fixed-width hexadecimal."""
-    return F.concat(_hex(_columns("i"), 8), _hex(F.array("pairs"), 8), _hex(F.col("halves"), 4))
+    return F.concat(_hex(_columns("i"), 8), _hex(F.array("pairs"), 8), _hex(F.col("halves"), 8))
 
 
 def _signed() -> Column:
-    """Likeness lanes as deviations from the mean, read back modulo 2**16 around zero."""
-    wrap = F.lit(1 << 15)
+    """Likeness lanes as deviations from the mean, read back modulo 2**32 around zero."""
+    wrap = F.lit(1 << 31)
     return F.transform("halves", lambda c: F.pmod(2 * c - F.col("pairs") + wrap, 2 * wrap) - wrap)
 
 

@@ -12,7 +12,7 @@ bytes; the windows that chose the same sample are one run. Samples carry tuples
   of every settled stretch with the same context.
 
 Grouping is done by Spark's disk-backed sorts and shuffles with counts combined before the
-shuffle; equal strings are equal 64-bit hashes. Two windows in one run differ in the distance to
+shuffle; equal strings have equal pairs of 64-bit hashes. Two windows in one run differ in the distance to
 their sample, so they are never equal and a stretch never matches itself.
 """
 
@@ -30,7 +30,7 @@ from leadspark.llm.textops import RollingHash, blocks, utf8_parts
 
 LENGTH, SEED = 200, 32
 RUN_SCHEMA = "doc_id long, th long, context long, stretch long, first int, last int"
-WINDOW_SCHEMA = "doc_id long, th long, alone boolean, w long, at int"
+WINDOW_SCHEMA = "doc_id long, th long, alone boolean, context long, w long, at int"
 RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -101,6 +101,7 @@ def _window_batches(length: int):
                 counts = np.asarray(runs.value_lengths().fill_null(0))
                 first, last = (np.asarray(flat.field(i)).astype(np.int64) for i in (0, 1))
                 alone = np.asarray(flat.field(2).cast(pa.int8())).astype(bool)
+                context = np.asarray(flat.field(3)).astype(np.int64)
                 doc = np.repeat(np.arange(lo, hi), counts)
                 width = last - first + 1
                 each = np.repeat(np.arange(len(first)), width)
@@ -108,8 +109,8 @@ def _window_batches(length: int):
                 place = at + offsets[doc[each]] - base
                 take = pa.array(doc[each])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(alone[each]), pa.array(rolling.ranges(place, place + length).view(np.int64)), pa.array(at.astype(np.int32))],
-                    ["doc_id", "th", "alone", "w", "at"],
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(alone[each]), pa.array(context[each]), pa.array(rolling.ranges(place, place + length).view(np.int64)), pa.array(at.astype(np.int32))],
+                    ["doc_id", "th", "alone", "context", "w", "at"],
                 )
 
     return run
@@ -140,31 +141,40 @@ def _cut_batches(batches):
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """Spans (doc_id, th, begin, end) that windows of ``length`` repeated bytes cover; they may overlap.
 
-    ``docs`` has doc_id, th (a hash of the text) and text. Rows that repeat both are two copies.
+    ``docs`` has doc_id, th (a hash of the text) and text, none of them null. Rows that repeat both are two
+    copies. Equality is that of two 64-bit hashes, of the context and of the stretch or window.
     """
     work = Workspace(docs.sparkSession, "repeats")
     runs = docs.mapInArrow(_run_batches(length, seed), RUN_SCHEMA)
     twice = runs.groupBy("context").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("context")
     kept = work.write(runs.join(twice, "context", "left_semi"), "runs")
+    work.drop()
     classes = kept.groupBy("context", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "first", "last")).alias("rep"))
     classes = work.write(classes, "classes")
     several = classes.groupBy("context").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("context")
-    open_runs = classes.join(several, "context", "left_semi").select("rep.*", (F.col("n") == 1).alias("alone"))
-    per_doc = open_runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last", "alone")).alias("runs"))
+    open_runs = classes.join(several, "context", "left_semi").select("rep.*", "context", (F.col("n") == 1).alias("alone"))
+    per_doc = open_runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last", "alone", "context")).alias("runs"))
     windows = docs.join(per_doc.hint("shuffle_hash"), ["doc_id", "th"]).select("doc_id", "th", "text", "runs").mapInArrow(_window_batches(length), WINDOW_SCHEMA)
     windows = work.write(windows, "windows")
-    again = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.max("alone").alias("open")).where("n > 1 AND open").select("w")
-    single = windows.where("alone").join(again, "w", "left_semi").select("doc_id", "th", F.col("at").alias("begin"), (F.col("at") + length).alias("end"))
+    work.drop()
+    again = windows.groupBy("context", "w").agg(F.count(F.lit(1)).alias("n"), F.max("alone").alias("open")).where("n > 1 AND open").select("context", "w")
+    single = windows.where("alone").join(again, ["context", "w"], "left_semi").select("doc_id", "th", F.col("at").alias("begin"), (F.col("at") + length).alias("end"))
     whole = kept.join(classes.where("n > 1").select("context", "stretch"), ["context", "stretch"], "left_semi")
-    return whole.select("doc_id", "th", F.col("first").alias("begin"), (F.col("last") + length).alias("end")).union(single)
+    spans = work.write(whole.select("doc_id", "th", F.col("first").alias("begin"), (F.col("last") + length).alias("end")).union(single), "spans")
+    work.drop("runs", "classes", "windows")
+    return spans
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    Null and empty texts have no bytes; texts shorter than ``length`` bytes keep all of theirs.
+    Null and empty texts have no bytes; texts shorter than ``length`` bytes keep all of theirs. Rows without
+    a doc_id count like all others and keep their null id.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    spans = repeated_spans(texts, length).groupBy("doc_id", "th").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    joined = texts.join(spans.hint("shuffle_hash"), ["doc_id", "th"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_cut_batches, RESULT_SCHEMA)
+    bare = F.col("id").isNull()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
+    # The join keys are never null; the flag in the hash keeps rows without an id apart from those of id 0.
+    texts = texts.select(F.coalesce("id", F.lit(0)).alias("doc_id"), F.xxhash64("text", bare).alias("th"), bare.alias("bare"), "text")
+    spans = repeated_spans(texts.drop("bare"), length).groupBy("doc_id", "th").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    joined = texts.join(spans.hint("shuffle_hash"), ["doc_id", "th"], "left")
+    return joined.select(F.when(~F.col("bare"), F.col("doc_id")).alias("doc_id"), "text", "spans").mapInArrow(_cut_batches, RESULT_SCHEMA)

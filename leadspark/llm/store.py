@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -14,27 +15,42 @@ _OWN: list[str] = []
 class Workspace:
     """A folder of written tables below ``spark.checkpoint.dir``.
 
-    Writing a table cuts lineage and lets later steps survive a lost executor. A session
-    without that setting (a test) gets a temporary folder of its own.
+    Writing a table cuts lineage and lets later steps survive a lost executor. A local session
+    without that setting (a test) gets a temporary folder of its own; on a cluster the setting is required, as
+    executors share no other folder. Tables that the result still reads stay until the session ends; the
+    file system deletes the folder then.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             if not _OWN:
                 _OWN.append(tempfile.mkdtemp(prefix="leadspark-"))
             base = _OWN[0]
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        fs, path = self._fs(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _fs(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that nothing will read again."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing will read again, and the shuffle files of finished steps."""
+        for name in names:
+            fs, path = self._fs(f"{self.root}/{name}")
+            fs.delete(path, True)
+        # Spark's cleaner removes a shuffle once the driver has forgotten the plan that made it.
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -1,7 +1,11 @@
 import itertools
+import random
 import re
 
-from leadspark.llm.near_dedup import least_shared, near_duplicate_groups
+from pyspark.sql import functions as F
+
+from leadspark.llm.near_dedup import SKETCH_SCHEMA, _set_batches, _whole_sets, least_shared, near_duplicate_groups, prefix_links, sketch_links
+from leadspark.llm.store import Workspace, connected_components
 from tests.llm.fixtures import awkward_docs, empty_docs
 
 
@@ -57,3 +61,52 @@ def test_empty_table(spark):
 
 def test_least_shared_leaves_room():
     assert 8 <= least_shared(32, 75) <= 11
+
+
+def graph(rows):
+    """Components of rows (id, text), each a document of its own."""
+    want = brute([(i, text) for i, (_, text) in enumerate(rows)])
+    groups = {}
+    for i, (_, component, _) in want.items():
+        groups.setdefault(component, []).append(rows[i][0])
+    lowest = {c: min((d for d in ids if d is not None), default=None) for c, ids in groups.items()}
+    return sorted((str(rows[i][0]), n, str(lowest[c] if n else rows[i][0])) for i, (n, c, _) in want.items())
+
+
+def test_texts_under_one_id_and_rows_without_id_keep_their_links(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (None, a + " y"), (None, "c " * 9), (None, "c " * 8), (None, None), (7, "")]
+    for order in (rows, rows[::-1]):
+        got = near_duplicate_groups(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == graph(rows)
+        assert sum(r["kept"] for r in got if r["component_id"] == 1) == 2
+
+
+def test_template_corpus(spark):
+    """Unlinked texts that share most of a template, and linked groups of them, against all pairs."""
+    rnd = random.Random(4)
+    base = [f"t{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        own = [f"o{i}_{j}" for j in range(rnd.choice([10, 25, 40, 60]))]
+        rows.append((2 * i, " ".join(base + own)))
+        if i % 3 == 0:
+            own[rnd.randrange(len(own))] = "edit"
+            rows.append((2 * i + 1, " ".join(base + own)))
+    want = brute(rows)
+    got = near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == want
+
+
+def test_sketches_alone_find_nearly_all(spark, tmp_path):
+    """Recall of the sketch path: the share of linked documents that it already joins."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    work = Workspace(spark, "recall")
+    sketches = docs.select("doc_id", "text").mapInArrow(_set_batches(5, 32), SKETCH_SCHEMA)
+    classes = sketches.where("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+    classes = work.write(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    links, _ = sketch_links(classes, docs.select("doc_id", "text"), work, 5, 32, 75)
+    joined = connected_components(links, work, "labels").count()
+    sets = work.write(_whole_sets(docs.select("doc_id", "text"), classes, 5), "sets")
+    whole = prefix_links(sets, links, work, 75)
+    assert joined >= 0.9 * connected_components(links.union(whole), work, "all").count() > 0

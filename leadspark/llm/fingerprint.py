@@ -19,6 +19,8 @@ from leadspark.llm.store import text_or_empty
 
 SEEDS, PACKED = 2, 32
 LANES = SEEDS * PACKED * 2
+#: Identity lanes, number of pairs, likeness lanes; 32 bits each.
+WIDTH = 8 + 1 + LANES
 _PAIR_MASK = 0x0000000100000001
 
 
@@ -76,6 +78,30 @@ def _signed() -> Column:
     return F.transform("halves", lambda c: F.pmod(2 * c - F.col("pairs") + wrap, 2 * wrap) - wrap)
 
 
+def _merged(a: Column, b: Column, sign: int) -> Column:
+    lane = lambda text, k: F.conv(F.substr(text, 8 * k + 1, F.lit(8)), 16, 10).cast("long")
+    return _hex(F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda k: lane(a, k) + sign * lane(b, k)), 8)
+
+
+def insert(fingerprint: Column, paragraphs: Column) -> Column:
+    """Fingerprint of a document once the paragraphs of another fingerprint have joined it, at any place."""
+    return _merged(fingerprint, paragraphs, 1)
+
+
+def delete(fingerprint: Column, paragraphs: Column) -> Column:
+    """Fingerprint of a document once the paragraphs of another fingerprint have left it; undoes ``insert``."""
+    return _merged(fingerprint, paragraphs, -1)
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id and fingerprint of every row of ``docs`` (doc_id, text); a null text is one empty paragraph."""
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    hashes = F.transform(F.split("text", "\n", -1), lambda p: F.sha2(p, 256))
+    lanes = [c.alias(f"_i{k}") for k, c in enumerate(_identity_lanes(hashes))]
+    parts = paragraph_vectors(rows.select("_row", "doc_id", "text", *lanes), ["_row"], "text", ["doc_id", *[f"_i{k}" for k in range(8)]])
+    return parts.withColumn("halves", _halves()).select("doc_id", _fingerprint().alias("fingerprint"))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Cosine of two signed lane vectors, 0 to 1; 1 for equal ones, 0 where one is all zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0).cast("long"), lambda s, v: s + v).cast("double")
@@ -110,7 +136,7 @@ def with_next(docs: DataFrame, rows_per_bucket: int = 500, most_buckets: int = 2
     firsts = placed.groupBy("bucket").agg(F.min(F.struct("doc_id", "hash")).alias("f"))
     ring = [(r["bucket"], r["f"]["doc_id"], r["f"]["hash"]) for r in firsts.orderBy("bucket").collect()]
     before = docs.sparkSession.createDataFrame([(d, h, ring[i - 1][0]) for i, (_, d, h) in enumerate(ring)], "first_id long, first_hash long, into int")
-    marked = placed.join(F.broadcast(before), (F.col("doc_id") == F.col("first_id")) & (F.col("hash") == F.col("first_hash")), "left")
+    marked = placed.join(F.broadcast(before), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash")), "left")
     own, extra = F.struct(F.col("bucket"), F.lit(0).alias("last")), F.struct(F.col("into").alias("bucket"), F.lit(1).alias("last"))
     places = F.when(F.col("into").isNull(), F.array(own)).otherwise(F.array(own, extra))
     return marked.withColumn("_at", F.explode(places)).select("_at.bucket", "_at.last", "doc_id", "hash", "text")
@@ -122,7 +148,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     The edited text replaces the last floor(n/2) code points by the first as many of the next
     document by ascending doc_id (the first after the last); a next text that is shorter is taken whole.
     Null texts are empty; an empty text has one empty paragraph. Rows that repeat a doc_id
-    follow one another by a hash of their text. One shuffle carries the texts.
+    follow one another by a hash of their text; rows without a doc_id come before all others. One shuffle carries the texts.
     """
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).withColumn("hash", F.xxhash64("text"))
     order = Window.partitionBy("bucket").orderBy("last", "doc_id", "hash")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadspark.llm.store import Workspace, text_or_empty
+from leadspark.llm.store import Workspace, spread_join, text_or_empty
 from leadspark.llm.textops import RollingHash, blocks, utf8_parts
 
 LENGTH, SEED = 200, 32
@@ -146,9 +146,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     """
     work = Workspace(docs.sparkSession, "repeats")
     runs = docs.mapInArrow(_run_batches(length, seed), RUN_SCHEMA)
-    twice = runs.groupBy("context").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("context")
-    kept = work.write(runs.join(twice, "context", "left_semi"), "runs")
+    twice = work.write(runs.groupBy("context").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "twice")
     work.drop()
+    kept = work.write(spread_join(runs, twice, ["context"]), "runs")
+    work.drop("twice")
     classes = kept.groupBy("context", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "first", "last")).alias("rep"))
     classes = work.write(classes, "classes")
     several = classes.groupBy("context").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("context")
@@ -159,7 +160,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     work.drop()
     again = windows.groupBy("context", "w").agg(F.count(F.lit(1)).alias("n"), F.max("alone").alias("open")).where("n > 1 AND open").select("context", "w")
     single = windows.where("alone").join(again, ["context", "w"], "left_semi").select("doc_id", "th", F.col("at").alias("begin"), (F.col("at") + length).alias("end"))
-    whole = kept.join(classes.where("n > 1").select("context", "stretch"), ["context", "stretch"], "left_semi")
+    whole = spread_join(kept, classes.where("n > 1").select("context", "stretch", "n"), ["context", "stretch"])
     spans = work.write(whole.select("doc_id", "th", F.col("first").alias("begin"), (F.col("last") + length).alias("end")).union(single), "spans")
     work.drop("runs", "classes", "windows")
     return spans

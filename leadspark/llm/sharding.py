@@ -17,9 +17,11 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadspark.llm.store import Workspace, gapless_rank, text_or_empty
+from leadspark.llm.store import Workspace, gapless_rank, spread_join, text_or_empty
 
 SHARDS, ROUNDS = 40, 3
+#: Parts that the rows of one hub are dealt to.
+PARTS = 64
 
 
 def _pick(values: list[int], at: Column) -> Column:
@@ -34,7 +36,10 @@ def propagate(linked: DataFrame, work: Workspace, shards: int, capacity: int, ro
         wanted = F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(max(1.0, 0.9 * capacity)))).cast("int")
         targets = held.groupBy("hub").agg(F.slice(best, F.lit(1), F.least(wanted, F.lit(shards))).alias("targets"))
         goal = F.when(F.array_contains("targets", F.col("shard")), F.col("shard")).otherwise(F.element_at("targets", (F.pmod(F.xxhash64("row"), F.size("targets")) + 1).cast("int")))
-        asked = work.write(linked.join(targets, "hub").withColumn("goal", goal).drop("targets"), f"asked-{turn}")
+        # A hub's rows are dealt to parts, each of which gets the hub's targets.
+        parted = linked.withColumn("_part", F.pmod(F.xxhash64("row"), F.lit(PARTS)))
+        targets = targets.join(parted.select("hub", "_part").distinct(), "hub")
+        asked = work.write(parted.join(targets, ["hub", "_part"]).withColumn("goal", goal).drop("targets", "_part"), f"asked-{turn}")
         load, demand = [0] * shards, [0] * shards
         for r in asked.groupBy("shard", "goal").agg(F.count(F.lit(1)).alias("n")).collect():
             load[r["shard"]] += r["n"]
@@ -60,13 +65,13 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     text = text_or_empty()
     nodes = docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("hub"))
     nodes = work.write(nodes.withColumn("row", F.monotonically_increasing_id()), "nodes").withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
-    hubs = work.write(nodes.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hub"), "hubs")
+    hubs = work.write(nodes.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs")
     total = nodes.count()
-    linked = propagate(nodes.join(hubs, "hub", "left_semi"), work, shards, -(-total // shards), rounds)
-    placed = nodes.join(hubs, "hub", "left_anti").withColumn("linked", F.lit(0)).unionByName(linked.withColumn("linked", F.lit(1)))
+    linked = propagate(spread_join(nodes, hubs, ["hub"]), work, shards, -(-total // shards), rounds)
+    placed = spread_join(nodes, hubs, ["hub"], "left_anti").withColumn("linked", F.lit(0)).unionByName(linked.withColumn("linked", F.lit(1)))
 
     buckets = max(1, min(4096, total // (5000 * shards) + 1))
-    spread = F.when(F.col("linked") == 1, F.pmod(F.xxhash64("hub"), F.lit(buckets))).otherwise(F.pmod(F.xxhash64("row"), F.lit(buckets)) + buckets)
+    spread = F.pmod(F.xxhash64("row", F.lit(7)), F.lit(buckets)) + F.when(F.col("linked") == 1, 0).otherwise(buckets)
     ranked = work.write(gapless_rank(placed, ["shard"], [F.col("hub"), F.col("row")], spread, 2 * buckets, "rank"), "ranked")
     have = [0] * shards
     for r in ranked.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect():

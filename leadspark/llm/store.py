@@ -57,6 +57,20 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def spread_join(rows: DataFrame, counted: DataFrame, keys: list[str], how: str = "left_semi", parts: int = 64, most_hot: int = 1000) -> DataFrame:
+    """Join ``rows`` with ``counted`` (keys, n: how many rows have them), a written table, on ``keys``.
+
+    A key with over 1 / ``most_hot`` of all counted rows is dealt to ``parts`` parts, each of which gets a copy of its row
+    of ``counted``. Fewer than ``most_hot`` keys can be that frequent, so naming them is a broadcast of bounded size.
+    """
+    limit = (counted.agg(F.sum("n").alias("n")).first()["n"] or 0) / most_hot
+    hot = F.broadcast(counted.where(F.col("n") > limit).select(*keys, F.lit(True).alias("_hot")))
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(parts))).otherwise(F.lit(0)).alias("_part")
+    copies = F.when(F.col("n") > limit, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(hot, keys, "left").select(*rows.columns, part)
+    return left.join(counted.withColumn("_part", F.explode(copies).cast("long")), [*keys, "_part"], how).drop("_part")
+
+
 def gapless_rank(df: DataFrame, group: list[str], order: list[Column], spread: Column, buckets: int, out: str) -> DataFrame:
     """Add ``out``: 0, 1, 2 ... within ``group``, without bringing a group into one task.
 

@@ -1,6 +1,10 @@
 import hashlib
+import math
 
-from leadspark.llm.fingerprint import fingerprint_edits
+import pytest
+from pyspark.sql import functions as F
+
+from leadspark.llm.fingerprint import delete, fingerprint_edits, fingerprints, insert
 from tests.llm.fixtures import awkward_docs, empty_docs
 
 
@@ -40,3 +44,59 @@ def test_repeated_rows_and_empty_table(spark):
     docs = awkward_docs(spark)
     assert fingerprint_edits(docs).count() == docs.count()
     assert fingerprint_edits(empty_docs(spark)).collect() == []
+
+
+def plain_lanes(spark, texts):
+    """Lanes in plain Python; Spark only hashes the word pairs."""
+    pairs = {(a, b) for t in texts for p in t.split("\n") for a, b in zip(p.split(" "), [*p.split(" ")[1:], None], strict=True)}
+    table = spark.createDataFrame(list(pairs), "l string, r string").select("l", "r", *[F.xxhash64("l", "r", F.lit(s)).alias(f"h{s}") for s in range(2)])
+    hashed = {(r["l"], r["r"]): (r["h0"], r["h1"]) for r in table.collect()}
+    out = {}
+    for t in texts:
+        identity, count, bits = [0] * 8, 0, [0] * 128
+        for p in t.split("\n"):
+            digest = hashlib.sha256(p.encode()).hexdigest()
+            identity = [(x + int(digest[8 * k : 8 * k + 8], 16)) % 2**32 for k, x in enumerate(identity)]
+            words = p.split(" ")
+            for pair in zip(words, [*words[1:], None], strict=True):
+                count += 1
+                for s, h in enumerate(hashed[pair]):
+                    for k in range(32):
+                        bits[64 * s + 2 * k] += h >> (k + 32) & 1
+                        bits[64 * s + 2 * k + 1] += h >> k & 1
+        out[t] = ("".join(f"{x:08x}" for x in [*identity, count, *bits]), [2 * b - count for b in bits])
+    return out
+
+
+def test_equals_plain_python(spark):
+    docs = awkward_docs(spark, 24).dropDuplicates(["doc_id"]).where("n_chars < 9000")
+    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+    edits = [t[: len(t) - len(t) // 2] + rows[(i + 1) % len(rows)][1][: len(t) // 2] for i, (_, t) in enumerate(rows)]
+    lanes = plain_lanes(spark, {t for _, t in rows} | set(edits))
+    cosine = lambda a, b: 1.0 if a == b else max(0.0, sum(map(float.__mul__, map(float, a), map(float, b))) / (math.hypot(*a) * math.hypot(*b) or 1))
+    got = {r["doc_id"]: r for r in fingerprint_edits(docs).collect()}
+    for i, (doc, text) in enumerate(rows):
+        (own, a), (other, b), (_, c) = lanes[text], lanes[edits[i]], lanes[rows[(i + 1) % len(rows)][1]]
+        assert (got[doc]["fingerprint"], got[doc]["edited_fingerprint"]) == (own, other)
+        assert got[doc]["near_edited"] == pytest.approx(cosine(a, b)) and got[doc]["near_next"] == pytest.approx(cosine(a, c))
+
+
+def test_insert_and_delete(spark):
+    texts = ["a b\nc d", "e f g", "a b\ne f g\nc d", ""]
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    row = spark.createDataFrame([(got[0], got[1], got[2])], "a string, b string, c string").select(insert(F.col("a"), F.col("b")).alias("more"), delete(F.col("c"), F.col("b")).alias("less")).first()
+    assert (row["more"], row["less"]) == (got[2], got[0])
+    edited = {r["doc_id"]: r["fingerprint"] for r in fingerprint_edits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert edited == got
+
+
+def test_long_repetitions_do_not_wrap(spark):
+    rows = [(1, "a " * 20_000), (2, "a " * 35_000)]
+    got = {r["doc_id"]: r for r in fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["near_next"] > 0.99
+
+
+def test_rows_without_id_come_first(spark):
+    rows = [(None, "u v w x"), (5, "a b c d"), (9, "e f g h")]
+    got = {r["doc_id"]: r["edited_sha256"] for r in fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in ((None, "u v a b"), (5, "a b e f"), (9, "e f u v"))}

@@ -55,3 +55,11 @@ def test_real_rows(spark):
 
 def test_empty_table(spark):
     assert remove_repeats(empty_docs(spark)).collect() == []
+
+
+def test_rows_without_id_lose_their_repeats_too(spark):
+    rnd = random.Random(9)
+    long = "".join(rnd.choice("abcdefgh") for _ in range(400))
+    rows = [(None, long), (4, "x" + long), (None, "short"), (None, "q" * 150), (0, long[:250] + "y")]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted((w[1], w[2], w[4]) for w in brute([(i, t) for i, (_, t) in enumerate(rows)]))

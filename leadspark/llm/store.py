@@ -68,7 +68,7 @@ def spread_join(rows: DataFrame, counted: DataFrame, keys: list[str], how: str =
     part = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(parts))).otherwise(F.lit(0)).alias("_part")
     copies = F.when(F.col("n") > limit, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
     left = rows.join(hot, keys, "left").select(*rows.columns, part)
-    return left.join(counted.withColumn("_part", F.explode(copies).cast("long")), [*keys, "_part"], how).drop("_part")
+    return left.join(counted.withColumn("_part", F.explode(copies.cast("array<bigint>"))), [*keys, "_part"], how).drop("_part")
 
 
 def gapless_rank(df: DataFrame, group: list[str], order: list[Column], spread: Column, buckets: int, out: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Benchmark leaks: word n-grams as seeds, Smith-Waterman alignment as the judge.
 
-The benchmark's n-grams are indexed in blocks of items of bounded size; every block is matched
-against all texts in one pass. How often the corpus holds a seed decides nothing: many copies of an
-edited or cut item make some of its seeds frequent and leave the others absent, like everyday words
-do. Every document with enough seeds of one item within its reach is therefore a candidate. An
+The items' n-grams form a table of seeds (an item of fewer than ``n`` words is one seed of its own length). One
+pass over the texts notes the places of the n-grams that pass a bit table of the seeds; places and seeds are joined by
+shuffle, so the benchmark may be of any size. How often the corpus holds a seed decides nothing: many copies
+of an edited or cut item make some of its seeds frequent and leave the others absent, like everyday words do.
+Every document with enough seeds of one item within its reach is therefore a candidate. An
 alignment matches at most the words that item and window share, counted with repeats; a candidate
 that cannot reach the least score by this bound is passed over, which loses nothing. The
 others are aligned word by word, and the score is the share of a perfect alignment that the best local one reaches.
@@ -20,73 +21,82 @@ from leadspark.llm.store import Workspace
 from leadspark.llm.textops import blocks, mix, utf8_parts, word_hashes
 
 N_GRAM = 3
-#: Items whose seeds are matched in one pass; a larger benchmark takes more passes.
-BLOCK_ITEMS = 20_000
+#: Size of the bit table of seeds, as a power of two; it reaches the driver as at most 2**(BITS - 6) rows.
+BITS = 24
 LEAST_SEEDS, LEAST_SCORE = 2, 0.4
 MATCH, MISMATCH, GAP = 2, -1, -1
-HIT_SCHEMA = "doc_id long, text string, hits array<struct<seed:int,at:int>>"
+#: Words of a window that are aligned at once, at least; longer windows are cut into overlapping ones.
+PIECE = 4096
+ITEM_SCHEMA = "item_id long, size int, words array<long>, seeds array<struct<seed:long,place:int>>"
+HIT_SCHEMA = "doc_id long, text string, hits array<struct<seed:long,at:int>>"
 RESULT_SCHEMA = "doc_id long, item_id long, seeds int, score double, begin_word int, end_word int"
 
 
 def _grams(value: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(max(0, len(value) - n + 1), np.uint64)
+    """Hash of every run of ``n`` words; the length is a part of it."""
+    out = np.full(max(0, len(value) - n + 1), n, np.uint64)
     for j in range(n):
         out = out * np.uint64(0x8CB92BA72F3D8DD7) + value[j : len(value) - n + 1 + j]
     return mix(out)
 
 
-class SeedIndex:
-    """Distinct seeds of a block of items, sorted by hash, and the items and places that have them."""
-
-    def __init__(self, items: list[tuple[int, str]], n: int) -> None:
-        self.n, self.items = n, []
-        seeds, owner, place = [], [], []
-        for k, (item, text) in enumerate(items):
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            value = word_hashes(raw, np.array([0, len(raw)]))[0]
-            grams = _grams(value, min(n, len(value))) if len(value) else np.zeros(0, np.uint64)
-            self.items.append((item, value))
-            seeds.append(grams)
-            owner.append(np.full(len(grams), k))
-            place.append(np.arange(len(grams)))
-        flat = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
-        order = np.argsort(flat, kind="stable")
-        self.owner = np.concatenate(owner)[order] if seeds else flat.astype(int)
-        self.place = np.concatenate(place)[order] if seeds else flat.astype(int)
-        self.hash, self.first = np.unique(flat[order], return_index=True)
-        self.until = np.append(self.first[1:], len(flat))
-        # A table of 20-bit prefixes turns most words away before the search.
-        self.prefix = np.zeros(1 << 20, bool)
-        self.prefix[(self.hash >> np.uint64(44)).astype(np.int64)] = True
-
-    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``grams`` that hold a seed, and the seeds' numbers."""
-        at = np.flatnonzero(self.prefix[(grams >> np.uint64(44)).astype(np.int64)])
-        if not len(at) or not len(self.hash):
-            return at[:0], at[:0]
-        spot = np.minimum(np.searchsorted(self.hash, grams[at]), len(self.hash) - 1)
-        ok = self.hash[spot] == grams[at]
-        return at[ok], spot[ok]
-
-
-def _hit_batches(index: SeedIndex):
+def _words(text: str) -> np.ndarray:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return word_hashes(raw, np.array([0, len(raw)]))[0]
+
+
+def _item_batches(n: int):
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                value = _words(text)
+                if len(value):
+                    grams = _grams(value, min(n, len(value))).view(np.int64).tolist()
+                    rows.append({"item_id": item, "size": len(value), "words": value.view(np.int64).tolist(), "seeds": [{"seed": g, "place": i} for i, g in enumerate(grams)]})
+            kinds = {"item_id": pa.int64(), "size": pa.int32(), "words": pa.list_(pa.int64()), "seeds": pa.list_(pa.struct([("seed", pa.int64()), ("place", pa.int32())]))}
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds.items()], list(kinds))
+
+    return run
+
+
+def bit_table(seeds: DataFrame, bits: int = BITS) -> np.ndarray:
+    """Which of the 2**``bits`` leading bit patterns some seed has, as packed 64-bit words."""
+    lead = F.shiftrightunsigned("seed", 64 - bits)
+    set_bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - bits}) & 63 AS INT))")
+    rows = seeds.groupBy(F.shiftrightunsigned(lead, 6).alias("at")).agg(F.bit_or(set_bit).alias("word")).toPandas()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[rows["at"].to_numpy(np.int64)] = rows["word"].to_numpy(np.int64)
+    return table.view(np.uint64)
+
+
+def _hit_batches(table: np.ndarray, lengths: list[int], bits: int):
+    """Places of the n-grams of each length that pass the bit table."""
+    one = np.uint64(1)
+
     def run(batches):
         for batch in batches:
             data, offsets = utf8_parts(batch.column(1))
             for lo, hi in blocks(offsets):
                 base = offsets[lo]
                 value, _, _, docs = word_hashes(data[base : offsets[hi]], offsets[lo : hi + 1] - base)
-                if len(value) < index.n:
-                    continue
-                at, seed = index.find(_grams(value, index.n))
-                ok = docs[at] == docs[at + index.n - 1]
-                at, seed = at[ok], seed[ok]
+                found, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for n in lengths:
+                    if len(value) >= n:
+                        grams = _grams(value, n)
+                        lead = grams >> np.uint64(64 - bits)
+                        at = np.flatnonzero((table[(lead >> np.uint64(6)).astype(np.int64)] >> (lead & np.uint64(63)) & one).astype(bool) & (docs[: len(grams)] == docs[n - 1 :]))
+                        found.append(grams[at])
+                        places.append(at)
+                seed, at = np.concatenate(found), np.concatenate(places)
                 if not len(at):
                     continue
+                order = np.argsort(at, kind="stable")
+                seed, at = seed[order], at[order]
                 count = np.bincount(docs, minlength=hi - lo)
                 word = at - (np.cumsum(count) - count)[docs[at]]
                 doc, begin = np.unique(docs[at], return_index=True)
-                entries = pa.StructArray.from_arrays([pa.array(seed.astype(np.int32)), pa.array(word.astype(np.int32))], ["seed", "at"])
+                entries = pa.StructArray.from_arrays([pa.array(seed.view(np.int64)), pa.array(word.astype(np.int32))], ["seed", "at"])
                 lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(at)).astype(np.int32)), entries)
                 take = pa.array(doc + lo)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), lists], ["doc_id", "text", "hits"])
@@ -146,30 +156,29 @@ def most_matches(item: tuple[np.ndarray, np.ndarray], window: np.ndarray) -> int
     return int(np.minimum(held, count).sum())
 
 
-def _judge_batches(index: SeedIndex, least_seeds: int, least_score: float, batch_jobs: int = 128, batch_words: int = 1 << 18):
-    counted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def can_reach(k, window):
-        if k not in counted:
-            counted[k] = np.unique(index.items[k][1], return_counts=True)
-        return most_matches(counted[k], window) >= least_score * len(index.items[k][1])
-
-    def windows(hits, value):
-        """(item, seeds, first word, last word) of every cluster of seeds."""
-        seed, at = np.asarray(hits.field(0)), np.asarray(hits.field(1)).astype(np.int64)
-        reps = index.until[seed] - index.first[seed]
-        slot = np.repeat(index.first[seed], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        item, word, place = index.owner[slot], np.repeat(at, reps), index.place[slot]
-        for k in np.unique(item):
-            mine = item == k
-            w, p, size = word[mine], place[mine], len(index.items[k][1])
-            order = np.argsort(w, kind="stable")
-            w, p = w[order], p[order]
-            cut = np.flatnonzero(np.diff(w) > size + 8) + 1
-            for ws, ps in zip(np.split(w, cut), np.split(p, cut), strict=True):
-                need = min(least_seeds, max(1, size - index.n + 1))
-                if len(np.unique(ps)) >= need:
-                    yield int(k), len(np.unique(ps)), max(0, int(ws[0]) - size - 8), min(len(value), int(ws[-1]) + size + 8)
+def pieces(begin: int, end: int, size: int, least_score: float) -> list[tuple[int, int]]:
+    """Cuts of the window [begin, end) that overlap by as many words as an alignment of the least score can take."""
+    reach = size + int(np.ceil(MATCH * size * (1 - least_score))) + 1
+    length = max(PIECE, 2 * reach)
+    return [(a, min(end, a + length)) for a in range(begin, max(begin + 1, end - reach), length - reach)]
+
+
+def _windows(spots: list[tuple[int, int]], size: int, n_words: int, least: int):
+    """(seeds, first word, last word) of every cluster of (place in the text, place in the item) pairs."""
+    at = np.array(sorted(spots), np.int64)
+    cut = np.flatnonzero(np.diff(at[:, 0]) > size + 8) + 1
+    for part in np.split(at, cut):
+        seeds = len(np.unique(part[:, 1]))
+        if seeds >= least:
+            yield seeds, max(0, int(part[0, 0]) - size - 8), min(n_words, int(part[-1, 0]) + size + 8)
+
+
+def _least(size, n: int, least_seeds: int):
+    return min(least_seeds, max(1, size - n + 1))
+
+
+def _judge_batches(n: int, least_seeds: int, least_score: float, batch_jobs: int = 128, batch_words: int = 1 << 18):
+    """Candidates (doc_id, text, items: item_id, words, spots) to findings."""
 
     def run(batches):
         for batch in batches:
@@ -178,32 +187,34 @@ def _judge_batches(index: SeedIndex, least_seeds: int, least_score: float, batch
 
             def settle():
                 score, begin, end = align(jobs)
-                for (doc, k, seeds, lo), s, a, b in zip(about, score, begin, end, strict=True):
-                    share = float(s) / (MATCH * max(1, len(index.items[k][1])))
-                    if share >= least_score and share > out.get((doc, k), (0, 0.0))[1]:
-                        out[doc, k] = (seeds, share, lo + int(a), lo + int(b))
+                for (row, k, seeds, lo), (words, _), s, a, b in zip(about, jobs, score, begin, end, strict=True):
+                    share = float(s) / (MATCH * len(words))
+                    if share >= least_score and share > out.get((row, k), (0, 0.0))[1]:
+                        out[row, k] = (seeds, share, lo + int(a), lo + int(b))
                 jobs.clear()
                 about.clear()
 
-            for doc, text, hits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                if len(hits.values) < least_seeds and index.n > 1 and not any(len(v) <= index.n for _, v in index.items):
-                    continue
-                raw = np.frombuffer(text.as_py().encode(), np.uint8)
-                value = word_hashes(raw, np.array([0, len(raw)]))[0]
-                for k, seeds, lo, hi in windows(hits.values, value):
-                    if not can_reach(k, value[lo:hi]):
-                        continue
-                    # Jobs are padded to the widest of their batch.
-                    if jobs and max(width, hi - lo) * (len(jobs) + 1) > batch_words:
-                        settle()
-                    width = max(width, hi - lo) if jobs else hi - lo
-                    jobs.append((index.items[k][1], value[lo:hi]))
-                    about.append((doc, k, seeds, lo))
-                    if len(jobs) >= batch_jobs:
-                        settle()
+            doc_ids = batch.column(0).to_pylist()
+            for row, (text, items) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+                value = _words(text.as_py())
+                for item in items:
+                    k, words, spots = item["item_id"].as_py(), np.asarray(item["words"].values, np.int64).view(np.uint64), item["spots"].as_py()
+                    distinct = np.unique(words, return_counts=True)
+                    for seeds, begin, end in _windows([(s["at"], s["place"]) for s in spots], len(words), len(value), _least(len(words), n, least_seeds)):
+                        for lo, hi in pieces(begin, end, len(words), least_score):
+                            if most_matches(distinct, value[lo:hi]) < least_score * len(words):
+                                continue
+                            # Jobs are padded to the widest of their batch.
+                            if jobs and max(width, hi - lo) * (len(jobs) + 1) > batch_words:
+                                settle()
+                            width = max(width, hi - lo) if jobs else hi - lo
+                            jobs.append((words, value[lo:hi]))
+                            about.append((row, k, seeds, lo))
+                            if len(jobs) >= batch_jobs:
+                                settle()
             if jobs:
                 settle()
-            rows = [(doc, index.items[k][0], *v) for (doc, k), v in out.items()]
+            rows = [(doc_ids[row], k, *v) for (row, k), v in out.items()]
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "seeds", "score", "begin_word", "end_word"])
@@ -211,25 +222,26 @@ def _judge_batches(index: SeedIndex, least_seeds: int, least_score: float, batch
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE, bits: int = BITS) -> DataFrame:
     """Documents that hold a benchmark item or an edited copy: doc_id, item_id, seeds, score, begin_word, end_word.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text. Null and empty texts and items
-    match nothing; letters match in either case. A row that repeats a document gives its findings once. Word places are of
+    match nothing; letters match in either case; an item of one word is found wherever a text has that word. Of the texts under
+    one item_id, and of the rows under one doc_id (null included), the best alignment counts. Word places are of
     the text's white-space words, end exclusive.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark, "leaks")
+    work = Workspace(docs.sparkSession, "leaks")
     texts = docs.select(F.col("doc_id").cast("long"), F.lower("text").alias("text")).where("text is not null")
-    found = spark.createDataFrame([], RESULT_SCHEMA)
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.lower("text").alias("text")).dropDuplicates(["item_id"])
-    # Items come to the driver block by block, each of a fixed number of items.
-    blocks_of = max(1, -(-items.count() // block_items))
-    for b in range(blocks_of):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks_of)) == b).orderBy("item_id").collect()
-        if not part:
-            continue
-        index = SeedIndex([(r["item_id"], r["text"]) for r in part], n)
-        hits = work.write(texts.mapInArrow(_hit_batches(index), HIT_SCHEMA), f"hits-{b}")
-        found = found.union(hits.mapInArrow(_judge_batches(index, least_seeds, least_score), RESULT_SCHEMA))
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.lower("text").alias("text")).distinct()
+    items = work.write(items.mapInArrow(_item_batches(n), ITEM_SCHEMA).withColumn("item", F.monotonically_increasing_id()), "items")
+    seeds = items.select("item", "size", F.explode("seeds").alias("s")).select("s.seed", "s.place", "item", "size")
+    lengths = sorted(r[0] for r in items.select(F.least("size", F.lit(n))).distinct().collect())
+    hits = texts.mapInArrow(_hit_batches(bit_table(seeds, bits), lengths, bits), HIT_SCHEMA)
+    hits = work.write(hits.withColumn("row", F.monotonically_increasing_id()), "hits")
+    marks = hits.select("row", F.explode("hits").alias("h")).select("row", "h.seed", "h.at")
+    spots = marks.join(seeds, "seed").groupBy("row", "item").agg(F.collect_list(F.struct("at", "place")).alias("spots"), F.count_distinct("place").alias("places"), F.first("size").alias("size"))
+    enough = F.least(F.lit(least_seeds), F.greatest(F.lit(1), F.col("size") - n + 1))
+    told = spots.where(F.col("places") >= enough).join(items.select("item", "item_id", "words"), "item")
+    per_row = told.groupBy("row").agg(F.collect_list(F.struct("item_id", "words", "spots")).alias("items"))
+    found = hits.join(per_row, "row").select("doc_id", "text", "items").mapInArrow(_judge_batches(n, least_seeds, least_score), RESULT_SCHEMA)
     return found.groupBy("doc_id", "item_id").agg(*[F.max_by(c, F.struct("score", "begin_word")).alias(c) for c in ("seeds", "score", "begin_word", "end_word")])

@@ -97,6 +97,15 @@ def _whole_sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return found.join(wanted.select("cid", "n", "key_a", "key_b"), ["key_a", "key_b", "n"]).dropDuplicates(["cid"]).select("cid", "n", "items")
 
 
+def _extended(labels: DataFrame, links: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """``labels`` (id, label) once ``links`` between classes have joined their components; only components are walked."""
+    ends = _with_component(links.select(F.col("a").alias("cid"), "b"), labels).select(F.col("comp").alias("a"), F.col("b").alias("cid"))
+    over = connected_components(_with_component(ends, labels).select("a", F.col("comp").alias("b")), work, name)
+    ids = labels.select("id", "label").union(over.select("id", F.col("id").alias("label")))
+    joined = ids.join(over.select(F.col("id").alias("label"), F.col("label").alias("_to")), "label", "left")
+    return work.write(joined.select("id", F.coalesce("_to", "label").alias("label")).where("id <> label"), f"{name}-labels")
+
+
 def _with_component(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels.select(F.col("id").alias("cid"), "label"), "cid", "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
 
@@ -109,7 +118,7 @@ def _undecided(lists: DataFrame, labels: DataFrame, least: Column) -> DataFrame:
 
 
 def sketch_links(classes: DataFrame, texts: DataFrame, work: Workspace, width: int, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(verified links, cids that stay undecided) by lists of retained values of ``classes`` (cid, rep, n, key_a, key_b, sketch)."""
+    """(labels of the classes that verified links join, cids that stay undecided) by lists of retained values of ``classes`` (cid, rep, n, key_a, key_b, sketch)."""
     least = F.least(F.lit(least_shared(k, percent)), F.ceil(F.col("n") * percent / 100)).cast("int")
     retained = classes.select("cid", "n", F.explode("sketch").alias("v"))
     shared = retained.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -128,11 +137,12 @@ def sketch_links(classes: DataFrame, texts: DataFrame, work: Workspace, width: i
     links = work.write(_verify(likely, sets, percent), "sketch-links")
     work.drop("likely", "likely-sets")
     lists = order.select("cid", "n", F.explode("order.v").alias("v"))
-    return links, _undecided(lists, connected_components(links, work, "sketched"), least)
+    labels = connected_components(links, work, "sketched")
+    return labels, _undecided(lists, labels, least)
 
 
-def prefix_links(sets: DataFrame, links: DataFrame, work: Workspace, percent: int) -> DataFrame:
-    """Further verified links of ``sets`` (cid, n, items) that join different components of ``links``; none is lost."""
+def prefix_links(sets: DataFrame, labels: DataFrame, work: Workspace, percent: int) -> DataFrame:
+    """``labels`` (id, label) with all further links between ``sets`` (cid, n, items); none is lost."""
     items = sets.select("cid", "n", F.explode("items").alias("v"))
     common = items.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ranked = items.join(common, "v").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("order"))
@@ -149,19 +159,22 @@ def prefix_links(sets: DataFrame, links: DataFrame, work: Workspace, percent: in
         found = left.alias("x").join(right.alias("y"), on)
         return found.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 
-    placed = _with_component(posts, connected_components(links, work, "before"))
+    placed = _with_component(posts, labels)
     central = placed.groupBy("v").agg(F.min(F.struct((F.col("pos") / F.col("n")).alias("far"), "cid", "n", "pos", "comp")).alias("h")).select("v", "h.*")
     first = work.write(_verify(candidates(central, placed, F.col("x.comp") != F.col("y.comp")), sets, percent), "first")
 
     # What is still apart: the smaller class of a pair shares a value in its shorter prefix.
-    placed = work.write(_with_component(posts, connected_components(links.union(first), work, "between")), "placed")
+    labels = _extended(labels, first, work, "between")
+    placed = work.write(_with_component(posts, labels), "placed")
     per = placed.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = per.groupBy("v").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     mixed = placed.join(main, "v").withColumn("aside", F.col("comp") != F.col("main"))
     small = mixed.where((F.col("n") - F.col("pos")) * (100 + percent) >= 2 * percent * F.col("n"))
     apart = (F.col("x.comp") != F.col("y.comp"), F.struct("x.n", "x.cid") < F.struct("y.n", "y.cid"))
     rest = candidates(small.where("aside"), mixed, *apart).union(candidates(small.where("not aside"), mixed.where("aside"), *apart)).distinct()
-    return work.write(first.union(_verify(rest, sets, percent)), "prefix-links")
+    labels = _extended(labels, work.write(_verify(rest, sets, percent), "rest"), work, "last")
+    work.drop("posts", "placed")
+    return labels
 
 
 def near_duplicate_groups(docs: DataFrame, width: int = WIDTH, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -180,13 +193,12 @@ def near_duplicate_groups(docs: DataFrame, width: int = WIDTH, k: int = K, perce
     key = ["key_a", "key_b", "n"]
     classes = sketches.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     classes = work.write(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    links, open_classes = sketch_links(classes, texts, work, width, k, percent)
+    labels, open_classes = sketch_links(classes, texts, work, width, k, percent)
     open_classes = work.write(open_classes, "undecided")
     sets = work.write(_whole_sets(texts, classes.join(open_classes, "cid", "left_semi"), width), "sets")
     work.drop("order")
-    links = links.union(prefix_links(sets, links, work, percent))
-    labels = work.write(connected_components(links, work, "all"), "labels")
-    work.drop("posts", "placed", "sets")
+    labels = prefix_links(sets, labels, work, percent)
+    work.drop("sets")
 
     members = _with_component(classes.select("cid", *key, "rep"), labels)
     lowest = members.groupBy("comp").agg(F.min("rep").alias("component_id"))

@@ -2,7 +2,7 @@
 
 The plan depends on the histogram of piece lengths alone, at most ``capacity`` counts, so it is made
 on the driver whatever the corpus holds: for the longest lengths first, the exact complement
-is looked up among single lengths, sums of two and sums of three, and consumed as often as all its
+is looked up in a hash index of single lengths, sums of two and sums of three, and consumed as often as all its
 parts are available; where no combination fills a gap exactly, best fit takes the longest length that
 fits and the search goes on with what is left. Pieces then find their place by their rank
 within their length, which Spark numbers without gathering a length in one task.
@@ -10,11 +10,13 @@ within their length, which Spark numbers without gathering a length in one task.
 
 from __future__ import annotations
 
-import base64
+import os
 import sys
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,59 +37,58 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class _Words(dict):
-    """Ids of a blank and the word after it, kept up to ``most`` words."""
-
-    def __init__(self, encode: Callable, most: int) -> None:
-        super().__init__()
-        self.encode, self.most = encode, most
-
-    def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace():
-            raise ValueError("white space after a blank")
-        if len(self) >= self.most:
-            self.clear()
-        ids = self[word] = self.encode(" " + word)
-        return ids
-
-
 class CachedEncoder:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Token ids of whole texts, by the tokenizer itself, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer's vocabulary is read in its form of ranked byte pairs, which gives the same ids (held
-    against the tokenizer in the tests) at a fraction of the cost a word. Its pre-tokenizer
-    never joins what a single blank before a visible character separates, so a text is encoded blank
-    by blank and repeated words come from a bounded cache. Texts with other runs of white space
-    around a blank are encoded in one go.
+    The pre-tokenizer never joins what a single blank before a visible character separates, so a
+    text is encoded blank by blank; repeated words come from a bounded cache and the others go to the
+    tokenizer in one batch. Texts with other runs of white space around a blank, and those that hold
+    the string of a special token, are encoded in one go.
     """
 
     def __init__(self, path: str, most: int = 500_000) -> None:
-        import public_tokenizers
-        import tiktoken
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
 
-        with open(f"{path.rpartition('.')[0]}.tiktoken", "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.encode = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.words = _Words(self._direct, most)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words: dict[str, bytes] = {}
 
-    def _direct(self, text: str) -> bytes:
-        ids = array("I", self.encode(text))
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        out = array("I", ids)
         if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
+            out.byteswap()
+        return out.tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        try:
-            found = b"".join(map(self.words.__getitem__, rest))
-        except ValueError:
-            return self._direct(text)
-        return self._direct(first) + found if first else found
+        parts = text.split(" ")
+        if any(not w or w[0].isspace() for w in parts[1:]) or any(s in text for s in self.special):
+            return self._whole(text)
+        parts[1:] = [" " + w for w in parts[1:]]
+        if not parts[0]:
+            del parts[0]
+        fresh = [w for w in set(parts) if w not in self.words]
+        if fresh:
+            if len(self.words) + len(fresh) > self.most:
+                self.words.clear()
+                fresh = list(set(parts))
+            for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+                self.words[w] = self._bytes(e.ids)
+        return b"".join(map(self.words.__getitem__, parts))
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> CachedEncoder:
+    return CachedEncoder(path)
 
 
 def _piece_batches(path: str, capacity: int) -> Callable:
     def run(batches):
-        encode, end = CachedEncoder(path), b"\0\0\0\0"
+        encode, end = _encoder(path), b"\0\0\0\0"
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -113,64 +114,76 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_piece_batches(path, capacity), PIECE_SCHEMA)
 
 
-def exact_fill(gap: int, counts: np.ndarray) -> list[int] | None:
-    """One, two or three lengths with counts left that sum to ``gap``, longest parts first."""
-    if gap <= 0:
-        return None
-    if gap < len(counts) and counts[gap] > 0:
-        return [gap]
-    there = counts > 0
-    top = min(gap - 1, len(counts) - 1)
-    if top < 1:
-        return None
-    a = np.arange(top, 0, -1)
-    pair = a[there[a] & there[np.clip(gap - a, 0, top)] & (gap - a >= 1) & (gap - a <= top)]
-    pair = pair[(2 * pair != gap) | (counts[pair] > 1)]
-    if len(pair):
-        return [int(pair[0]), int(gap - pair[0])]
-    # Bit b of ``have`` says whether length b is there, of ``mirror`` whether length ``top`` - b is.
-    have = int.from_bytes(np.packbits(there[: top + 1], bitorder="little").tobytes(), "little")
-    mirror = int.from_bytes(np.packbits(there[top::-1], bitorder="little").tobytes(), "little")
-    for first in a[there[a]].tolist():
-        if 3 * first < gap:
-            break
-        last = counts[first] == 1
-        rest, one = gap - first, have & ~(1 << first) if last else have
-        other = mirror & ~(1 << (top - first)) if last else mirror
-        both = one & (other >> (top - rest) if rest <= top else other << (rest - top)) & ((2 << min(rest - 1, first)) - 2)
-        while both:
-            b = both.bit_length() - 1
-            if 2 * b != rest or counts[b] - (b == first) > 1:
-                return [first, b, rest - b]
-            both ^= 1 << b
-    return None
+class SumIndex:
+    """Hash index of the single, pair and triple sums of the lengths in stock.
+
+    For every sum that was asked for, the index keeps the longest first part that may still
+    lead to it. Stock only falls, so what has run out never comes back, and all look-ups together take
+    no more steps than there are (sum, first part) pairs.
+    """
+
+    def __init__(self, counts: list[int]) -> None:
+        self.counts = counts
+        self.pairs: dict[int, int] = {}
+        self.triples: dict[int, int] = {}
+
+    def _holds(self, a: int, b: int) -> bool:
+        return self.counts[a] > (a == b) and self.counts[b] > 0
+
+    def pair(self, total: int, taken: int = 0) -> list[int] | None:
+        """Two lengths of the sum, longest first, beside one piece of length ``taken``."""
+        first = self.pairs.get(total, min(total - 1, len(self.counts) - 1))
+        while 2 * first >= total and not self._holds(first, total - first):
+            first -= 1
+        self.pairs[total] = first
+        if not taken:
+            return [first, total - first] if 2 * first >= total else None
+        self.counts[taken] -= 1
+        while 2 * first >= total and not self._holds(first, total - first):
+            first -= 1
+        self.counts[taken] += 1
+        return [first, total - first] if 2 * first >= total else None
+
+    def fill(self, gap: int) -> list[int] | None:
+        """One, two or three lengths in stock that sum to ``gap``."""
+        if gap <= 0:
+            return None
+        if gap < len(self.counts) and self.counts[gap]:
+            return [gap]
+        if two := self.pair(gap):
+            return two
+        first = self.triples.get(gap, min(gap - 2, len(self.counts) - 1))
+        found = None
+        while 3 * first >= gap and found is None:
+            found = self.pair(gap - first, first) if self.counts[first] else None
+            first -= found is None
+        self.triples[gap] = first
+        return found and [first, *found]
 
 
 def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of one sequence, number of such sequences); uses every piece exactly once."""
-    counts = np.zeros(capacity + 1, np.int64)
+    counts = [0] * (capacity + 1)
     for length, n in histogram.items():
         counts[length] += n
+    index = SumIndex(counts)
     plan: list[tuple[tuple[int, ...], int]] = []
     for seed in range(capacity, 0, -1):
         while counts[seed]:
             parts, gap = [seed], capacity - seed
             counts[seed] -= 1
             while gap:
-                found = exact_fill(gap, counts)
-                if found is None:
-                    fits = np.flatnonzero(counts[: gap + 1])
-                    found = [int(fits[-1])] if len(fits) else []
-                    if not found:
-                        break
+                found = index.fill(gap) or next(([n] for n in range(min(gap, capacity), 0, -1) if counts[n]), None)
+                if not found:
+                    break
                 for length in found:
                     counts[length] -= 1
                     parts.append(length)
                     gap -= length
-            need = np.bincount(parts, minlength=capacity + 1)
-            used = np.flatnonzero(need)
-            again = int((counts[used] // need[used]).min())
-            counts[used] -= again * need[used]
+            need = Counter(parts)
+            again = min(counts[n] // k for n, k in need.items())
+            for n, k in need.items():
+                counts[n] -= again * k
             plan.append((tuple(parts), 1 + again))
     return plan
 

@@ -97,7 +97,7 @@ def connected_components(links: DataFrame, work: Workspace, name: str) -> DataFr
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, turn = work.write(edges, f"{name}-0"), 0
-    while True:
+    while not edges.isEmpty():
         turn += 1
         around = both(edges)
         low = around.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))

@@ -1,8 +1,9 @@
 """URL filtering against lists that change over time.
 
 Dated list entries (pattern, day, action) become validity intervals: an entry is active from
-its day until the next entry of the same pattern. Every capture is joined, as of its fetch day, with
-the entries of its host and of each parent domain; the most specific active entry decides.
+its day until the next entry of the same pattern. An as-of join evaluates every capture against the entries of its
+host and of each parent domain: entries and fetch days of a pattern are ordered together by day, and the last
+entry before a fetch day is the active one. The most specific active entry decides.
 """
 
 from __future__ import annotations
@@ -30,20 +31,37 @@ def hosts(url):
     return F.nullif(F.regexp_replace(host, r"\.+$", ""), F.lit(""))
 
 
-def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """Captures (page_id, url, fetched_on) with host, pattern, action and kept.
+def active_entries(asked: DataFrame, entries: DataFrame, parts: int = 64) -> DataFrame:
+    """As-of join: host, fetched_on, pattern, action of every entry that is active for ``asked`` (host, fetched_on).
 
-    Unlisted captures, those without a host or day, and those whose entry allows them are kept.
-    Repeated rows stay; the join is on the pattern with the day as a range condition, so a hot host is a
-    skewed side that can be split.
+    Only suffixes that the list holds are kept. The days of a pattern are dealt to parts, each of which gets the pattern's
+    entries, so a suffix of many hosts is not one task's work; the entries are few, the fetch days are not.
     """
-    rows = captures.withColumn("host", hosts(F.col("url")))
+    days = validity_intervals(entries).select("pattern", F.col("valid_from").alias("day"), "action")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    listed = days.select("pattern").distinct()
+    wanted = asked.withColumn("pattern", F.explode(suffixes)).join(listed, "pattern", "left_semi")
+    wanted = wanted.withColumn("_part", F.pmod(F.xxhash64("host", "fetched_on"), F.lit(parts)).cast("int"))
+    copies = days.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    events = wanted.select("pattern", "_part", F.col("fetched_on").alias("day"), "host", F.lit(None).cast("struct<action:string>").alias("entry")).unionByName(
+        copies.select("pattern", "_part", "day", F.lit(None).cast("string").alias("host"), F.struct("action").alias("entry"))
+    )
+    # On one day the entry comes before the captures.
+    order = Window.partitionBy("pattern", "_part").orderBy("day", F.col("host").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last("entry", ignorenulls=True).over(order)
+    return events.withColumn("entry", last).where("host is not null and entry is not null").select("host", F.col("day").alias("fetched_on"), "pattern", "entry.action")
+
+
+def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
+    """page_id, host, fetched_on, pattern, action, kept of captures (page_id, url, fetched_on).
+
+    Unlisted captures, those without a host or day, and those whose entry allows them are kept.
+    Repeated rows stay; other columns are left out, so a clash of names does no harm.
+    """
+    rows = captures.select("page_id", hosts(F.col("url")).alias("host"), "fetched_on")
     asked = rows.select("host", "fetched_on").where("host is not null and fetched_on is not null").distinct()
-    active = asked.withColumn("pattern", F.explode(suffixes)).join(validity_intervals(entries), "pattern")
-    active = active.where("valid_from <= fetched_on and (valid_to is null or fetched_on < valid_to)")
-    chosen = active.groupBy("host", "fetched_on").agg(F.max_by(F.struct("pattern", "action"), F.length("pattern")).alias("e"))
+    chosen = active_entries(asked, entries).groupBy("host", "fetched_on").agg(F.max_by(F.struct("pattern", "action"), F.length("pattern")).alias("e"))
     out = rows.join(chosen, ["host", "fetched_on"], "left")
     return out.select("page_id", "host", "fetched_on", F.col("e.pattern").alias("pattern"), F.col("e.action").alias("action"), (F.coalesce(F.col("e.action"), F.lit("allow")) != "block").alias("kept"))
 

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from leadspark.llm.decontaminate import GAP, MATCH, MISMATCH, align, find_leaks, most_matches
+from leadspark.llm.decontaminate import GAP, MATCH, MISMATCH, PIECE, align, find_leaks, most_matches, pieces
 from tests.llm.fixtures import awkward_docs
 
 
@@ -44,8 +44,8 @@ def test_copies_and_edits_are_found_and_clean_rows_are_not(spark):
     rows.append(rows[0])
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([*items, (98, None), (99, ""), (0, items[0][1])], "item_id long, text string")
-    for block in (20_000, 3):
-        got = find_leaks(docs, bench, block_items=block).collect()
+    for bits in (24, 8):
+        got = find_leaks(docs, bench, bits=bits).collect()
         assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
 
 
@@ -79,3 +79,50 @@ def test_bound_is_never_under_the_alignment():
     for _ in range(200):
         a, b = (np.array([rnd.randrange(6) for _ in range(rnd.randrange(1, 20))], np.uint64) for _ in range(2))
         assert MATCH * most_matches(np.unique(a, return_counts=True), b) >= smith_waterman(a, b)
+
+
+def test_short_items_are_found(spark):
+    docs = spark.createDataFrame([(1, "here stands Zorblatt quux alone"), (2, "zorblatt here, quux there"), (3, "one gnarf"), (None, "zorblatt quux"), (None, "gnarf gnarf")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "zorblatt quux"), (8, "gnarf"), (9, "a b c d")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["score"], r["begin_word"]) for r in find_leaks(docs, bench).collect()}
+    assert got == {(1, 7): (1.0, 2), (3, 8): (1.0, 1), (None, 7): (1.0, 0), (None, 8): (1.0, 0)}
+
+
+def test_equals_aligning_every_pair(spark):
+    """Scores against a plain alignment of whole texts, wherever two seeds stand near each other."""
+    rnd = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(30)]
+    items = {i: [rnd.choice(vocabulary) for _ in range(rnd.randrange(4, 12))] for i in range(6)}
+    texts = {}
+    for i in range(40):
+        part = list(items[i % 6])
+        if i % 2:
+            part[rnd.randrange(len(part))] = "edit"
+        texts[i] = [rnd.choice(vocabulary) for _ in range(rnd.randrange(0, 30))] + (part if i % 3 else [])
+    number = {w: k for k, w in enumerate([*vocabulary, "edit"])}
+    want = {}
+    for d, t in texts.items():
+        for k, item in items.items():
+            share = smith_waterman([number[w] for w in item], [number[w] for w in t]) / (2 * len(item))
+            grams = {tuple(item[i : i + 3]) for i in range(len(item) - 2)}
+            seeds = {tuple(t[i : i + 3]) for i in range(len(t) - 2)} & grams
+            if share >= 0.4 and len(seeds) >= min(2, len(grams)):
+                want[d, k] = share
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in find_leaks(docs, bench).collect()}
+    assert set(got) <= set(want) and all(got[x] == want[x] for x in got)
+    whole = {(d, d % 6) for d in texts if d % 3 and d % 2 == 0}
+    assert whole <= set(got) and len(got) >= 0.9 * len(want)
+
+
+def test_long_windows_are_cut_without_loss(spark):
+    for begin, end, size in ((0, 10, 5), (3, 50_000, 40), (0, PIECE + 1, 40), (7, 9_000, 3000)):
+        cuts = pieces(begin, end, size, 0.4)
+        reach = size + int(1.2 * size) + 1
+        assert cuts[0][0] == begin and cuts[-1][1] == end
+        assert all(b - c >= min(reach, end - c) for (_, b), (c, _) in zip(cuts, cuts[1:], strict=False))
+    item = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, f"{item} other " * 6000)], "doc_id long, text string")
+    got = find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(r["item_id"], r["score"]) for r in got] == [(1, 1.0)]

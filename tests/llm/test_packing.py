@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from leadspark.llm.packing import CachedEncoder, exact_fill, pack_documents, plan_packing, tokenizer_path
+from leadspark.llm.packing import CachedEncoder, SumIndex, pack_documents, plan_packing, tokenizer_path
 from tests.llm.fixtures import awkward_docs, empty_docs
 
 
@@ -14,7 +14,6 @@ def test_pieces_and_places(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     docs = awkward_docs(spark)
     want = []
     for r in docs.collect():
@@ -61,7 +60,6 @@ def test_cached_encoder_equals_the_tokenizer(text):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     encode = CachedEncoder(tokenizer_path())
     for _ in range(2):
         assert np.frombuffer(encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
@@ -71,7 +69,7 @@ def test_exact_triples_are_found_however_deep():
     counts = np.zeros(2049, np.int64)
     counts[801:901] = 1
     counts[[300, 333, 367]] = 1
-    assert exact_fill(1000, counts) == [367, 333, 300]
+    assert SumIndex(counts.tolist()).fill(1000) == [367, 333, 300]
     rnd = random.Random(6)
     for _ in range(400):
         counts = np.zeros(61, np.int64)
@@ -79,7 +77,32 @@ def test_exact_triples_are_found_however_deep():
             counts[rnd.randrange(1, 61)] += rnd.randrange(1, 3)
         gap, there = rnd.randrange(1, 100), [int(n) for n in np.repeat(np.arange(61), counts)]
         fits = any(sum(parts) == gap for k in (1, 2, 3) for parts in itertools.combinations(there, k))
-        found = exact_fill(gap, counts)
+        found = SumIndex(counts.tolist()).fill(gap)
         assert (found is not None) == fits
         if found:
             assert sum(found) == gap and (np.bincount(found, minlength=61) <= counts).all()
+
+
+def test_index_stays_right_as_stock_falls():
+    rnd = random.Random(8)
+    for _ in range(40):
+        counts = [0] * 61
+        for _ in range(10):
+            counts[rnd.randrange(1, 61)] += rnd.randrange(1, 3)
+        index = SumIndex(counts)
+        for _ in range(20):
+            gap = rnd.randrange(1, 61)
+            there = [n for n in range(61) for _ in range(counts[n])]
+            fits = any(sum(parts) == gap for k in (1, 2, 3) for parts in itertools.combinations(there, k))
+            found = index.fill(gap)
+            assert (found is not None) == fits
+            for n in found or ():
+                counts[n] -= 1
+            assert min(counts) >= 0
+
+
+def test_special_tokens_keep_their_ids():
+    from tokenizers import Tokenizer
+
+    text = "a <|endoftext|> b<|endoftext|>"
+    assert np.frombuffer(CachedEncoder(tokenizer_path())(text), "<u4").tolist() == Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids == [64, 220, 50256, 275, 50256]

@@ -12,6 +12,8 @@ def test_entries_hold_from_their_day_until_the_next(spark):
     entries = spark.createDataFrame([("bad.example.com", day(2), "block"), ("bad.example.com", day(5), "allow"), ("good.bad.example.com", day(1), "allow"), ("example.com", day(12), "block"), (None, day(1), "block"), ("example.org", None, "block")], "pattern string, listed_on date, action string")
     got = sorted((r["page_id"], r["pattern"], r["kept"]) for r in filter_captures(captures, entries).fillna("-").collect())
     assert got == [(1, "-", True), (2, "bad.example.com", False), (2, "bad.example.com", False), (3, "bad.example.com", True), (4, "good.bad.example.com", True), (5, "-", True), (6, "-", True), (7, "-", True), (8, "-", True)]
+    clash = captures.selectExpr("*", "'h' AS host", "'p' AS pattern", "1 AS _part", "'x' AS action")
+    assert sorted((r["page_id"], r["pattern"], r["kept"]) for r in filter_captures(clash, entries).fillna("-").collect()) == got
     assert filter_captures(captures.limit(0), entries).collect() == []
     assert all(r["kept"] for r in filter_captures(captures, entries.limit(0)).collect())
 

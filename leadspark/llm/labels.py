@@ -16,12 +16,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     """At most ``rows`` labelled documents outside the held-out fold: doc_id, text, label.
 
     The rows with the smallest hash of their id are taken, so the sample is the same in every run. It
-    fits a model of fixed size; no score reads labels.
+    fits a model of fixed size; no score reads labels. Different texts under one doc_id all carry its label.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(folds) != held_out))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null").withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:

@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadspark.llm.labels import apply_logistic, fit_logistic, fold, training_sample
 from leadspark.llm.textops import RollingHash, blocks, lower_ascii, utf8_parts, words
 
 FOLDS, HELD_OUT = 4, 2
-FIT_ROWS = 4_000
+#: Labelled documents and lines of them that the chain is fitted on, at most; documents of over a tenth of the lines are left out of the fit.
+FIT_ROWS, FIT_LINES = 4_000, 200_000
 STEPS, RATE, RIDGE = 120, 0.08, 1e-3
 
 
@@ -155,9 +156,12 @@ def _feature_batches(batches):
             )
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict[str, np.ndarray]:
-    """The chain and the final curve from at most ``rows`` labelled training documents."""
-    sample = training_sample(docs, labels, "quality", FOLDS, HELD_OUT, rows).select("doc_id", "text", "label")
+def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, lines: int = FIT_LINES) -> dict[str, np.ndarray]:
+    """The chain and the final curve from at most ``rows`` labelled training documents and ``lines`` of their lines."""
+    sample = training_sample(docs, labels, "quality", FOLDS, HELD_OUT, rows)
+    sample = sample.withColumn("_n", F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).where(F.col("_n") <= lines / 10)
+    upto = F.sum("_n").over(Window.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
+    sample = sample.withColumn("_upto", upto).where(F.col("_upto") <= lines).select("doc_id", "text", "label")
     got = sample.mapInArrow(_feature_batches, "doc_id long, label int, lines binary").toPandas().sort_values("doc_id")
     width = line_features(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0].shape[1] + 1
     if got.empty or got["label"].nunique() < 2:

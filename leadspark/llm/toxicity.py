@@ -1,8 +1,9 @@
 """Toxicity scores from a learned lexicon, misspellings included, and the context of each hit.
 
 The lexicon is learned from training labels: word beginnings and whole words that toxic documents
-hold far more often than others, and more often than chance lets them. A Levenshtein automaton walks its trie over every word of every
-whole text, so whole words of five letters or more with one letter changed, added or left out are caught too. A window of tokens around a hit
+hold far more often than others, and more often than chance lets them; beginnings that clean documents hold now and then are weak and
+tell by their number. A Levenshtein automaton walks its trie over every word of every
+whole text, so whole words of five letters or more and beginnings of six or more with one letter changed, added or left out are caught too. A window of tokens around a hit
 tells quotation (quotation marks or words of reporting nearby) from abuse. A logistic regression on
 counts of the kinds of hit gives the document's score.
 """
@@ -17,14 +18,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadspark.llm.labels import apply_logistic, fit_logistic, fold, training_sample
-from leadspark.llm.lexicon import EXACT, FIRST, LevenshteinAutomaton, LexiconTrie, WordMatcher
+from leadspark.llm.lexicon import EXACT, FIRST, FUZZY_STEM, WEAK, LevenshteinAutomaton, LexiconTrie, WordMatcher
 
+#: Stems, whole terms, weak stems.
+Lexicon = tuple[list[str], list[str], list[str]]
 FOLDS, HELD_OUT = 3, 1
 #: Labelled rows that the lexicon and the weights are fitted on, at most.
 FIT_ROWS = 8_000
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 #: A term's place in toxic documents is by chance with at most this probability, ten times the share of toxic documents as much if over a tenth hold it.
 MOST_CHANCE, LEAST_RATIO = 1e-3, 30.0
+#: The same of weak beginnings, which are many more to choose from.
+WEAK_CHANCE, WEAK_RATIO = 1e-6, 5.0
+#: A beginning whose documents nearly all hold one longer marked term gives way to that.
+TAKEN_OVER = 0.9
 WINDOW = 6
 QUOTES = ('"', "“", "”", "„", "«", "»")
 REPORTING = {"said", "says", "wrote", "writes", "quoted", "quote", "called", "according", "dijo", "dit", "sagte"}
@@ -56,28 +63,35 @@ def marks(bad_hits: int, good_hits: int, bad: int, good: int) -> bool:
     return bad_hits > 1 and chance(bad_hits + good_hits, bad_hits, bad, good) <= MOST_CHANCE * max(1, 10 * bad_hits / bad)
 
 
-def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
-    """Shortest word beginnings that mark toxic documents of the sample, and whole words that do."""
+def learn_lexicon(sample: DataFrame) -> Lexicon:
+    """Word beginnings that mark toxic documents of the sample, whole words that do, and weak beginnings."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))
     beginnings = F.transform(words, lambda w: F.array_compact(F.array(F.concat(w, F.lit("$")), *[F.when(F.char_length(w) >= n, F.substring(w, 1, n)) for n in STEM_LENGTHS])))
     sample = one_of_each_copy(sample).cache()
     total = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = total.get(1, 0), total.get(0, 0)
     if not bad or not good:
-        return [], []
+        return [], [], []
     counts = sample.select("label", F.explode(F.array_distinct(F.flatten(beginnings))).alias("stem"))
     counts = counts.groupBy("stem").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
     # Fewer bad documents than these are likely by chance even without a good one; the exact test follows.
     least = next((k for k in range(1, bad + 1) if marks(k, 0, bad, good)), bad + 1)
     ratio = (F.col("bad") / bad) / ((F.col("good") + 0.5) / good)
-    rows = counts.where((F.col("bad") >= least) & ((F.col("good") == 0) | (ratio >= LEAST_RATIO))).collect()
-    marked = sorted((r["stem"] for r in rows if marks(r["bad"], r["good"], bad, good)), key=lambda x: (len(x), x))
+    rows = counts.where((F.col("bad") >= least) & ((F.col("good") == 0) | (ratio >= WEAK_RATIO))).collect()
     sample.unpersist()
-    stems: list[str] = []
-    for stem in marked:
-        if stem[-1] != "$" and not any(stem.startswith(k) for k in stems):
-            stems.append(stem)
-    return stems, [m[:-1] for m in marked if m[-1] == "$"]
+    strong = {r["stem"]: r["bad"] for r in rows if (r["good"] == 0 or r["bad"] / bad >= LEAST_RATIO * (r["good"] + 0.5) / good) and marks(r["bad"], r["good"], bad, good)}
+    weak = {r["stem"]: r["bad"] for r in rows if r["stem"] not in strong and r["stem"][-1] != "$" and chance(r["bad"] + r["good"], r["bad"], bad, good) <= WEAK_CHANCE}
+
+    def shortest(found: dict[str, int], known: list[str]) -> list[str]:
+        out: list[str] = []
+        for stem in sorted((m for m in found if m[-1] != "$"), key=lambda x: (len(x), x)):
+            taken_over = any(t.startswith(stem) and t != stem and n >= TAKEN_OVER * found[stem] for t, n in {**strong, **found}.items())
+            if not taken_over and not any(stem.startswith(k) for k in [*known, *out]):
+                out.append(stem)
+        return out
+
+    stems = shortest(strong, [])
+    return stems, sorted(m[:-1] for m in strong if m[-1] == "$"), shortest(weak, stems)
 
 
 def hit_counts(text: str, matcher: WordMatcher) -> tuple[int, int, int, int, int]:
@@ -86,13 +100,15 @@ def hit_counts(text: str, matcher: WordMatcher) -> tuple[int, int, int, int, int
 
 
 def all_counts(text: str, matcher: WordMatcher) -> tuple[int, ...]:
-    """As ``hit_counts``, then how many of the misspelled hits differ in the first letter: abuse, quotation."""
+    """As ``hit_counts``, then how many of the misspelled hits differ in the first letter: abuse, quotation; then weak and misspelled stems."""
     tokens = text.lower().split()
     kinds = [matcher[t] for t in tokens]
-    counts = [0, 0, 0, 0, 0, 0]
+    counts = [0] * 8
     if any(kinds):
         for i, kind in enumerate(kinds):
-            if kind:
+            if kind in (WEAK, FUZZY_STEM):
+                counts[6 + (kind == FUZZY_STEM)] += 1
+            elif kind:
                 near = tokens[max(0, i - WINDOW) : i + WINDOW + 1]
                 marks = sum(t[:1] in QUOTES for t in near[: WINDOW + 1]) and sum(t.rstrip(".,;:!?")[-1:] in QUOTES for t in near[min(i, WINDOW) :])
                 quoted = bool(marks) or any(t.strip(".,;:") in REPORTING for t in near)
@@ -107,18 +123,18 @@ def features(counts: np.ndarray) -> np.ndarray:
     First-letter hits count as misspelled; what their own columns add is a correction that
     stays at zero where the training rows have none.
     """
-    n, hits, first = counts[:, :1].astype(float), counts[:, 1:5].astype(float), counts[:, 5:].astype(float)
+    n, hits, first, stems = (counts[:, a:b].astype(float) for a, b in ((0, 1), (1, 5), (5, 7), (7, 9)))
     density = hits[:, :2].sum(axis=1, keepdims=True) * 100 / np.maximum(n, 20)
-    return np.hstack([np.log1p(hits), np.minimum(hits, 1), np.minimum(density, 5), np.log1p(first), np.minimum(first, 1)])
+    return np.hstack([np.log1p(hits), np.minimum(hits, 1), np.minimum(density, 5), np.log1p(first), np.minimum(first, 1), np.log1p(stems), np.minimum(stems, 1), np.clip(stems - 1, 0, 1), np.minimum(stems * 100 / np.maximum(n, 20), 5)])
 
 
-def _count_batches(lexicon: tuple[list[str], list[str]], weights: np.ndarray | None):
+def _count_batches(lexicon: Lexicon, weights: np.ndarray | None):
     def run(batches):
         matcher = WordMatcher(LevenshteinAutomaton(LexiconTrie(*lexicon)))
         for batch in batches:
-            counts = np.array([all_counts(t.as_py() or "", matcher) for t in batch.column(1)], np.int64).reshape(-1, 7)
+            counts = np.array([all_counts(t.as_py() or "", matcher) for t in batch.column(1)], np.int64).reshape(-1, 9)
             if weights is None:
-                columns, names = [pa.array(counts[:, i]) for i in range(7)], COUNT_NAMES
+                columns, names = [pa.array(counts[:, i]) for i in range(9)], COUNT_NAMES
             else:
                 columns, names = [pa.array(apply_logistic(features(counts), weights))], ["score"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
@@ -126,8 +142,8 @@ def _count_batches(lexicon: tuple[list[str], list[str]], weights: np.ndarray | N
     return run
 
 
-Model = tuple[tuple[list[str], list[str]], np.ndarray]
-COUNT_NAMES = ["tokens", "abuse", "abuse_misspelled", "quoted", "quoted_misspelled", "abuse_first", "quoted_first"]
+Model = tuple[Lexicon, np.ndarray]
+COUNT_NAMES = ["tokens", "abuse", "abuse_misspelled", "quoted", "quoted_misspelled", "abuse_first", "quoted_first", "weak", "stem_misspelled"]
 COUNT_SCHEMA = ", ".join(f"{name} long" for name in ["doc_id", *COUNT_NAMES])
 
 
@@ -135,7 +151,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Mo
     """(lexicon, weights) from at most ``rows`` labelled training documents; score 0.5 without any."""
     sample = training_sample(docs, labels, "toxic", FOLDS, HELD_OUT, rows).cache()
     lexicon = learn_lexicon(sample)
-    counted = sample.select("doc_id", "text").mapInArrow(_count_batches(lexicon, None), COUNT_SCHEMA).join(sample.select("doc_id", "label"), "doc_id").toPandas()
+    counted = sample.select("doc_id", "text").mapInArrow(_count_batches(lexicon, None), COUNT_SCHEMA).join(sample.select("doc_id", "label").distinct(), "doc_id").toPandas()
     sample.unpersist()
     x = features(counted[COUNT_NAMES].to_numpy())
     return lexicon, fit_logistic(x, counted["label"].to_numpy(float))
@@ -156,7 +172,7 @@ def keep_clean(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
     def run(batches):
         matcher = WordMatcher(LevenshteinAutomaton(LexiconTrie(*lexicon)))
         for batch in batches:
-            counts = np.array([all_counts(t.as_py() or "", matcher) for t in batch.column(at)], np.int64).reshape(-1, 7)
+            counts = np.array([all_counts(t.as_py() or "", matcher) for t in batch.column(at)], np.int64).reshape(-1, 9)
             yield batch.filter(pa.array(apply_logistic(features(counts), weights) < limit))
 
     return docs.mapInArrow(run, schema)

@@ -9,9 +9,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from leadspark.llm.lexicon import EXACT, FIRST, FUZZY, NO_MATCH, LevenshteinAutomaton, LexiconTrie, WordMatcher
+from leadspark.llm.lexicon import EXACT, FIRST, FUZZY, FUZZY_STEM, NO_MATCH, WEAK, LevenshteinAutomaton, LexiconTrie, WordMatcher
+from leadspark.llm.labels import apply_logistic
 from leadspark.llm.quality import Chains, fit_quality, line_features, score_quality
-from leadspark.llm.toxicity import LEAST_RATIO, MOST_CHANCE, fit_toxicity, hit_counts, keep_clean, learn_lexicon, score_toxicity
+from leadspark.llm.toxicity import LEAST_RATIO, MOST_CHANCE, TAKEN_OVER, all_counts, features, fit_toxicity, hit_counts, keep_clean, learn_lexicon, score_toxicity
 from tests.llm.fixtures import awkward_docs, empty_docs
 
 DIR = "/root/testdata/sf0.01"
@@ -31,7 +32,7 @@ def distance(a, b):
 def test_automaton_equals_edit_distance(word, terms, stems):
     got = LevenshteinAutomaton(LexiconTrie(stems, terms)).match(word)
     exact = any(word.startswith(s) for s in stems) or word in terms
-    # Edits leave the first letter of a term alone.
+    # Edits leave the first letter of a term alone; stems of under six letters get none.
     near = any(distance(word[1:], t[1:]) <= 1 for t in terms if t[0] == word[0])
     assert got == (EXACT if exact else FUZZY if near else NO_MATCH)
 
@@ -121,9 +122,10 @@ def test_few_toxic_rows_teach_terms_and_stage_one_drops_them(spark, tmp_path, to
         p = sum(math.comb(toxic, k) * math.comb(clean, n - k) for k in range(b, min(n, toxic) + 1)) / math.comb(toxic + clean, n)
         if b > 1 and p <= MOST_CHANCE * max(1, 10 * b / toxic) and (g == 0 or (b / toxic) / ((g + 0.5) / clean) >= LEAST_RATIO):
             want.add(term)
-    stems, terms = learn_lexicon(sample)
+    stems, terms, _ = learn_lexicon(sample)
     assert {"vermin", "wretch", "numskull"} <= set(terms) == {t[:-1] for t in want if t[-1] == "$"}
-    assert set(stems) == {t for t in want if t[-1] != "$" and not any(u != t and t.startswith(u) for u in want)}
+    free = {t for t in want if t[-1] != "$" and not any(u != t and u.startswith(t) and counts[u][1] >= TAKEN_OVER * counts[t][1] for u in want)}
+    assert set(stems) == {t for t in free if not any(u != t and t.startswith(u) for u in free)}
     known.write.parquet(f"{tmp_path}/labels.parquet")
     extra = [(5000, rows[-1][1] + " vermin numskull"), (5001, rows[-1][1] + " plain words")]
     table = docs.union(spark.createDataFrame(extra, docs.schema))
@@ -132,14 +134,64 @@ def test_few_toxic_rows_teach_terms_and_stage_one_drops_them(spark, tmp_path, to
     assert kept == {i for i, _ in [*rows, *extra]} - bad
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text("abc", min_size=1, max_size=9), st.lists(st.text("abc", min_size=3, max_size=7), min_size=1, max_size=4), st.lists(st.text("abc", min_size=4, max_size=5), max_size=2))
-def test_edits_of_the_first_letter_are_a_kind_of_their_own(word, terms, stems):
-    got = WordMatcher(LevenshteinAutomaton(LexiconTrie(stems, terms)))[word]
-    exact = any(word.startswith(s) for s in stems) or word in terms
+def kind_of(word, stems, terms, weak=()):
+    """The kind of a match by edit distances alone."""
+    if any(word.startswith(s) for s in stems) or word in terms:
+        return EXACT
     near = [t for t in terms if len(t) >= 5 and distance(word, t) <= 1]
-    inside = any(t[0] == word[0] and distance(word[1:], t[1:]) <= 1 for t in near)
-    assert got == (EXACT if exact else FUZZY if inside else FIRST if near else NO_MATCH)
+    if any(t[0] == word[:1] and distance(word[1:], t[1:]) <= 1 for t in near):
+        return FUZZY
+    if any(word.startswith(s) for s in weak):
+        return WEAK
+    beginnings = [word[:n] for n in range(1, len(word) + 1)]
+    if any(len(s) >= 6 and b[0] == s[0] and distance(b[1:], s[1:]) <= 1 for s in stems for b in beginnings):
+        return FUZZY_STEM
+    return FIRST if near else NO_MATCH
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("abc", min_size=1, max_size=9), st.lists(st.text("abc", min_size=3, max_size=7), min_size=1, max_size=4), st.lists(st.text("abc", min_size=4, max_size=7), max_size=2), st.lists(st.text("abc", min_size=4, max_size=5), max_size=2))
+def test_every_kind_of_match_equals_edit_distance(word, terms, stems, weak):
+    assert WordMatcher(LevenshteinAutomaton(LexiconTrie(stems, terms, weak)))[word] == kind_of(word, stems, terms, weak)
+
+
+def test_scores_equal_plain_python(spark):
+    docs, labels = spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{DIR}/labels.parquet")
+    (stems, terms, weak), weights = model = fit_toxicity(docs, labels)
+    edges = re.compile(r"^[\W_]+|[\W_]+$")
+
+    class Plain(dict):
+        def __missing__(self, token):
+            self[token] = kind_of(edges.sub("", token), stems, terms, weak)
+            return self[token]
+
+    rows = [r for r in docs.collect() if r["n_chars"] < 2500][:150] + [r for r in docs.join(labels, "doc_id").where("toxic = 1").collect() if r["n_chars"] < 2500]
+    plain = Plain()
+    want = apply_logistic(features(np.array([all_counts(r["text"] or "", plain) for r in rows])), weights)
+    got = {r["doc_id"]: r["score"] for r in score_toxicity(docs, model).collect()}
+    assert [got[r["doc_id"]] for r in rows] == pytest.approx(list(want))
+
+
+def test_quality_scores_equal_plain_python(spark):
+    """Marginals by summing over all labellings of a short document, then the length-weighted mean and the curve."""
+    docs, labels = spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{DIR}/labels.parquet")
+    model = fit_quality(docs, labels)
+    rows = [(i, t) for i, t in enumerate(["", None, "one line", "A good line, I think.\nBUY NOW!!! $$$\n\nanother line here", "x | y | z\n1 2 3\n1 2 3"])]
+    got = {r["doc_id"]: r["score"] for r in score_quality(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, text in rows:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        x, weight, _ = line_features(raw, np.array([0, len(raw)]))
+        good = [float(sum(w * (v - m) / s for w, v, m, s in zip(model["emit"], row, model["mean"], model["spread"], strict=True))) for row in x]
+        total, ones = 0.0, [0.0] * len(good)
+        for code in range(2 ** len(good)):
+            label = [code >> k & 1 for k in range(len(good))]
+            mass = math.exp(sum(g for g, y in zip(good, label, strict=True) if y) + sum(model["move"][a, b] for a, b in zip(label, label[1:], strict=False)))
+            total += mass
+            ones = [o + mass * y for o, y in zip(ones, label, strict=True)]
+        share = sum(w * o / total for w, o in zip(weight, ones, strict=True)) / sum(weight)
+        lean = sum(w * min(8, max(-8, g)) for w, g in zip(weight, good, strict=True)) / sum(weight)
+        want = model["curve"] @ np.array([share, math.log((share + 0.01) / (1.01 - share)), lean, 1])
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-want)), rel=1e-6)
 
 
 def test_abuse_misspelt_in_the_first_letter_is_toxic(spark):

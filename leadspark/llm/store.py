@@ -48,7 +48,8 @@ class Workspace:
         for name in names:
             fs, path = self._fs(f"{self.root}/{name}")
             fs.delete(path, True)
-        # Spark's cleaner removes a shuffle once the driver has forgotten the plan that made it.
+        # Spark's cleaner removes a shuffle once the driver has forgotten the plan that made it; the last plan is kept until another query ends.
+        self.spark.sql("SELECT 1").collect()
         gc.collect()
         self.spark._jvm.System.gc()
 

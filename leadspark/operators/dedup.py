@@ -21,8 +21,9 @@ def with_hash(projects: DataFrame) -> DataFrame:
 
 
 def first_of_each(rows: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    """First row of each key; null keys are kept apart by themselves."""
-    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_rn = 1").drop("_rn")
+    """First row of each key; every row with a null key stays."""
+    numbered = rows.where(F.col(key).isNotNull()).withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return numbered.where("_rn = 1").drop("_rn").union(rows.where(F.col(key).isNull()))
 
 
 def unseen(batch: DataFrame, seen: DataFrame, key: str = "hash") -> DataFrame:
@@ -39,11 +40,15 @@ def insert_ignore(store: DataFrame, batch: DataFrame, order: Sequence[Column], k
 
 
 def insert_returning(store: DataFrame, batch: DataFrame, order: Column, key: str = "hash", id_col: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(rows to append, batch with winning_id): the stored row wins, else the first of the batch."""
+    """(rows to append, batch with winning_id): the stored row wins, else the first of the batch, by id in a tie.
+
+    A row without a key is always appended and wins for itself.
+    """
     known = store.groupBy(key).agg(F.min(id_col).alias("_known"))
-    firsts = batch.groupBy(key).agg(F.min_by(id_col, order).alias("_first"))
+    firsts = batch.groupBy(key).agg(F.min_by(id_col, F.struct(order.alias("o"), F.col(id_col).alias("i"))).alias("_first"))
     winners = firsts.join(known, key, "left").select(key, F.coalesce("_known", "_first").alias("winning_id"))
-    return insert_ignore(store, batch, [order], key), batch.join(winners, key, "left")
+    told = batch.join(winners, key, "left").withColumn("winning_id", F.coalesce("winning_id", id_col))
+    return insert_ignore(store, batch, [order, F.col(id_col)], key), told
 
 
 def stored_payloads(batch: DataFrame, payload: str = "payload", strip: bool = True) -> DataFrame:
@@ -73,6 +78,11 @@ def purge(raw: DataFrame, leads: DataFrame, older_than: Column) -> tuple[DataFra
     return raw.join(doomed.select("id"), "id", "left_anti"), doomed
 
 
+def purgeable(raw: DataFrame, leads: DataFrame, older_than: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Count and oldest day of the rows that ``purge`` would delete; nothing is deleted."""
+    return purge(raw, leads, older_than)[1].groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("created_at").alias("oldest"))
+
+
 def copy_missing(source: DataFrame, target: DataFrame, key: str, types: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """(rows to append, reconciliation): cast, skip keys the target has, compare counts."""
     cast = source.select(*[F.expr(f"try_cast(`{c}` as {types[c]})").alias(c) if c in types else F.col(c) for c in source.columns])
@@ -80,6 +90,17 @@ def copy_missing(source: DataFrame, target: DataFrame, key: str, types: dict[str
     return fresh, reconcile(source, target.select(key).unionByName(fresh.select(key)))
 
 
+def copy_dry_run(source: DataFrame, target: DataFrame, key: str, types: dict[str, str]) -> DataFrame:
+    """One row: how many rows the copy would read, append and skip, and how many values a cast would lose."""
+    fresh, _ = copy_missing(source, target, key, types)
+    bad = [F.count_if(F.col(c).isNotNull() & F.expr(f"try_cast(`{c}` as {t})").isNull()) for c, t in types.items()]
+    lost = bad[0] if bad else F.lit(0).cast("bigint")
+    for n in bad[1:]:
+        lost = lost + n
+    read = source.agg(F.count(F.lit(1)).alias("would_read"), lost.alias("lost_values"))
+    return read.crossJoin(fresh.agg(F.count(F.lit(1)).alias("would_append"))).withColumn("would_skip", F.col("would_read") - F.col("would_append"))
+
+
 def reconcile(source: DataFrame, target: DataFrame) -> DataFrame:
     counts = source.agg(F.count(F.lit(1)).alias("source_rows")).crossJoin(target.agg(F.count(F.lit(1)).alias("target_rows")))
     return counts.withColumn("matches", F.col("source_rows") == F.col("target_rows"))
@@ -103,11 +124,16 @@ class TableStore:
         rows.write.mode("append").partitionBy(*partition_by).parquet(f"{self.root}/{name}")
 
     def swap(self, name: str, state: DataFrame, partition_by: Sequence[str] = ()) -> None:
-        staged = f"{self.root}/_staging-{name}-{uuid.uuid4().hex}"
+        """Write the new state beside the old one and put it in place; the old one goes last, so a crash loses neither."""
+        staged, aside = (f"{self.root}/_{kind}-{name}-{uuid.uuid4().hex}" for kind in ("staging", "old"))
         state.write.partitionBy(*partition_by).parquet(staged)
-        fs, old = self._fs(f"{self.root}/{name}")
-        fs.delete(old, True)
-        fs.rename(self._fs(staged)[1], old)
+        fs, now = self._fs(f"{self.root}/{name}")
+        had = fs.exists(now)
+        if had:
+            fs.rename(now, self._fs(aside)[1])
+        fs.rename(self._fs(staged)[1], now)
+        if had:
+            fs.delete(self._fs(aside)[1], True)
 
     def clear(self, *names: str) -> None:
         for name in names:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from leadspark import rules
@@ -13,6 +13,22 @@ from leadspark import rules
 SALTS = 4
 
 
+def total_value(leads: DataFrame, value: str = "project_value", by: Sequence[str] = ()) -> DataFrame:
+    """Number of rows, those with a value, and the sum of the values."""
+    return leads.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.col(value), F.lit(0)) > 0).alias("with_value"), F.coalesce(F.sum(value), F.lit(0)).alias("total_value"))
+
+
+def run_counters(rows: DataFrame, **counters: Column) -> tuple[DataFrame, Observation]:
+    """(the same rows, an observation): counters that Spark fills in while the run's own action reads the rows."""
+    watched = Observation("run")
+    return rows.observe(watched, F.count(F.lit(1)).alias("collected"), *[F.count_if(c).alias(n) for n, c in counters.items()]), watched
+
+
+def field_hit_rate(signals: DataFrame, by: str = "source", fields: int = 6) -> DataFrame:
+    """Mean hits and share of filled fields of the extracted signals, per source."""
+    return signals.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("field_hits").alias("mean_hits"), (F.avg("field_hits") / fields).alias("hit_rate"))
+
+
 def counts_by(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 

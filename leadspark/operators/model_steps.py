@@ -6,17 +6,31 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadspark import rules, schemas
 from leadspark.functions.columns import answer_text, day_part, or_blank, quarter_hours, recovery_text, shorten, without_fence_line, without_fences
 
 DEFAULT_TEMPLATE = "Assess this record for group lodging demand.\nSource: %s\nTitle: %s\nLocation: %s\nValue (CAD): %s\nIssued: %s\nDetails: %s\nLink: %s"
+#: Prompt templates by kind of source, in own words; a table of (source, template) may replace them.
+TEMPLATES = {
+    "permits": "A building permit was issued. Which crews will come from out of town, how many people and for how long?\nPermit: {title}\nAddress: {location}\nDeclared value (CAD): {value}\nIssued: {issued_at}\n{description}",
+    "productions": "A film or television production is listed. Estimate the visiting crew and the length of its stay.\nProduction: {title}\nBase: {location}\nStart: {issued_at}\n{description}",
+    "venue": "A venue announces an event. How many visitors will need rooms nearby?\nEvent: {title}\n{description}\nLink: {source_url}",
+    "events": "A business event is listed. How many attendees will travel to it?\nEvent: {title}\n{description}\nLink: {source_url}",
+    "awards": "A public contract was awarded. Will the contractor bring crews from elsewhere?\nContract: {title}\nPlace: {location}\nValue (CAD): {value}\nAwarded: {issued_at}\n{description}",
+    "news": "A news item names a project. Is there demand for group lodging in it?\nHeadline: {title}\n{description}\nLink: {source_url}",
+}
 OUTREACH_TEMPLATE = "Draft a short first message to the contact of this lead.\nTitle: %s\nLocation: %s\nType: %s\nTiming: %s"
 RATIONALE_TEMPLATE = "Project: %s. Type: %s. Location: %s. Crew Size: %d. Duration Months: %d. Priority Score: %d. Value: %d."
 
 
+def template_table(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+    """The templates as the small table that ``with_prompt`` joins."""
+    return spark.createDataFrame(list(templates.items()), "source string, template string")
+
+
 def with_prompt(projects: DataFrame, templates: DataFrame, default: str = DEFAULT_TEMPLATE) -> DataFrame:
     """Prompt of every record from the template of its source; {title}-style marks are filled in."""
     joined = projects.join(F.broadcast(templates.select("source", "template")), "source", "left")

@@ -23,72 +23,102 @@ def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_i
     return vectors.select(id_col, cosine(vec, q).alias("similarity")).orderBy(F.desc("similarity"), id_col).limit(k)
 
 
-def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", block: int = 256) -> DataFrame:
-    """query_id, neighbor_id, similarity, rank of the k nearest others of every query vector.
-
-    A stated query set meets all rows in blocks: queries travel in lists of ``block`` vectors, each row
-    scores a whole list at once and a task keeps the k best of each query before the shuffle.
-    """
+def _block_scores(k: int, kind: str):
+    """Arrow task over cells of (queries, vectors): the k best neighbours of each query in the cell."""
     import numpy as np
     import pandas as pd
 
-    asked = queries.select(F.col(id_col).alias("query_id"), unit(vec).alias("q")).where("q is not null").orderBy("query_id")
-    rows = vectors.select(F.col(id_col).alias("neighbor_id"), unit(vec).alias("v")).where("v is not null")
-    found = None
-    local = asked.toLocalIterator(prefetchPartitions=False)
-    kind = queries.schema[id_col].dataType.simpleString()
-    while True:
-        part = [r for _, r in zip(range(block), local)]
-        if not part:
-            break
-        ids, matrix = np.array([r["query_id"] for r in part]), np.array([r["q"] for r in part])
-
-        def best(frames, ids=ids, matrix=matrix):
-            kept_id, kept = np.zeros((len(ids), 0), ids.dtype), np.zeros((len(ids), 0))
-            for f in frames:
-                if len(f):
-                    other = f["neighbor_id"].to_numpy()
-                    score = matrix @ np.stack(f["v"].to_numpy()).T
-                    score[ids[:, None] == other[None, :]] = -np.inf
-                    every, every_id = np.hstack([kept, score]), np.hstack([kept_id, np.broadcast_to(other, score.shape)])
-                    order = np.lexsort((every_id, -every), axis=1)[:, :k]
-                    kept, kept_id = np.take_along_axis(every, order, 1), np.take_along_axis(every_id, order, 1)
-            n = kept.shape[1]
-            out = pd.DataFrame({"query_id": np.repeat(ids, n), "neighbor_id": kept_id.ravel(), "similarity": kept.ravel()})
-            yield out[np.isfinite(out["similarity"])]
-
-        scored = rows.mapInPandas(best, f"query_id {kind}, neighbor_id {kind}, similarity double")
-        found = scored if found is None else found.union(scored)
-    if found is None:
-        found = queries.sparkSession.createDataFrame([], f"query_id {kind}, neighbor_id {kind}, similarity double")
+    def best(key, left, right):
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": left["query_id"][:0], "neighbor_id": right["neighbor_id"][:0], "similarity": np.zeros(0)})
+        other, v = right["neighbor_id"].to_numpy(), np.stack(right["v"].to_numpy())
+        parts = []
+        for i in range(0, len(left), 256):
+            ids = left["query_id"].to_numpy()[i : i + 256]
+            score = np.stack(left["q"].to_numpy()[i : i + 256]) @ v.T
+            score[ids[:, None] == other[None, :]] = -np.inf
+            order = np.lexsort((np.broadcast_to(other, score.shape), -score), axis=1)[:, :k]
+            top = np.take_along_axis(score, order, 1)
+            parts.append(pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "neighbor_id": other[order].ravel(), "similarity": top.ravel()}))
+        out = pd.concat(parts)
+        return out[np.isfinite(out["similarity"])]
+
+    return best, f"query_id {kind}, neighbor_id {kind}, similarity double"
+
+
+def _best_of_cells(asked: DataFrame, rows: DataFrame, cell: list[str], k: int, kind: str) -> DataFrame:
+    """Exact k best over all cells in which a query meets vectors; a cell is bounded on both sides."""
+    best, schema = _block_scores(k, kind)
+    found = asked.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInPandas(best, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbor_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", block: int = 2048, rows_per_cell: int = 20_000) -> DataFrame:
+    """query_id, neighbor_id, similarity, rank of the k nearest others of every query vector.
+
+    A stated query set meets all rows in cells of about ``block`` queries by ``rows_per_cell`` vectors: both tables are dealt to blocks, each
+    query block is copied to every vector block, and a cell keeps the k best of each query before the shuffle. Nothing passes
+    through the driver but two counts.
+    """
+    asked = queries.select(F.col(id_col).alias("query_id"), unit(vec).alias("q")).where("q is not null")
+    rows = vectors.select(F.col(id_col).alias("neighbor_id"), unit(vec).alias("v")).where("v is not null")
+    n_asked, n_rows = queries.count(), vectors.count()
+    across, down = max(1, -(-n_asked // block)), max(1, -(-n_rows // rows_per_cell))
+    asked = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(across))).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(down - 1).cast("bigint"))))
+    rows = rows.withColumn("rb", F.pmod(F.xxhash64("neighbor_id"), F.lit(down))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(across - 1).cast("bigint"))))
+    return _best_of_cells(asked, rows, ["qb", "rb"], k, queries.schema[id_col].dataType.simpleString())
+
+
 class ClusterIndex:
-    """Inverted lists around k-means centres of unit vectors; the fit sees at most ``fit_rows`` rows."""
+    """Inverted lists around k-means centres of unit vectors.
+
+    The fit sees at most ``fit_rows`` rows; every row is in a list. The number of lists grows with the root of
+    the rows. Lists are dealt to parts of bounded size, so a hot list is many cells; a query meets every part of its lists.
+    """
+
+    def __init__(self, vectors: DataFrame, lists: int | None = None, fit_rows: int = 50_000, seed: int = 7, id_col: str = "vec_id", vec: str = "embedding", rows_per_cell: int = 5_000) -> None:
+        import numpy as np
 
-    def __init__(self, vectors: DataFrame, lists: int = 10, fit_rows: int = 50_000, seed: int = 7, id_col: str = "vec_id", vec: str = "embedding") -> None:
-        self.id_col = id_col
-        rows = vectors.select(id_col, unit(vec).alias("u")).where("u is not null")
-        sample = rows.orderBy(F.xxhash64(id_col), id_col).limit(fit_rows).withColumn("f", array_to_vector("u"))
-        model = KMeans(k=lists, seed=seed, featuresCol="f").fit(sample)
-        self.centres = [[float(x) for x in c] for c in model.clusterCenters()]
-        self.rows = rows.withColumn("list", self._near("u", 1)[0])
+        self.id_col, self.kind = id_col, vectors.schema[id_col].dataType.simpleString()
+        rows = vectors.select(F.col(id_col).alias("neighbor_id"), unit(vec).alias("v")).where("v is not null")
+        total = rows.count()
+        self.lists = lists or max(1, min(4096, round(total**0.5)))
+        sample = rows.orderBy(F.xxhash64("neighbor_id"), "neighbor_id").limit(fit_rows).withColumn("f", array_to_vector("v"))
+        model = KMeans(k=self.lists, seed=seed, featuresCol="f", maxIter=5, initMode="random").fit(sample)
+        self.centres = np.array(model.clusterCenters())
+        self.parts = max(1, -(-total // (rows_per_cell * self.lists)))
+        self.rows = self._listed(rows, "v", 1).withColumn("part", F.pmod(F.xxhash64("neighbor_id"), F.lit(self.parts)))
+
+    def _listed(self, rows: DataFrame, c: str, n: int) -> DataFrame:
+        """Rows once for each of their ``n`` nearest lists."""
+        centres = self.centres
+
+        def near(frames):
+            import numpy as np
+
+            for f in frames:
+                x = np.stack(f[c].to_numpy()) if len(f) else np.zeros((0, centres.shape[1]))
+                far = (centres**2).sum(axis=1)[None, :] - 2 * x @ centres.T
+                f["near"] = list(np.argsort(far, axis=1, kind="stable")[:, :n].astype("int64"))
+                yield f
 
-    def _near(self, c: str, n: int) -> Column:
-        dot = lambda centre: F.aggregate(F.zip_with(F.col(c), F.lit(centre), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-        order = F.array_sort(F.array(*[F.struct(dot(centre).alias("d"), F.lit(i).alias("i")) for i, centre in enumerate(self.centres)]))
-        return F.transform(F.slice(order, 1, n), lambda x: x["i"])
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", near array<bigint>"
+        return rows.mapInPandas(near, schema).withColumn("list", F.explode("near")).drop("near")
 
     def search(self, queries: DataFrame, k: int, probe: int = 3, vec: str = "embedding") -> DataFrame:
         """query_id, neighbor_id, similarity, rank from the ``probe`` nearest lists, scored exactly."""
         asked = queries.select(F.col(self.id_col).alias("query_id"), unit(vec).alias("q")).where("q is not null")
-        asked = asked.withColumn("list", F.explode(self._near("q", probe)))
-        pairs = asked.join(self.rows.select(F.col(self.id_col).alias("neighbor_id"), "u", "list"), "list").where("query_id <> neighbor_id")
-        score = F.aggregate(F.zip_with("q", "u", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbor_id"))
-        return pairs.select("query_id", "neighbor_id", score.alias("similarity")).withColumn("rank", best).where(F.col("rank") <= k)
+        asked = self._listed(asked, "q", probe).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(self.parts - 1).cast("bigint"))))
+        return _best_of_cells(asked, self.rows, ["list", "part"], k, self.kind)
+
+    def share_scanned(self, queries: DataFrame, probe: int, vec: str = "embedding") -> DataFrame:
+        """One row: mean share of all vectors that a query with ``probe`` lists is scored against."""
+        sizes = self.rows.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
+        asked = self._listed(queries.select(F.col(self.id_col).alias("query_id"), unit(vec).alias("q")).where("q is not null"), "q", probe)
+        total = self.rows.agg(F.count(F.lit(1)).alias("total"))
+        met = asked.join(sizes, "list").groupBy("query_id").agg(F.sum("n").alias("n"))
+        return met.crossJoin(F.broadcast(total)).agg(F.avg(F.col("n") / F.col("total")).alias("share_scanned"))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

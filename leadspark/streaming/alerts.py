@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from leadspark import rules
 
-ACTION_SCHEMA = "airport string, as_of timestamp, started_at timestamp, minutes int, state string, score double, action string"
+ACTION_SCHEMA = "airport string, as_of bigint, started_at bigint, minutes int, state string, score double, action string"
 STATE_SCHEMA = "started bigint, posted boolean, last_score double, pending string"
 
 
@@ -65,7 +66,7 @@ def stream_alerts(scored: DataFrame, late: str = "1 hour", dwell: int = rules.DW
         started, posted, last, pending = state.get if state.exists else (None, False, None, "")
         waiting = [(int(a), b, float(c)) for a, b, c in (p.split("|") for p in pending.split(";") if p)]
         for f in frames:
-            waiting += [(int(t.value // 1000), s, float(v)) for t, s, v in zip(f["as_of"], f["state"], f["score"], strict=True)]
+            waiting += [(int(t), s, float(v)) for t, s, v in zip(f["_at"], f["state"], f["score"], strict=True)]
         mark = state.getCurrentWatermarkMs() * 1000
         waiting.sort()
         ready, waiting = [w for w in waiting if w[0] < mark], [w for w in waiting if w[0] >= mark]
@@ -73,15 +74,36 @@ def stream_alerts(scored: DataFrame, late: str = "1 hour", dwell: int = rules.DW
         state.update((started, posted, last, ";".join(f"{a}|{b}|{c!r}" for a, b, c in waiting)))
         if waiting:
             state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, waiting[0][0] // 1000 + 1))
-        frame = pd.DataFrame(out, columns=["airport", "as_of", "started_at", "minutes", "state", "score", "action"])
-        for c in ("as_of", "started_at"):
-            frame[c] = pd.to_datetime(frame[c], unit="us")
-        yield frame
+        yield pd.DataFrame(out, columns=["airport", "as_of", "started_at", "minutes", "state", "score", "action"])
 
-    rows = scored.withColumn("as_of", F.col("as_of").cast("timestamp")).withWatermark("as_of", late)
-    return rows.groupBy("airport").applyInPandasWithState(run, ACTION_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    # Times travel as microseconds, so the session's time zone plays no part in the comparison with the watermark.
+    rows = scored.withColumn("as_of", F.col("as_of").cast("timestamp")).withWatermark("as_of", late).withColumn("_at", F.unix_micros("as_of"))
+    actions = rows.groupBy("airport").applyInPandasWithState(run, ACTION_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    return actions.withColumns({c: F.timestamp_micros(c) for c in ("as_of", "started_at")})
 
 
-def notify_each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
-    """Write every micro-batch with its id, so that a repeated batch can be recognised by the sink."""
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+def started(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Start a stream that hands every micro-batch and its id to ``write``: each ``every``, or once over what is there."""
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def batch_folders(path: str, and_then: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """Sink of one folder a micro-batch: a repeated batch replaces its own folder, so each row is kept once.
+
+    ``and_then`` is called with what was written, once it is safe; it has to recognise a batch id it has seen.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        folder = f"{path}/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(folder)
+        if and_then:
+            and_then(batch.sparkSession.read.schema(batch.schema).parquet(folder), batch_id)
+
+    return write
+
+
+def run_once(stream: DataFrame, folder: str, and_then: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+    """Run a stream over what its source holds now and read back all that it has written so far."""
+    started(stream, batch_folders(f"{folder}/out", and_then), f"{folder}/state").awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/out")

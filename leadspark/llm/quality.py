@@ -175,7 +175,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, lines:
 
 
 def score_quality(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``; a null text is empty, one blank line."""
+    """doc_id, held_out, score, predicted for every row of ``docs``; a null text is empty, one blank line; a row without doc_id is not held out."""
 
     def run(batches):
         for batch in batches:
@@ -186,4 +186,4 @@ def score_quality(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(score)], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", (fold(FOLDS) == HELD_OUT).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold(FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))

@@ -158,9 +158,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Mo
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``; a null text is empty."""
+    """doc_id, held_out, score, predicted for every row of ``docs``; a null text is empty, a row without doc_id is not held out."""
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_count_batches(*model), "doc_id long, score double")
-    return scored.select("doc_id", (fold(FOLDS) == HELD_OUT).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold(FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:

@@ -123,6 +123,37 @@ def plain_battery(token, model):
     return min(13, math.floor(2 * math.log2(n / 20))), max(-60.0, min(0.0, 1 + p / 3)), ordinary
 
 
+def test_whole_result_equals_plain_python(spark):
+    """Tokens, p-values and the step-up rule of every band, without Spark."""
+    rnd = random.Random(13)
+    rows = []
+    for i in range(400):
+        text = prose(rnd)
+        if i % 3 == 0:
+            text.insert(5, "".join(rnd.choice(SYMBOLS[:62]) for _ in range(rnd.choice([20, 26, 40]))))
+        if i % 7 == 0:
+            text.insert(2, "token=" + "".join(rnd.choice(SYMBOLS[:62]) for _ in range(30)))
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, tested = word_model(docs), []
+    for i, text in rows:
+        base = brute(text)
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+            if not any(a < m.end() and m.start() < b for a, _, b in base):
+                tested.append((i, m.start(), m.end(), *plain_battery(m[0], model)))
+    step = lambda p: math.ceil(round(p, 6) / 0.05)
+    limit = {}
+    for band in {t[3] for t in tested}:
+        mine = [t for t in tested if t[3] == band]
+        for t in mine:
+            below = sum(u[5] and step(u[4]) <= step(t[4]) for u in mine)
+            if t[5] and math.exp(step(t[4]) * 0.05) * len(mine) <= 0.01 * below:
+                limit[band] = max(limit.get(band, -(10**9)), step(t[4]))
+    want = {(i, f"random:{a}:{b}") for i, a, b, band, p, ordinary in tested if ordinary and step(p) <= limit.get(band, -(10**9))}
+    got = {(r["doc_id"], s) for r in scan_secrets(docs).collect() for s in r["spans"].split(",") if s.startswith("random")}
+    assert got == want and len(want) > 100
+
+
 def test_battery_equals_plain_python(spark):
     rnd = random.Random(7)
     model = word_model(spark.createDataFrame([(1, " ".join(" ".join(prose(rnd)) for _ in range(20)))], "doc_id long, text string"))

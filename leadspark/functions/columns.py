@@ -149,8 +149,13 @@ def absolute_url(c: Column | str, base: str) -> Column:
 
 
 def without_contact_data(c: Column | str) -> Column:
-    """E-mail addresses, then phone numbers, replaced by marks."""
-    return F.regexp_replace(F.regexp_replace(_col(c), rules.EMAIL_PATTERN, F.lit(rules.EMAIL_MARK)), rules.PHONE_PATTERN, F.lit(rules.PHONE_MARK))
+    """E-mail addresses, then phone numbers, replaced by marks.
+
+    Texts without an @, or without the digits that end every phone number, skip the costly pattern.
+    """
+    text = _col(c)
+    mailed = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, rules.EMAIL_PATTERN, F.lit(rules.EMAIL_MARK))).otherwise(text)
+    return F.when(mailed.rlike(rules.PHONE_END), F.regexp_replace(mailed, rules.PHONE_PATTERN, F.lit(rules.PHONE_MARK))).otherwise(mailed)
 
 
 def contains_any(c: Column | str, words: Sequence[str], whole_words: bool = False) -> Column:
@@ -171,6 +176,9 @@ def shorten(c: Column | str, limit: int = 280) -> Column:
     return F.when(F.octet_length(text) > limit, F.trim(cut)).otherwise(text)
 
 
+# The marks and words of messages in the helpers below.
+
+
 def score_mark(c: Column | str) -> Column:
     c = _col(c)
     return F.when(c >= 9, "🔥").when(c >= 7, "⚡").when(c >= 5, "👀").otherwise("📌")
@@ -263,6 +271,9 @@ def weather_type(event: Column | str, headline: Column | str) -> Column:
     )
 
 
+# Parts of the day, recovery and state marks of alert texts.
+
+
 def day_part(hour: Column) -> Column:
     return F.when((hour >= 21) | (hour < 5), "overnight").when(hour >= 17, "evening").when(hour >= 12, "afternoon").otherwise("morning")
 

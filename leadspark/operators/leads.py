@@ -97,7 +97,7 @@ def notify_new(table: DataFrame, day: Column, limit: int = 500) -> tuple[DataFra
     return digest_message(new, day, limit=limit), marked.withColumn("status", F.coalesce("_s", "status")).select(*table.columns)
 
 
-# Payload rows ---------------------------------------------------------------------------------------
+# Payload rows. The labels and marks of the payloads, which receivers read as they stand. ---------------------------------------------------------------------------------------
 
 
 def _markdown(text: Column) -> Column:

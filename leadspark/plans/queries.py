@@ -374,6 +374,40 @@ def flow_report_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.flow_records(reports.document_lines(docs)).select("doc_id", "sub_type", "folder_number", "work_proposed", "status", "address", "issue_date", "value", "applicant")
 
 
+_REPORT_ROWS = """rows AS (
+  SELECT p_partkey // 3 AS doc_id, p_partkey, 0 AS k, p_type AS sub_type, printf('%02d %06d 000 00 B7', p_size % 100, p_partkey % 1000000) AS folder_number, p_name AS work_proposed, 'Issued' AS status, p_brand AS address,
+         CAST('2024-03-' || lpad(CAST(p_partkey % 28 + 1 AS VARCHAR), 2, '0') AS DATE) AS issue_date, CAST(floor(p_retailprice) AS BIGINT) AS value, p_brand AS applicant, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '' END AS contractor FROM part
+  UNION ALL SELECT p_partkey // 3, p_partkey, 1, p_type, printf('%02d %06d 001 00 C1', p_size % 100, p_partkey % 1000000), 'Extra', 'Held', 'Annex', DATE '2024-04-02', 7500, p_brand, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '' END FROM part WHERE p_partkey % 4 = 0)"""
+
+
+@register("flow_report_sections", f"WITH {_REPORT_ROWS} SELECT doc_id, sub_type, folder_number, work_proposed, status, address, issue_date, value, applicant, contractor FROM rows")
+def flow_report_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of three sections each: one or two records a section, page lines in between, a number's suffix on a line of its own, contact blocks at the end."""
+    part, key = views.table(spark, sf_dir, "part"), F.col("p_partkey")
+    number = lambda text: F.format_string(f"%02d %06d {text}", F.col("p_size") % 100, key % 1000000)
+    day = F.concat(F.lit("2024/03/"), F.lpad((key % 28 + 1).cast("string"), 2, "0"))
+    head = F.when(key % 2 == 0, number("000 00 B7")).otherwise(F.concat(number("000 00"), F.lit("\nB7")))
+    first = F.concat_ws("\n", F.concat(F.lit("SUB TYPE: "), F.col("p_type")), F.lit("Folder Number   Work Proposed"), head, F.col("p_name"), F.lit("Issued"), day, F.concat(F.lit("$"), F.floor("p_retailprice").cast("string"), F.lit(".00")), F.lit("FOLDER NAME"), F.col("p_brand"))
+    second = F.when(key % 4 == 0, F.concat(F.lit("\n"), number("001 00 C1"), F.lit("\nExtra\nHeld\n2024/04/02 2\n$0.00\n$7,500.00\nFOLDER NAME Annex"))).otherwise("")
+    contact = F.when(key % 2 == 0, F.concat(F.lit("APPLICANT "), F.col("p_brand"), F.lit("\nCONTRACTOR "), F.col("p_name"))).otherwise(F.concat(F.lit("APPLICANT\n"), F.col("p_brand")))
+    rows = part.select(F.floor(key / 3).alias("doc_id"), F.struct(key.alias("k"), F.concat(first, second, F.lit("\nSub total 3")).alias("t"), contact.alias("c")).alias("r"))
+    folded = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    text = F.concat_ws("\n", F.array_join(F.transform("r", lambda x: x["t"]), "\n"), F.array_join(F.transform("r", lambda x: x["c"]), "\n"))
+    return reports.flow_records(reports.document_lines(folded.select("doc_id", text.alias("value")))).select("doc_id", "sub_type", "folder_number", "work_proposed", "status", "address", "issue_date", "value", "applicant", "contractor")
+
+
+@register("column_report_pages", "SELECT p_partkey // 3 AS doc_id, 'BP' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS permit_number, CAST('2024-03-' || lpad(CAST(p_partkey % 28 + 1 AS VARCHAR), 2, '0') AS DATE) AS issue_date, CAST(floor(p_retailprice) AS BIGINT) * 1000 AS value, p_type || ' - NORTH' AS type_raw, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '' END AS purpose, p_brand AS civic_address FROM part")
+def column_report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of three records each with page lines that belong to none, an empty address and a missing purpose."""
+    key = F.col("p_partkey")
+    head = F.concat(F.lit("Mar "), (key % 28 + 1).cast("string"), F.lit(", 2024  BP"), F.lpad(key.cast("string"), 6, "0"), F.lit(" "), F.upper("p_name"), F.lit("   120.00   "), F.floor("p_retailprice").cast("string"), F.lit(",000.00"))
+    purpose = F.when(key % 2 == 0, F.concat(F.lit("\n  Purpose "), F.col("p_name"))).otherwise("")
+    one = F.concat(head, F.lit("\n  Type "), F.col("p_type"), F.lit(" - NORTH"), purpose, F.lit("\n  Civic Address: \nPage 1 of 9\nType NOT INDENTED\n  Civic Address: "), F.col("p_brand"))
+    rows = views.table(spark, sf_dir, "part").select(F.floor(key / 3).alias("doc_id"), F.struct(key.alias("k"), one.alias("t")).alias("r"))
+    docs = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["t"]), "\n").alias("value"))
+    return reports.column_records(reports.document_lines(docs, trim=False)).select("doc_id", "permit_number", "issue_date", "value", "type_raw", "purpose", "civic_address")
+
+
 @register("weather_types", "SELECT event_id, CASE WHEN contains(upper(event_type || ' ' || props), 'SNOW') THEN 'Snow' WHEN contains(upper(event_type || ' ' || props), 'FOG') THEN 'Fog' WHEN contains(lower(event_type), 'atmospheric') THEN 'AtmosphericRiver' WHEN contains(upper(event_type || ' ' || props), 'WIND') THEN 'Wind' ELSE 'Unknown' END AS type FROM events")
 def weather_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "events").select("event_id", weather_type(F.concat_ws(" ", "event_type", "props"), F.col("event_type")).alias("type"))
@@ -412,21 +446,21 @@ def award_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("external_id", "title", "value", "issued_at", "hash")
 
 
-@register("feed_items", "SELECT CASE WHEN c_custkey % 2 = 0 THEN 'g' || CAST(c_custkey AS VARCHAR) ELSE 'http://news/' || CAST(c_custkey AS VARCHAR) END AS external_id, c_name AS title, sha256('news:' || CASE WHEN c_custkey % 2 = 0 THEN 'g' || CAST(c_custkey AS VARCHAR) ELSE 'http://news/' || CAST(c_custkey AS VARCHAR) END) AS hash, CAST('2024-03-05' AS DATE) AS issued_at FROM customer")
+@register("feed_items", "SELECT CASE WHEN c_custkey % 2 = 0 THEN 'g' || CAST(c_custkey AS VARCHAR) ELSE 'http://news/' || CAST(c_custkey AS VARCHAR) END AS external_id, c_name AS title, sha256('news:' || CASE WHEN c_custkey % 2 = 0 THEN 'g' || CAST(c_custkey AS VARCHAR) ELSE 'http://news/' || CAST(c_custkey AS VARCHAR) END) AS hash, CAST('2024-03-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') AS DATE) AS issued_at FROM customer")
 def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as feed documents of one item; every other one has no guid."""
     key = F.col("c_custkey").cast("string")
     guid = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("<guid>g"), key, F.lit("</guid>"))).otherwise("")
-    text = F.concat(F.lit("<rss><channel><item><title>"), F.col("c_name"), F.lit("</title><link>http://news/"), key, F.lit("</link><pubDate>Tue, 05 Mar 2024 10:00:00 GMT</pubDate>"), guid, F.lit("</item></channel></rss>"))
+    text = F.concat(F.lit("<rss><channel><item><title>"), F.col("c_name"), F.lit("</title><link>http://news/"), key, F.lit("</link><pubDate>Tue, "), F.lpad((F.col("c_custkey") % 28 + 1).cast("string"), 2, "0"), F.lit(" Mar 2024 10:00:00 GMT</pubDate>"), guid, F.lit("</item></channel></rss>"))
     return feeds.feed_items(views.table(spark, sf_dir, "customer").select(text.alias("value"))).select("external_id", "title", "hash", "issued_at")
 
 
-@register("production_projects", "SELECT trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-') AS external_id, n_name || ', BC' AS location, CAST('2026-03-09' AS DATE) AS issued_at, CASE WHEN c_custkey % 3 = 0 THEN 'Feature Film' ELSE 'TV Series' END || ' — ' || c_mktsegment || ' | Schedule: 3/9/2026 - 4/10/2026 | Address: 1 Road, ' || n_name || ', Canada' AS description FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 < 2")
+@register("production_projects", "SELECT trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-') AS external_id, n_name || ', BC' AS location, CAST('2026-03-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') AS DATE) AS issued_at, CASE WHEN c_custkey % 3 = 0 THEN 'Feature Film' ELSE 'TV Series' END || ' — ' || c_mktsegment || ' | Schedule: 3/' || CAST(c_custkey % 28 + 1 AS VARCHAR) || '/2026 - 4/10/2026 | Address: 1 Road, ' || n_name || ', Canada' AS description FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 < 2")
 def production_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as pages of a labelled production list; one in three is of a type that is not kept."""
     rows = views.table(spark, sf_dir, "customer").join(views.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     kind = F.element_at(F.array(F.lit("Feature"), F.lit("TV Series"), F.lit("Commercial")), (F.col("c_custkey") % 3 + 1).cast("int"))
-    html = F.concat(F.lit('<div id="list"><h5>'), kind, F.lit('</h5><h3 class="production">'), F.upper("c_name"), F.lit("</h3><p><b>Studio:</b> "), F.col("c_mktsegment"), F.lit("</p><p><b>Schedule:</b> 3/9/2026 - 4/10/2026</p><p><b>Address:</b> 1 Road, "), F.col("n_name"), F.lit(", Canada</p></div>"))
+    html = F.concat(F.lit('<div id="list"><h5>'), kind, F.lit('</h5><h3 class="production">'), F.upper("c_name"), F.lit("</h3><p><b>Studio:</b> "), F.col("c_mktsegment"), F.lit("</p><p><b>Schedule:</b> 3/"), (F.col("c_custkey") % 28 + 1).cast("string"), F.lit("/2026 - 4/10/2026</p><p><b>Address:</b> 1 Road, "), F.col("n_name"), F.lit(", Canada</p></div>"))
     records, _ = pages.labelled_list(rows.select(F.col("c_custkey").alias("page_id"), html.alias("html")), "h5", "h3", container='id="list"')
     return normalize.production_projects(records).select("external_id", "location", "issued_at", "description")
 

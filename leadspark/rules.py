@@ -12,17 +12,20 @@ HIGH_VALUE = [
     "season", "conference", "summit", "congress", "trade show", "convention", "symposium",
 ]
 LOW_VALUE = ["interior renovation", "residential", "landscaping", "tenant improvement", "single family", "duplex", "townhouse", "condo", "signage", "swimming pool"]
+# Permit types that count as commercial.
 COMMERCIAL_SUB_TYPES = [
     "hotel", "warehouse", "manufacturing/warehouse", "office", "medical office", "dental office", "financial institute", "restaurant",
     "retail", "apartment", "educational facility", "community hall", "recreational", "industrial", "canopy", "nursing home",
 ]
 PERMIT_TYPE_PREFIXES = ["industrial", "commercial", "assembly", "institutional"]
 MIN_PERMIT_VALUE = 500_000
+# Production types and the names of the short forms.
 PRODUCTION_TYPES = ["feature film", "tv series"]
 PRODUCTION_NAMES = {
     "feature": "Feature Film", "tv series": "TV Series", "doc series": "Documentary Series", "mini series": "Mini Series",
     "new media feature": "New Media Feature", "new media series": "New Media Series",
 }
+# Words by which cards, events and news items are kept or dropped.
 VENUE_DROP = ["consumer show", "home show", "auto show", "art fair", "comedy", "concert", "wedding", "graduation", "public show"]
 VENUE_NAV_WORDS = ["organize", "attend", "news", "about", "contact", "career", "privacy", "term"]
 EVENT_POSITIVE = [
@@ -35,9 +38,13 @@ NEWS_POSITIVE = [
     "warehouse", "building", "residential", "housing", "project",
 ]
 NEWS_NEGATIVE = ["score", "game", "match", "win", "loss", "election", "campaign"]
+# Contact data and the marks that replace it.
 EMAIL_PATTERN = r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"
 PHONE_PATTERN = r"(\+?\d{1,2}\s?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}"
+#: What every phone number ends in.
+PHONE_END = r"\d{3}[\s.-]?\d{4}"
 EMAIL_MARK, PHONE_MARK = "[REDACTED EMAIL]", "[REDACTED PHONE]"
+# Disruption scores, states and weather tuning.
 SEATS, CONNECTING = 160, 0.58
 STATE_BANDS = [(20.0, "Ignore"), (60.0, "Watch"), (120.0, "SoftAlert")]
 TOP_STATE = "HardAlert"

@@ -259,3 +259,20 @@ def test_repeat_organisations_equal_all_pairs(spark):
         got = {r["org_name"]: r["matched"] for r in metrics.repeat_organisations(rows, known, most_edits=edits).collect()}
         want = {n: min(((d, p) for p in map(plain, past) if (d := distance(plain(n), p)) <= edits), default=(0, None))[1] for n in asked}
         assert got == want
+
+
+def test_rows_without_key_are_all_kept(spark):
+    rows = spark.createDataFrame([(1, None), (2, None), (3, None), (4, "a"), (5, "a"), (6, "b")], "id long, hash string")
+    store = spark.createDataFrame([(9, "b"), (8, None)], "id long, hash string")
+    assert sorted(r["id"] for r in dedup.insert_ignore(store, rows, [F.col("id")]).collect()) == [1, 2, 3, 4]
+    new, told = dedup.insert_returning(store, rows, F.lit(0))
+    assert sorted(r["id"] for r in new.collect()) == [1, 2, 3, 4]
+    assert {r["id"]: r["winning_id"] for r in told.collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 9}
+
+
+def test_swap_keeps_one_state_and_no_leftovers(spark, tmp_path):
+    store = dedup.TableStore(spark, str(tmp_path))
+    for n in (3, 5):
+        store.swap("t", spark.range(n).withColumnRenamed("id", "x"))
+        assert store.read("t", "x bigint").count() == n
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]

@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from leadspark.operators import disruption
@@ -16,7 +17,16 @@ def run(stream, name, tmp_path, spark):
     return spark.sql(f"select * from {name}")
 
 
-def test_stream_equals_batch_with_late_rows(spark, tmp_path):
+@pytest.mark.parametrize("zone", ["UTC", "America/Vancouver"])
+def test_stream_equals_batch_with_late_rows(spark, tmp_path, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        _stream_equals_batch(spark, tmp_path, zone)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def _stream_equals_batch(spark, tmp_path, zone):
     rnd = random.Random(3)
     rows, at = [], datetime(2024, 1, 1)
     for _ in range(60):
@@ -29,7 +39,7 @@ def test_stream_equals_batch_with_late_rows(spark, tmp_path):
     for i, part in enumerate([shuffled[:50], shuffled[50:], last, [("Z", at + timedelta(days=2), "Ignore", 0.0)]]):
         spark.createDataFrame(part, SCORED).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{i}")
     stream = spark.readStream.schema(SCORED).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    got = run(alerts.stream_alerts(stream), "alert_actions", tmp_path, spark)
+    got = run(alerts.stream_alerts(stream), f"alert_actions_{zone[:2]}", tmp_path, spark)
     want = disruption.alert_episodes(spark.createDataFrame(rows + last, SCORED))
     columns = ["airport", "as_of", "started_at", "minutes", "state", "score", "action"]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect())) != []
@@ -44,3 +54,20 @@ def test_windows_sessions_and_dedup(spark, tmp_path):
     assert run(alerts.stream_sessions(events), "sessions", tmp_path, spark).where("ended_at > started_at").count() > 0
     seen = run(alerts.stream_unseen(events.withColumn("hash", F.col("event_type"))), "unseen", tmp_path, spark)
     assert 0 < seen.count() <= 5
+
+
+def test_repeated_batch_replaces_its_folder(spark, tmp_path):
+    seen = []
+    sink = alerts.batch_folders(str(tmp_path), lambda rows, batch_id: seen.append((batch_id, rows.count())))
+    for rows in ([(1,), (2,)], [(1,), (2,)], [(3,)]):
+        sink(spark.createDataFrame(rows, "x int"), 0 if rows[0][0] < 3 else 1)
+    assert sorted(r["x"] for r in spark.read.schema("x int").option("recursiveFileLookup", "true").parquet(str(tmp_path)).collect()) == [1, 2, 3]
+    assert seen == [(0, 2), (0, 2), (1, 1)]
+
+
+def test_stream_at_an_interval(spark, tmp_path):
+    spark.range(5).write.parquet(f"{tmp_path}/in")
+    query = alerts.started(spark.readStream.schema("id bigint").parquet(f"{tmp_path}/in"), alerts.batch_folders(f"{tmp_path}/out"), f"{tmp_path}/state", every="1 second")
+    query.processAllAvailable()
+    query.stop()
+    assert spark.read.schema("id bigint").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/out").count() == 5

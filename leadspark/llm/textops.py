@@ -35,7 +35,11 @@ def utf8_parts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
 
 
 def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges [lo, hi) of about ``limit`` bytes each, one row at least."""
+    """Row ranges [lo, hi) of about ``limit`` bytes each, one row at least.
+
+    A text is never split, and the arrays made of a block take up to forty bytes of memory for each of its bytes, so a single
+    text of over some 50 MB needs a larger executor.
+    """
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1

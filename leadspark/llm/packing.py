@@ -11,6 +11,7 @@ within their length, which Spark numbers without gathering a length in one task.
 from __future__ import annotations
 
 import os
+import re
 import sys
 import zlib
 from array import array
@@ -37,12 +38,20 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: The symbol that stands for each byte in a byte-level vocabulary: printable bytes for themselves, the others from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_SYMBOLS = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_LETTERS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+#: A blank before white space or the end.
+_UNEVEN = re.compile(r" (?:\s|\Z)")
+
+
 class CachedEncoder:
     """Token ids of whole texts, by the tokenizer itself, as little-endian unsigned 32-bit bytes.
 
     The pre-tokenizer never joins what a single blank before a visible character separates, so a
-    text is encoded blank by blank; repeated words come from a bounded cache and the others go to the
-    tokenizer in one batch. Texts with other runs of white space around a blank, and those that hold
+    text is encoded blank by blank; repeated words come from a bounded cache, plain ones go to the tokenizer's
+    model and the others to the whole tokenizer in one batch. Texts with other runs of white space around a blank, and those that hold
     the string of a special token, are encoded in one go.
     """
 
@@ -52,6 +61,7 @@ class CachedEncoder:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Ids of a blank and the word after it.
         self.words: dict[str, bytes] = {}
 
     @staticmethod
@@ -64,21 +74,35 @@ class CachedEncoder:
     def _whole(self, text: str) -> bytes:
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _plain(self, word: str) -> bytes | None:
+        """Ids of a blank and Latin letters with one mark at most, which the pre-tokenizer takes as they are; None for other words."""
+        found = _LETTERS.fullmatch(word)
+        if not found:
+            return None
+        letters, mark = found.groups()
+        pieces = ["\u0120" + letters.encode().decode("latin-1").translate(_BYTE_SYMBOLS), *mark]
+        return self._bytes([t.id for p in pieces for t in self.tokenizer.model.tokenize(p)])
+
+    def _learn(self, words: list[str]) -> None:
+        fresh = [w for w in set(words) if w not in self.words]
+        if len(self.words) + len(fresh) > self.most:
+            self.words.clear()
+            fresh = list(set(words))
+        self.words.update((w, self._plain(w)) for w in fresh)
+        other = [w for w in fresh if self.words[w] is None]
+        found = self.tokenizer.encode_batch_fast([" " + w for w in other], add_special_tokens=False)
+        self.words.update((w, self._bytes(e.ids)) for w, e in zip(other, found, strict=True))
+
     def __call__(self, text: str) -> bytes:
-        parts = text.split(" ")
-        if any(not w or w[0].isspace() for w in parts[1:]) or any(s in text for s in self.special):
+        if _UNEVEN.search(text) or any(s in text for s in self.special):
             return self._whole(text)
-        parts[1:] = [" " + w for w in parts[1:]]
-        if not parts[0]:
-            del parts[0]
-        fresh = [w for w in set(parts) if w not in self.words]
-        if fresh:
-            if len(self.words) + len(fresh) > self.most:
-                self.words.clear()
-                fresh = list(set(parts))
-            for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                self.words[w] = self._bytes(e.ids)
-        return b"".join(map(self.words.__getitem__, parts))
+        first, *rest = text.split(" ")
+        try:
+            found = b"".join([self.words[w] for w in rest])
+        except KeyError:
+            self._learn(rest)
+            found = b"".join([self.words[w] for w in rest])
+        return self._whole(first) + found if first else found
 
 
 @lru_cache(maxsize=2)

@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from leadspark.llm.packing import CachedEncoder, SumIndex, pack_documents, plan_packing, tokenizer_path
+from leadspark.llm.packing import CachedEncoder, SumIndex, _encoder, pack_documents, plan_packing, tokenizer_path
 from tests.llm.fixtures import awkward_docs, empty_docs
 
 
@@ -101,6 +101,22 @@ def test_index_stays_right_as_stock_falls():
             assert min(counts) >= 0
 
 
+def test_every_text_of_the_tables_equals_the_tokenizer():
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    encode, tok = CachedEncoder(tokenizer_path(), 5000), Tokenizer.from_file(tokenizer_path())
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist():
+        assert np.frombuffer(encode(text or ""), "<u4").tolist() == tok.encode(text or "", add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abzAZÀÖØöøÿéß.,;:!?'’-×÷ 0", max_size=40))
+def test_plain_words_equal_the_tokenizer(text):
+    encode = _encoder(tokenizer_path())
+    assert np.frombuffer(encode(text), "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_special_tokens_keep_their_ids():
     from tokenizers import Tokenizer
 

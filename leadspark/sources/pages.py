@@ -70,7 +70,9 @@ def cards(pages: DataFrame, tag: str, title_tags: Sequence[str], base: str, need
     heads = [F.nullif(page_text(F.regexp_extract("inner", rf"(?is)<{t}\b[^>]*>(.*?)(?:</{t}\s*>|$)", 1)), F.lit("")) for t in title_tags]
     by_class = lambda name: page_text(F.regexp_extract("inner", rf"""(?is)class\s*=\s*["'][^"']*\b{name}\b[^"']*["'][^>]*>(.*?)</""", 1))
     link = F.coalesce(F.nullif(attribute("attrs", "href"), F.lit("")), F.nullif(F.regexp_extract("inner", r"""(?is)<a\b[^>]*href\s*=\s*["']?([^"'\s>]*)""", 1), F.lit("")), F.lit(""))
-    rows = found.select(page, "pos", F.coalesce(*heads, page_text("inner")).alias("title"), by_class("(?:event-)?(?:category|type)").alias("category"), by_class("(?:event-)?(?:date|time)").alias("date"), absolute_url(link, base).alias("link"))
+    card = F.struct(F.coalesce(*heads, page_text("inner")).alias("title"), by_class("(?:event-)?(?:category|type)").alias("category"), by_class("(?:event-)?(?:date|time)").alias("date"), absolute_url(link, base).alias("link"))
+    # The generator keeps the filters above it, so that the texts are made once and not again in every condition.
+    rows = found.select(page, "pos", F.inline(F.array(card)))
     rows = rows.where(F.octet_length("title").between(least, most)).where(~((F.lower("title") == "events") | contains_any("title", nav_words)))
     rows = rows.where(~(contains_any("title", drop) | contains_any("category", drop)))
     return rows.where("link <> ''") if need_link else rows

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadspark.llm import decontaminate, fingerprint, near_dedup, packing, quality, repeated_spans, secret_scan, sharding, toxicity, url_filter
+from leadspark.llm import decontaminate, fill_middle, fingerprint, near_dedup, packing, quality, repeated_spans, secret_scan, sharding, token_alignment, token_counts, toxicity, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,19 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(_documents(spark, sf_dir))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = packing.tokenizer_path
+    return token_alignment.align_tokens(_documents(spark, sf_dir), path(token_alignment.TOKENIZER_A), path(token_alignment.MODEL_B))[0]
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_middle_digests(_documents(spark, sf_dir))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_documents(spark, sf_dir), packing.tokenizer_path(token_counts.MODEL))
+
+
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_secrets": op2_secrets,
@@ -65,5 +78,8 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_shards": op9_shards,
     "op10_fingerprints": op10_fingerprints,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_token_counts": op13_token_counts,
 }
-ORACLES: dict[str, str] = {"op7_url_lists": url_filter.SQL}
+ORACLES: dict[str, str] = {"op7_url_lists": url_filter.SQL, "op12_fill_middle": fill_middle.SQL}

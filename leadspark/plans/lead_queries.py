@@ -13,7 +13,7 @@ from leadspark.functions.columns import record_key, row_id
 from leadspark.operators import dedup, disruption, leads, metrics, model_steps, normalize, vectors
 from leadspark.plans import views
 from leadspark.plans.queries import _KEY, _SCORED, ORACLES, QUERIES, _polls_scored, register
-from leadspark.sources import feeds, pages
+from leadspark.sources import feeds, pages, registry
 from leadspark.streaming import alerts
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -263,11 +263,32 @@ def latest_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("source_union", f"WITH {views.PROJECTS_FROM_ORDERS}, o AS (SELECT * FROM projects), {views.PROJECTS_FROM_PARTS.replace('projects AS', 'p AS')} SELECT source, external_id, title, value FROM o UNION ALL SELECT source, external_id, title, value FROM p")
 def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two enabled sources of the registry in one table; a third is switched off."""
-    feeds.register_source("orders", lambda s: views.projects_from_orders(s, sf_dir))
-    feeds.register_source("parts", lambda s: views.projects_from_parts(s, sf_dir))
-    feeds.register_source("off", lambda s: views.projects_from_parts(s, sf_dir))
-    return feeds.union_sources(spark, {"off": False}).select("source", "external_id", "title", "value")
+    """Two enabled sources in one table; a third is switched off."""
+    orders, parts = views.projects_from_orders(spark, sf_dir), views.projects_from_parts(spark, sf_dir)
+    sources = registry.Sources(spark).add("orders", orders).add("parts", parts).add("off", parts)
+    return sources.union({"off": False}).select("source", "external_id", "title", "value")
+
+
+def _order_pages(spark: SparkSession, sf_dir: str) -> registry.PageFiles:
+    """Orders as published: JSON lines in one folder a month of issue, one in a hundred of them broken."""
+    month = F.trunc("issued_at", "month").alias("day")
+    rows = views.projects_from_orders(spark, sf_dir).select(month, F.to_json(F.struct("source", "external_id", "title", "location", "value")).alias("line"), "external_id")
+    broken = F.when(F.col("external_id").cast("long") % 100 == 0, F.concat(F.lit("{"), "line")).otherwise(F.col("line"))
+    folder = f"{_folder(spark)}/pages"
+    rows.select("day", broken.alias("value")).write.partitionBy("day").text(folder)
+    return registry.PageFiles("orders", folder)
+
+
+@register(
+    "collected_projects",
+    f"""WITH {views.PROJECTS_FROM_ORDERS}, m AS (SELECT *, CAST(date_trunc('month', issued_at) AS DATE) AS day, CAST(external_id AS BIGINT) % 100 = 0 AS bad FROM projects)
+SELECT CASE WHEN bad THEN 'orders' ELSE source END AS source, CASE WHEN bad THEN NULL ELSE external_id END AS external_id, CASE WHEN bad THEN NULL ELSE title END AS title, CASE WHEN bad THEN 0 ELSE value END AS value, day AS issued_at, CASE WHEN bad THEN 'bad' END AS raw_type
+FROM m WHERE day >= DATE '1996-03-01' AND day < DATE '1997-01-01'""",
+)
+def collected_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten months of a collector's pages; the condition on the day reaches the collector, which lists those folders only."""
+    rows = registry.collect(spark, _order_pages(spark, sf_dir)).where("issued_at >= DATE '1996-03-01' AND issued_at < DATE '1997-01-01'")
+    return rows.select("source", "external_id", "title", F.coalesce("value", F.lit(0)).alias("value"), "issued_at", "raw_type")
 
 
 @register("page_links", "WITH h AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)\\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS h FROM pages), t AS (SELECT page_id, unnest(regexp_extract_all(h, '(?is)<a\\b[^>]*>[^<]*', 0)) AS x, generate_subscripts(regexp_extract_all(h, '(?is)<a\\b[^>]*>[^<]*', 0), 1) - 1 AS pos FROM h), c AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(x, '(?is)^<a\\b[^>]*>', ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS title, regexp_extract(x, '(?i)\\bhref\\s*=\\s*[\"'']?([^\"''\\s>]*)', 1) AS href FROM t) SELECT page_id, pos, title, CASE WHEN href LIKE 'http%' THEN href ELSE 'https://example.com' || href END AS link FROM c WHERE href <> '' AND strlen(title) BETWEEN 3 AND 150 AND lower(title) <> 'events'")
@@ -339,13 +360,13 @@ def _weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {views.POLLS}, {_WEATHER}, {_STOPS}, pw AS (SELECT p.*, w.weather FROM polls p ASOF LEFT JOIN weather w ON p.airport = w.airport AND p.as_of >= w.at),
 ps AS (SELECT pw.*, coalesce(s.ground_stop, false) AS ground_stop FROM pw ASOF LEFT JOIN stops s ON pw.airport = s.airport AND pw.as_of >= s.at),
 hotels AS (SELECT CAST(s_suppkey AS VARCHAR) AS hotel_id, 'A' || CAST(n AS VARCHAR) AS airport FROM supplier, (SELECT unnest([0, 1, 2]) AS n) WHERE n = 0 OR n = s_suppkey % 2 + 1)
-SELECT hotel_id, airport, as_of, total, cancelled, weather, ground_stop FROM ps JOIN hotels USING (airport) WHERE CAST(hotel_id AS INTEGER) % 10 = 1""",
+SELECT hotel_id, airport, as_of, total, cancelled, weather, ground_stop FROM ps JOIN hotels USING (airport)""",
 )
 def assembled_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polls with the weather alert and ground stop of their time, for the hotels that watch the airport."""
     stops = views.table(spark, sf_dir, "events").where("event_id % 25 = 0").groupBy(F.concat(F.lit("A"), F.pmod("user_id", F.lit(3)).cast("string")).alias("airport"), F.col("ts").cast("timestamp").alias("as_of")).agg(F.bool_or(F.col("event_type") == "signup").alias("ground_stop"))
     polls = views.polls(spark, sf_dir).withColumn("ground_stop", F.lit(False))
-    out = disruption.assemble_polls(polls, _weather(spark, sf_dir), stops, feeds.hotel_airports(_hotels(spark, sf_dir).where(F.col("id").cast("int") % 10 == 1)))
+    out = disruption.assemble_polls(polls, _weather(spark, sf_dir), stops, feeds.hotel_airports(_hotels(spark, sf_dir)))
     return _naive(out.select("hotel_id", "airport", "as_of", "total", "cancelled", "weather", "ground_stop"), "as_of")
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,20 +75,6 @@ def hotel_airports(dimension: DataFrame) -> DataFrame:
     return dimension.select(F.col("id").alias("hotel_id"), "alert_threshold_sps", F.explode("airports").alias("a")).select("hotel_id", "alert_threshold_sps", F.col("a.code").alias("airport"), F.col("a.distance_min").alias("distance_min"))
 
 
-_SOURCES: dict[str, Callable[[SparkSession], DataFrame]] = {}
-
-
-def register_source(name: str, make: Callable[[SparkSession], DataFrame]) -> None:
-    _SOURCES[name] = make
-
-
-def union_sources(spark: SparkSession, enabled: dict[str, bool]) -> DataFrame:
-    """All enabled registered sources in one table of the project schema."""
-    frames = [make(spark) for name, make in _SOURCES.items() if enabled.get(name, True)]
-    columns = [c.split()[0] for c in schemas.PROJECT.split(", ")]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames, spark.createDataFrame([], schemas.PROJECT)).select(*columns)
-
-
 def split_valid(rows: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
     """(good rows, quarantine): a bad record never stops the others."""
     ok = F.coalesce(valid, F.lit(False))

@@ -8,12 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from leadspark import rules
 
 ACTION_SCHEMA = "airport string, as_of bigint, started_at bigint, minutes int, state string, score double, action string"
-STATE_SCHEMA = "started bigint, posted boolean, last_score double, pending string"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_polls(events: DataFrame, late: str = "1 hour", width: str = "1 hour", cancelled: str = "error") -> DataFrame:
@@ -55,30 +55,65 @@ def _step(key: str, rows: list[tuple], state: tuple, dwell: int) -> tuple[list[t
     return out, (started, posted, last)
 
 
+class AlertMachine(StatefulProcessor):
+    """State of one airport: its open episode, the polls that the watermark has not passed, and a timer for the earliest of them."""
+
+    def __init__(self, dwell: int) -> None:
+        self.dwell = dwell
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.episode = handle.getValueState("episode", "started bigint, posted boolean, last_score double")
+        self.waiting = handle.getListState("waiting", "at bigint, state string, score double")
+        self.due = handle.getValueState("due", "at bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        earliest = self.due.get()[0] if self.due.exists() else None
+        for f in rows:
+            polls = [(int(t), s, float(v)) for t, s, v in zip(f["_at"], f["state"], f["score"], strict=True)]
+            self.waiting.appendList(polls)
+            low = min(p[0] for p in polls)
+            if earliest is None or low < earliest:
+                if earliest is not None:
+                    self.handle.deleteTimer(earliest // 1000 + 1)
+                earliest = low
+                self.due.update((low,))
+                self.handle.registerTimer(low // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """Step through the polls that the watermark has passed, in time order; the timer moves to the earliest of the others."""
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        polls = sorted((p[0], p[1], p[2]) for p in self.waiting.get())
+        ready, rest = [p for p in polls if p[0] < mark], [p for p in polls if p[0] >= mark]
+        state = tuple(self.episode.get()) if self.episode.exists() else (None, False, None)
+        out, state = _step(key[0], ready, state, self.dwell)
+        self.episode.update(state)
+        if rest:
+            self.waiting.put(rest)
+            self.due.update((rest[0][0],))
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
+        else:
+            self.waiting.clear()
+            self.due.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["airport", "as_of", "started_at", "minutes", "state", "score", "action"])
+
+    def close(self) -> None:
+        pass
+
+
 def stream_alerts(scored: DataFrame, late: str = "1 hour", dwell: int = rules.DWELL_MINUTES) -> DataFrame:
     """Alert actions of a stream of scored polls (airport, as_of, state, score).
 
-    Polls wait, by event time, until the watermark has passed them, so the order of arrival within the
-    allowed lateness does not matter; an event-time timeout flushes the rest.
+    Polls wait in keyed state, by event time, until the watermark has passed them, so the order of arrival within the
+    allowed lateness does not matter; an event-time timer wakes the airport then, whether or not it gets new polls. A poll adds
+    one row to a list in RocksDB, which the session is set to; nothing that waits is rewritten before its time. A started stream goes on from its checkpoint.
     """
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        started, posted, last, pending = state.get if state.exists else (None, False, None, "")
-        waiting = [(int(a), b, float(c)) for a, b, c in (p.split("|") for p in pending.split(";") if p)]
-        for f in frames:
-            waiting += [(int(t), s, float(v)) for t, s, v in zip(f["_at"], f["state"], f["score"], strict=True)]
-        mark = state.getCurrentWatermarkMs() * 1000
-        waiting.sort()
-        ready, waiting = [w for w in waiting if w[0] < mark], [w for w in waiting if w[0] >= mark]
-        out, (started, posted, last) = _step(key[0], ready, (started, posted, last), dwell)
-        state.update((started, posted, last, ";".join(f"{a}|{b}|{c!r}" for a, b, c in waiting)))
-        if waiting:
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, waiting[0][0] // 1000 + 1))
-        yield pd.DataFrame(out, columns=["airport", "as_of", "started_at", "minutes", "state", "score", "action"])
-
+    scored.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     # Times travel as microseconds, so the session's time zone plays no part in the comparison with the watermark.
     rows = scored.withColumn("as_of", F.col("as_of").cast("timestamp")).withWatermark("as_of", late).withColumn("_at", F.unix_micros("as_of"))
-    actions = rows.groupBy("airport").applyInPandasWithState(run, ACTION_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    actions = rows.groupBy("airport").transformWithStateInPandas(AlertMachine(dwell), ACTION_SCHEMA, "append", "EventTime")
     return actions.withColumns({c: F.timestamp_micros(c) for c in ("as_of", "started_at")})
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from leadspark import schemas
 from leadspark.operators import leads, normalize
 from leadspark.sources import feeds
+from leadspark.sources.registry import Sources
 
 COLUMNS = [c.split()[0] for c in schemas.PROJECT.split(", ")]
 
@@ -37,9 +38,9 @@ def test_cards_and_headings(spark):
 def test_news_and_union(spark):
     items = spark.createDataFrame([("news", "1", "New warehouse", "", "u", date(2024, 1, 1), "h1"), ("news", "2", "Building wins match", "", "u", None, "h2"), ("news", "3", "Weather", None, "u", None, "h3")], "source string, external_id string, title string, description string, source_url string, issued_at date, hash string")
     assert [r["external_id"] for r in normalize.news_projects(items).collect()] == ["1"]
-    feeds.register_source("a", lambda s: normalize.news_projects(items))
-    feeds.register_source("b", lambda s: items)
-    assert feeds.union_sources(spark, {"b": False}).count() == 1 and feeds.union_sources(spark, {}).columns == COLUMNS
+    both = Sources(spark).add("a", normalize.news_projects(items)).add("b", items)
+    assert both.union({"b": False}).count() == 1 and both.union().count() == 4 and both.union().columns == COLUMNS
+    assert Sources(spark).union().count() == 0 and both.names == ["a", "b"]
     good, bad = feeds.split_valid(items, F.col("issued_at").isNotNull())
     assert (good.count(), bad.count()) == (1, 2)
 

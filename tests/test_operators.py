@@ -1,6 +1,7 @@
 import random
 from datetime import date, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from leadspark import rules, schemas
@@ -276,3 +277,80 @@ def test_swap_keeps_one_state_and_no_leftovers(spark, tmp_path):
         store.swap("t", spark.range(n).withColumnRenamed("id", "x"))
         assert store.read("t", "x bigint").count() == n
     assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def _as_of_plain(left, right):
+    """One sorted pass a key: the greatest value of the latest time at or before; None sorts first."""
+    rank = lambda t: (t is not None, t or datetime.min)
+    out = []
+    for key, at, n in left:
+        known = [(rank(t), v) for k, t, v in right if k == key and rank(t) <= rank(at)]
+        last = max((r for r, _ in known), default=None)
+        values = [v for r, v in known if r == last]
+        out.append((key, at, n, max(values, key=lambda v: (v is not None, v)) if values else None))
+    return out
+
+
+@pytest.mark.parametrize("cell", [60, 3600, 86_400])
+def test_as_of_over_cells_equals_one_pass(spark, cell):
+    rnd = random.Random(cell)
+    day = datetime(2024, 1, 1)
+    at = lambda: None if rnd.random() < 0.05 else day + timedelta(minutes=rnd.randrange(4000))
+    left = [(rnd.choice(["A", "A", "A", "B", None]), at(), n) for n in range(300)]
+    right = [(rnd.choice(["A", "A", "B", None]), at(), rnd.choice([None, 1, 2, 3])) for _ in range(150)]
+    right += right[:40]
+    frames = spark.createDataFrame(left, "key string, at timestamp, n int"), spark.createDataFrame(right, "key string, at timestamp, v int")
+    got = disruption.as_of(*frames, "key", "at", ["v"], cell)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(_as_of_plain(left, right), key=str)
+
+
+def test_one_key_is_many_tasks(spark):
+    """A hot key is ordered in as many places as it has cells, and none of them holds a large share."""
+    rows = spark.range(20_000).select(F.lit("A").alias("key"), F.timestamp_seconds(F.col("id") * 60).alias("at"), F.col("id").alias("v"))
+    got = disruption.as_of(rows.select("key", "at"), rows.where("v % 7 = 0"), "key", "at", ["v"], 3600)
+    assert got.where("v = floor(unix_timestamp(at) / 60 / 7) * 7").count() == 20_000
+    sizes = rows.groupBy(disruption._cell("at", 3600)).count().agg(F.count("*"), F.max("count")).first()
+    assert tuple(sizes) == (334, 60)
+
+
+
+
+def _machine(rows):
+    out = []
+    for key in sorted({r[0] for r in rows}):
+        mine = sorted(((int((t - datetime(1970, 1, 1)) / timedelta(microseconds=1)), s, v) for k, t, s, v in rows if k == key))
+        out += [(k, datetime(1970, 1, 1) + timedelta(microseconds=a), datetime(1970, 1, 1) + timedelta(microseconds=b), m, s, v, w) for k, a, b, m, s, v, w in _step(key, mine, (None, False, None), 30)[0]]
+    return out
+
+
+@pytest.mark.parametrize("cell", [600, 3600, 7200, 86_400])
+@pytest.mark.parametrize("quiet", [1, 8])
+def test_episodes_over_cells_equal_the_state_machine(spark, cell, quiet):
+    """Whatever the cells, the composed functions give what one pass over each airport gives."""
+    rnd = random.Random(cell + quiet)
+    states = ["Ignore"] * quiet + ["Watch", "PreAlert", "SoftAlert", "HardAlert"] * 2
+    rows = []
+    for airport in ("A", "B"):
+        at = datetime(2024, 1, 1)
+        for _ in range(400):
+            at += timedelta(minutes=rnd.choice([5, 10, 15, 25, 200 if rnd.random() < 0.05 else 5]))
+            rows.append((airport, at, rnd.choice(states), float(rnd.choice([10, 20]))))
+    got = disruption.alert_episodes(spark.createDataFrame(rows, "airport string, as_of timestamp, state string, score double"), cell_seconds=cell)
+    want = _machine(rows)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len({w[-1] for w in want}) == 3
+
+
+@pytest.mark.parametrize("cell", [600, 7200, 86_400])
+def test_minutes_active_over_cells(spark, cell):
+    rnd = random.Random(cell)
+    rows, want = [], []
+    for airport in ("A", None):
+        at, since = datetime(2024, 1, 1), None
+        for _ in range(300):
+            at += timedelta(minutes=rnd.choice([5, 10, 90]))
+            rate = None if rnd.random() < 0.02 else rnd.choice([0.1, 0.3, 0.3, 0.3, 0.5])
+            since = (since or at) if rate is not None and rate > 0.2 else None
+            rows.append((airport, at, rate))
+            want.append((airport, at, rate, int((at - since).total_seconds() // 60) if since else 0))
+    got = disruption.with_minutes_active(spark.createDataFrame(rows, "airport string, as_of timestamp, rate double"), 0.2, cell_seconds=cell)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)

@@ -88,10 +88,13 @@ def _run_batches(length: int, seed: int):
 
 
 def _window_batches(length: int):
-    """Hash of every window of the listed runs of each text."""
+    """Hash of every window of the listed runs of each text; of copies of a row that meet in a task the first is enough."""
 
     def run(batches):
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            batch = batch.filter(pa.array([k not in seen and not seen.add(k) for k in keys], pa.bool_()))
             data, offsets = utf8_parts(batch.column(2))
             for lo, hi in blocks(offsets):
                 base = offsets[lo]
@@ -176,6 +179,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
     # The join keys are never null; the flag in the hash keeps rows without an id apart from those of id 0.
     texts = texts.select(F.coalesce("id", F.lit(0)).alias("doc_id"), F.xxhash64("text", bare).alias("th"), bare.alias("bare"), "text")
-    spans = repeated_spans(texts.drop("bare"), length).groupBy("doc_id", "th").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    # Copies of a row have the same spans, which are kept once.
+    spans = repeated_spans(texts.drop("bare"), length).groupBy("doc_id", "th").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     joined = texts.join(spans.hint("shuffle_hash"), ["doc_id", "th"], "left")
     return joined.select(F.when(~F.col("bare"), F.col("doc_id")).alias("doc_id"), "text", "spans").mapInArrow(_cut_batches, RESULT_SCHEMA)

@@ -63,3 +63,23 @@ def test_rows_without_id_lose_their_repeats_too(spark):
     rows = [(None, long), (4, "x" + long), (None, "short"), (None, "q" * 150), (0, long[:250] + "y")]
     got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted((w[1], w[2], w[4]) for w in brute([(i, t) for i, (_, t) in enumerate(rows)]))
+
+
+def test_hundreds_of_equal_rows(spark):
+    """Copies of a row share its spans: lists of spans stay as long as those of one row."""
+    rnd = random.Random(11)
+    noise = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    same, other = noise(1500), noise(900)
+    rows = [(None, same)] * 500 + [(7, same)] * 20 + [(8, other), (9, "x" + other[:400] + "y"), (None, None), (None, "")]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in got) == {(None, 1500, 1500): 500, (7, 1500, 1500): 20, (8, 900, 400): 1, (9, 402, 400): 1, (None, 0, 0): 2}
+
+
+def test_text_over_a_block(spark):
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(3, 9))) for _ in range(3000)]
+    long = " ".join(rnd.choice(words) for _ in range(200_000))
+    assert len(long) > 1 << 20
+    rows = [(1, long), (2, long[(1 << 20) - 150 : (1 << 20) + 150]), (3, long[500:699])]
+    got = {r["doc_id"]: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1]["n_removed"], got[2]["n_removed"], got[3]["n_removed"]) == (300, 300, 0)

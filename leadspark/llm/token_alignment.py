@@ -13,8 +13,12 @@ is one row a block.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 
@@ -25,10 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadspark.llm.store import Workspace
+from leadspark.llm.textops import blocks, utf8_parts
 
 TOKENIZER_A, MODEL_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Text bytes of a block of documents; a longer text is a block of its own.
 BLOCK = 4 << 20
+#: Text bytes that are encoded and aligned in one pass.
+PASS = 1 << 18
 #: Ids below 2**20 each, so that a pair is one long.
 ID_BITS = 20
 #: A blank after a visible character: both tokenizers always end a token before it. Some characters without width are kept out, as they may count as white space.
@@ -37,19 +44,25 @@ _CUT = re.compile("(?<=[^\\s᠎​⁠﻿]) ")
 _UNEVEN = re.compile("[\\s᠎​⁠﻿] | [\\s᠎​⁠﻿]|\\A | \\Z")
 
 
+#: Words that the first tokenizer's pattern takes as they are: letters, and one mark behind them at most.
+_PLAIN = re.compile("([A-Za-z]+)([.,;:!?]?)")
+
+
 class TwoEncoders:
     """Ids of both tokenizers for blank + text, cut at blanks into units that a bounded cache remembers."""
 
-    def __init__(self, path_a: str, path_b: str, most: int = 300_000) -> None:
+    def __init__(self, path_a: str, path_b: str, most: int = 500_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        if not isinstance(self.a.pre_tokenizer, ByteLevel) or self.a.normalizer is not None:
-            raise ValueError("the first tokenizer must be byte-level without normalisation")
+        told = json.loads(self.a.to_str())
+        before = told["pre_tokenizer"] or {}
+        if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex") or told["normalizer"]:
+            raise ValueError("the first tokenizer must be byte-level with its usual pattern and without normalisation")
         self.most, self.units = most, {}
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         symbols = {chr(b): b for b in printed} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printed)}
@@ -63,36 +76,58 @@ class TwoEncoders:
             piece = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.size_a, self.size_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
-        self.name_a, self.name_b = ([str(i) for i in range(len(x))] for x in (self.bytes_a, self.bytes_b))
+        #: Texts of the ids before another of the same side, A's before the B side, B's before the next group.
+        names = [[str(i) for i in range(len(x))] for x in (self.bytes_a, self.bytes_b)]
+        self.names = [n + end for side, ends in zip(names, (",|", ",;"), strict=True) for end in ends for n in side]
+
+    def _ids_a(self, units: list[str]) -> list[list[int]]:
+        """Ids of a blank and each unit; plain words go to the tokenizer's model, the others to the whole tokenizer."""
+        out: list[list[int] | None] = []
+        tokenize = self.a.model.tokenize
+        for u in units:
+            found = _PLAIN.fullmatch(u)
+            if found:
+                letters, mark = found.groups()
+                ids = [t.id for t in tokenize("\u0120" + letters)]
+                out.append(ids + [t.id for t in tokenize(mark)] if mark else ids)
+            else:
+                out.append(None)
+        other = [u for u, ids in zip(units, out, strict=True) if ids is None]
+        rest = iter(self.a.encode_batch_fast([" " + u for u in other], add_special_tokens=False))
+        return [next(rest).ids if ids is None else ids for ids in out]
 
-    def _learn(self, units: Iterable[str]) -> None:
-        fresh = [u for u in set(units) if u not in self.units]
+    def _learn(self, units: set[str]) -> None:
+        fresh = [u for u in units if u not in self.units]
         if len(self.units) + len(fresh) > self.most:
             self.units.clear()
-            fresh = list(set(units))
-        for u, a, b in zip(fresh, self.a.encode_batch([" " + u for u in fresh], add_special_tokens=False), self.b.encode(fresh, num_threads=1), strict=True):
-            a, spelt = a.ids, b" " + u.encode()
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == spelt == b"".join(map(self.bytes_b.__getitem__, b))
-            self.units[u] = (np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if same else None
-
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Both id arrays, or None where the bytes of either are not those of blank + text."""
-        if _UNEVEN.search(text):
-            units = _CUT.split(text)
-            # An empty last unit would stand for a blank at the end, which belongs to the unit before it.
-            if units[-1] == "":
-                units[-2:] = [units[-2] + " "]
-        else:
-            units = text.split(" ")
-        try:
-            found = [self.units[u] for u in units]
-        except KeyError:
-            self._learn(units)
-            found = [self.units[u] for u in units]
-        if None in found:
-            return None
-        a, b = zip(*found, strict=True)
-        return np.frombuffer(b"".join(a), "<u4"), np.frombuffer(b"".join(b), "<u4")
+            fresh = list(units)
+        of_a, of_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
+        for u, a, b in zip(fresh, self._ids_a(fresh), self.b.encode(fresh, num_threads=1), strict=True):
+            spelt = b" " + u.encode()
+            same = b"".join(map(of_a, a)) == spelt == b"".join(map(of_b, b))
+            self.units[u] = (array("I", a).tobytes(), array("I", b).tobytes()) if same else None
+
+    def _cut(self, text: str) -> list[str]:
+        if not _UNEVEN.search(text):
+            return text.split(" ")
+        units = _CUT.split(text)
+        # An empty last unit would stand for a blank at the end, which belongs to the unit before it.
+        return units if units[-1] else [*units[:-2], units[-2] + " "]
+
+    def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """Both id arrays of each text, or None where it is empty or the bytes of either are not those of blank + text."""
+        cut = [self._cut(t) if t else [] for t in texts]
+        known = self.units
+        missing = {u for units in cut for u in units if u not in known}
+        if missing:
+            self._learn(missing if len(known) + len(missing) <= self.most else {u for units in cut for u in units})
+        for units in cut:
+            found = [known[u] for u in units]
+            if not found or None in found:
+                yield None
+            else:
+                a, b = zip(*found, strict=True)
+                yield np.frombuffer(b"".join(a), np.uint32), np.frombuffer(b"".join(b), np.uint32)
 
 
 @lru_cache(maxsize=1)
@@ -101,27 +136,35 @@ def _encoders(path_a: str, path_b: str) -> TwoEncoders:
 
 
 def one_to_one(a: bytes, b: bytes, i: int, j: int) -> int:
-    """How many entries (of eight bytes) from ``i`` of ``a`` and ``j`` of ``b`` on are equal, by windows of doubling and then halving size."""
-    most = min(len(a) // 8 - i, len(b) // 8 - j)
-
-    def equal(lo: int, hi: int) -> bool:
-        return a[8 * (i + lo) : 8 * (i + hi)] == b[8 * (j + lo) : 8 * (j + hi)]
+    """How many entries (of eight bytes) from ``i`` of ``a`` and ``j`` of ``b`` on are equal, the first of which are.
 
-    done, width = 0, 1
-    while done < most and equal(done, min(done + width, most)):
-        done, width = min(done + width, most), 2 * width
-    # The window that differs is [low, high); its first difference is the end of the run.
-    low, high = done, min(done + width, most)
-    while high - low > 1:
-        middle = (low + high) // 2
-        low, high = (middle, high) if equal(low, middle) else (low, middle)
-    return low
+    Windows double while they are equal; the one that differs is halved until its first difference is found.
+    """
+    x, y = 8 * i, 8 * j
+    most = min(len(a) - x, len(b) - y)
+    done, width = 8, 8
+    while True:
+        if done >= most:
+            return most // 8
+        high = done + width
+        if high > most:
+            high = most
+        if a[x + done : x + high] != b[y + done : y + high]:
+            break
+        done, width = high, 2 * width
+    while high - done > 8:
+        middle = (done + high) // 16 * 8
+        if a[x + done : x + middle] == b[y + done : y + middle]:
+            done = middle
+        else:
+            high = middle
+    return done // 8
 
 
-def align(end_a: np.ndarray, end_b: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
+def align(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(diagonals, irregular groups) of two arrays of ends that close at the same byte.
 
-    A diagonal (i, j, n) is n one-to-one groups from tokens i and j on; an irregular group is tokens [i, k) beside [j, l).
+    A diagonal (i, j, n) is n one-to-one groups from tokens i and j on; an irregular group (i, k, j, m) is tokens [i, k) beside [j, m).
     """
     a, b = end_a.tolist(), end_b.tolist()
     raw_a, raw_b = end_a.astype("<i8").tobytes(), end_b.astype("<i8").tobytes()
@@ -129,20 +172,28 @@ def align(end_a: np.ndarray, end_b: np.ndarray) -> tuple[list[tuple[int, int, in
     i = j = 0
     n = len(a)
     while i < n:
-        if a[i] == b[j]:
+        x, y = a[i], b[j]
+        if x == y:
             run = one_to_one(raw_a, raw_b, i, j)
             diagonals.append((i, j, run))
             i, j = i + run, j + run
             continue
         k, m = i, j
-        while a[k] != b[m]:
-            if a[k] < b[m]:
+        while x != y:
+            if x < y:
                 k += 1
+                x = a[k]
             else:
                 m += 1
+                y = b[m]
         groups.append((i, k + 1, j, m + 1))
         i, j = k + 1, m + 1
-    return diagonals, groups
+    return np.array(diagonals, np.int64).reshape(-1, 3), np.array(groups, np.int64).reshape(-1, 4)
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of ``size`` numbers each, end to end."""
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
 
 
 def group_links(a: list[int], b: list[int], group: tuple[int, int, int, int]) -> Iterator[tuple[int, int]]:
@@ -158,36 +209,71 @@ def group_links(a: list[int], b: list[int], group: tuple[int, int, int, int]) ->
             i, j = i + 1, j + 1
 
 
-def describe(ids_a: np.ndarray, ids_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, name_a: list[str], name_b: list[str]) -> tuple[int, np.ndarray, str]:
-    """(groups, id pairs of all links as longs, text of the groups) of one document."""
-    end_a, end_b = np.cumsum(size_a[ids_a]), np.cumsum(size_b[ids_b])
+def all_links(end_a: np.ndarray, end_b: np.ndarray, diagonals: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the A and the B token of every link, in no order."""
+    i, k, j, m = groups.T
+    one_a, one_b = k - i == 1, m - j == 1
+    left = [_ranges(diagonals[:, 0], diagonals[:, 2]), np.repeat(i[one_a], (m - j)[one_a]), _ranges(i[one_b], (k - i)[one_b])]
+    right = [_ranges(diagonals[:, 1], diagonals[:, 2]), _ranges(j[one_a], (m - j)[one_a]), np.repeat(j[one_b], (k - i)[one_b])]
+    both = groups[~one_a & ~one_b]
+    if len(both):
+        a, b = end_a.tolist(), end_b.tolist()
+        x, y = zip(*chain.from_iterable(group_links(a, b, g) for g in both.tolist()), strict=True)
+        left.append(np.array(x, np.int64))
+        right.append(np.array(y, np.int64))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def group_text(ids_a: np.ndarray, ids_b: np.ndarray, groups: np.ndarray, names: list[str], n_a: int, n_b: int) -> tuple[np.ndarray, list[str]]:
+    """(whether each A token is the last of its group, texts of all tokens in order) for texts like `a1,a2|b1;a3|b2;`.
+
+    All groups but ``groups`` are one to one. ``names`` holds the texts of A's ids with a comma and with a bar, then of B's with a comma and with a
+    semicolon; n_a and n_b are the numbers of ids.
+    """
+    i, k, j, m = groups.T
+    last_a, last_b = np.ones(len(ids_a), bool), np.ones(len(ids_b), bool)
+    last_a[_ranges(i, k - i - 1)] = False
+    last_b[_ranges(j, m - j - 1)] = False
+    of_a, of_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    ends_a, ends_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+    # A group's B tokens follow its A tokens, so a token's place is its own index and the number of tokens of the other side before it.
+    order = np.empty(len(ids_a) + len(ids_b), np.int64)
+    order[np.arange(len(ids_a)) + np.append(0, ends_b)[of_a]] = ids_a + n_a * last_a
+    order[np.arange(len(ids_b)) + ends_a[of_b]] = ids_b + n_b * last_b + 2 * n_a
+    return last_a, [names[x] for x in order.tolist()]
+
+
+@dataclass
+class Described:
+    """Documents of one pass: their numbers, the hashes of their groups, and end to end their distinct pairs and how often each is linked."""
+
+    n_a: list[int]
+    n_b: list[int]
+    n_groups: list[int]
+    n_links: list[int]
+    hashes: list[str]
+    n_pairs: list[int]
+    pairs: np.ndarray
+    times: np.ndarray
+
+
+def describe(ids: list[tuple[np.ndarray, np.ndarray] | None], both: TwoEncoders) -> Described:
+    """Align documents laid end to end: both tokenizers end at the end of each, so no group reaches into the next."""
+    n, none = len(ids), np.zeros(0, np.uint32)
+    size_a, size_b = (np.array([0 if x is None else len(x[side]) for x in ids], np.int64) for side in (0, 1))
+    ids_a, ids_b = (np.concatenate([none, *[x[side] for x in ids if x is not None]]).astype(np.int64) for side in (0, 1))
+    end_a, end_b = np.cumsum(both.size_a[ids_a]), np.cumsum(both.size_b[ids_b])
     diagonals, groups = align(end_a, end_b)
-    a, b = end_a.tolist(), end_b.tolist()
-    at_a, at_b = [], []
-    # Links and texts are made per stretch and put in text order by the token that opens them.
-    text_a, text_b = [name_a[x] for x in ids_a.tolist()], [name_b[x] for x in ids_b.tolist()]
-    parts: list[tuple[int, str]] = []
-    for i, j, n in diagonals:
-        at_a.append(range(i, i + n))
-        at_b.append(range(j, j + n))
-        parts.append((i, ";".join([f"{x}|{y}" for x, y in zip(text_a[i : i + n], text_b[j : j + n], strict=True)])))
-    for i, k, j, m in groups:
-        parts.append((i, ",".join(text_a[i:k]) + "|" + ",".join(text_b[j:m])))
-        if k - i == 1:
-            at_a.append([i] * (m - j))
-            at_b.append(range(j, m))
-        elif m - j == 1:
-            at_a.append(range(i, k))
-            at_b.append([j] * (k - i))
-        else:
-            x, y = zip(*group_links(a, b, (i, k, j, m)), strict=True)
-            at_a.append(x)
-            at_b.append(y)
-    parts.sort()
-    size = sum(map(len, at_a))
-    left = ids_a[np.fromiter(chain.from_iterable(at_a), np.int64, size)].astype(np.int64)
-    right = ids_b[np.fromiter(chain.from_iterable(at_b), np.int64, size)].astype(np.int64)
-    return sum(d[2] for d in diagonals) + len(groups), left << ID_BITS | right, ";".join([p for _, p in parts])
+    left, right = all_links(end_a, end_b, diagonals, groups)
+    last_a, texts = group_text(ids_a, ids_b, groups, both.names, len(both.size_a), len(both.size_b))
+    upto_a, upto_b = np.append(0, np.cumsum(size_a)), np.append(0, np.cumsum(size_b))
+    n_groups = np.diff(np.append(0, np.cumsum(last_a))[upto_a])
+    doc = np.searchsorted(upto_a, left, side="right") - 1
+    keys, times = np.unique(doc << 2 * ID_BITS | ids_a[left] << ID_BITS | ids_b[right], return_counts=True)
+    at = (upto_a + upto_b).tolist()
+    hashes = [hashlib.sha256("".join(texts[x:y])[:-1].encode()).hexdigest() if y > x else "" for x, y in zip(at, at[1:], strict=False)]
+    n_pairs = np.bincount(keys >> 2 * ID_BITS, minlength=n)
+    return Described(size_a.tolist(), size_b.tolist(), n_groups.tolist(), np.bincount(doc, minlength=n).tolist(), hashes, n_pairs.tolist(), keys & (1 << 2 * ID_BITS) - 1, times)
 
 
 #: Rows of documents (pair and times are its distinct pairs and how often they are linked) and, with ``n_a`` null, of blocks (its distinct pairs and in how many documents).
@@ -199,37 +285,36 @@ def _lists(values: np.ndarray, sizes: list[int]) -> pa.ListArray:
 
 
 def _aligned(path_a: str, path_b: str, limit: int) -> Callable:
-    def close(block: int, rows: list[tuple], pairs: list[np.ndarray]) -> pa.RecordBatch:
+    def close(block: int, docs: list[int], told: list[Described]) -> pa.RecordBatch:
         """Rows of the documents of a block and then the row of the block."""
-        distinct = [np.unique(p, return_counts=True) for p in pairs]
-        whole, held = np.unique(np.concatenate([d for d, _ in distinct]), return_counts=True)
-        columns = [pa.array([*c, None], pa.string() if i == 5 else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))]
-        sizes = [len(d) for d, _ in distinct] + [len(whole)]
-        lists = [_lists(np.concatenate([*[d[i] for d in distinct], last]), sizes) for i, last in ((0, whole), (1, held))]
-        return pa.RecordBatch.from_arrays([pa.array([block] * (len(rows) + 1), pa.int64()), *columns, *lists], [c.split()[0] for c in ALIGNED.split(", ")])
+        pairs = np.concatenate([d.pairs for d in told])
+        whole, held = np.unique(pairs, return_counts=True)
+        of = lambda name: [x for d in told for x in getattr(d, name)]
+        numbers = [pa.array([*c, None], pa.int64()) for c in (docs, of("n_a"), of("n_b"), of("n_groups"), of("n_links"))]
+        sizes = [*of("n_pairs"), len(whole)]
+        lists = [_lists(np.concatenate([pairs, whole]), sizes), _lists(np.concatenate([*[d.times for d in told], held]), sizes)]
+        columns = [pa.array([block] * (len(docs) + 1), pa.int64()), *numbers, pa.array([*of("hashes"), None], pa.string()), *lists]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in ALIGNED.split(", ")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, part, n_blocks = _encoders(path_a, path_b), TaskContext.get().partitionId(), 0
-        rows: list[tuple] = []
-        pairs: list[np.ndarray] = []
-        size, none = 0, np.zeros(0, np.int64)
+        docs: list[int] = []
+        told: list[Described] = []
+        size = 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                ids = both(text) if text else None
-                if ids is None:
-                    rows.append((doc, 0, 0, 0, 0, ""))
-                    pairs.append(none)
-                else:
-                    n_groups, links, groups = describe(*ids, both.size_a, both.size_b, both.name_a, both.name_b)
-                    rows.append((doc, len(ids[0]), len(ids[1]), n_groups, len(links), hashlib.sha256(groups.encode()).hexdigest()))
-                    pairs.append(links)
-                size += len(text) + 64
+            data, offsets = utf8_parts(batch.column(1))
+            view, names = memoryview(data), batch.column(0).to_pylist()
+            # Units that are new among a few hundred kilobytes of texts are learned together.
+            for lo, hi in blocks(offsets, min(limit, PASS)):
+                texts = [bytes(view[offsets[i] : offsets[i + 1]]).decode("utf-8", "replace") for i in range(lo, hi)]
+                docs += names[lo:hi]
+                told.append(describe(list(both(texts)), both))
+                size += int(offsets[hi] - offsets[lo]) + 64 * (hi - lo)
                 if size >= limit:
-                    yield close(part << 32 | n_blocks, rows, pairs)
-                    n_blocks, rows, pairs, size = n_blocks + 1, [], [], 0
-        if rows:
-            yield close(part << 32 | n_blocks, rows, pairs)
+                    yield close(part << 32 | n_blocks, docs, told)
+                    n_blocks, docs, told, size = n_blocks + 1, [], [], 0
+        if docs:
+            yield close(part << 32 | n_blocks, docs, told)
 
     return run
 

@@ -70,7 +70,7 @@ class AlertMachine(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         earliest = self.due.get()[0] if self.due.exists() else None
         for f in rows:
-            polls = [(int(t), s, float(v)) for t, s, v in zip(f["_at"], f["state"], f["score"], strict=True)]
+            polls = [(int(t), s, float(v)) for t, s, v in zip(f["micros"], f["state"], f["score"], strict=True)]
             self.waiting.appendList(polls)
             low = min(p[0] for p in polls)
             if earliest is None or low < earliest:
@@ -112,7 +112,7 @@ def stream_alerts(scored: DataFrame, late: str = "1 hour", dwell: int = rules.DW
     """
     scored.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     # Times travel as microseconds, so the session's time zone plays no part in the comparison with the watermark.
-    rows = scored.withColumn("as_of", F.col("as_of").cast("timestamp")).withWatermark("as_of", late).withColumn("_at", F.unix_micros("as_of"))
+    rows = scored.withColumn("as_of", F.col("as_of").cast("timestamp")).withWatermark("as_of", late).withColumn("micros", F.unix_micros("as_of"))
     actions = rows.groupBy("airport").transformWithStateInPandas(AlertMachine(dwell), ACTION_SCHEMA, "append", "EventTime")
     return actions.withColumns({c: F.timestamp_micros(c) for c in ("as_of", "started_at")})
 

@@ -71,3 +71,22 @@ def test_stream_at_an_interval(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.read.schema("id bigint").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/out").count() == 5
+
+
+def test_alerts_go_on_after_a_restart(spark, tmp_path):
+    """A stream that is stopped between two batches and started again from its checkpoint misses and repeats nothing."""
+    rnd = random.Random(8)
+    rows, at = [], datetime(2024, 1, 1)
+    for _ in range(120):
+        at += timedelta(minutes=10)
+        rows += [(a, at, rnd.choice(["Ignore", "Watch", "SoftAlert", "HardAlert", "HardAlert"]), float(rnd.choice([10, 20]))) for a in ("A", "B")]
+    last = [(a, at + timedelta(days=d), "Ignore", 0.0) for a in ("A", "B") for d in (1, 2)]
+    for i, part in enumerate([rows[:90], rows[90:150], rows[150:] + last]):
+        spark.createDataFrame(part, SCORED).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        stream = spark.readStream.schema(SCORED).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        got = alerts.run_once(alerts.stream_alerts(stream), f"{tmp_path}/run")
+        told = got.count()
+        assert told > 0 if i else told >= 0
+    want = disruption.alert_episodes(spark.createDataFrame(rows + last, SCORED)).where(F.col("as_of") < F.lit(last[-1][1]))
+    columns = ["airport", "as_of", "started_at", "minutes", "state", "score", "action"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect())) != []

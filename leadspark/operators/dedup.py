@@ -1,15 +1,14 @@
 """Content-hash deduplication, insert-ignore, upsert and purge as new table states.
 
-Plain Parquet tables are rewritten, not updated: every function takes table states and returns the
-next one, and ``TableStore.swap`` puts it in place. Blobs stay in their own table; joins carry hashes.
+Every function takes table states and returns the next one; ``store.TableStore`` puts it in place, bucket by
+bucket. Blobs stay in their own table; joins carry hashes.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadspark.functions.columns import blank_to_null, record_key, without_contact_data
@@ -21,13 +20,19 @@ def with_hash(projects: DataFrame) -> DataFrame:
 
 
 def first_of_each(rows: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    """First row of each key; every row with a null key stays."""
-    numbered = rows.where(F.col(key).isNotNull()).withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return numbered.where("_rn = 1").drop("_rn").union(rows.where(F.col(key).isNull()))
+    """First row of each key; every row with a null key stays.
+
+    One pass: rows without a key are dealt out by a hash of theirs, so they do not meet in one task.
+    """
+    plain = [f.name for f in rows.schema.fields if not f.dataType.simpleString().startswith(("map", "array<map", "struct", "variant"))]
+    own = F.when(F.col(key).isNull(), F.xxhash64(*plain))
+    numbered = rows.withColumn("_own", own).withColumn("_rn", F.row_number().over(Window.partitionBy(key, "_own").orderBy(*order)))
+    return numbered.where((F.col("_rn") == 1) | F.col(key).isNull()).drop("_own", "_rn")
 
 
 def unseen(batch: DataFrame, seen: DataFrame, key: str = "hash") -> DataFrame:
-    return batch.join(seen.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+    """Rows of the batch whose key is not in ``seen``, or null. A seen table that is bucketed by the key stays where it is."""
+    return batch.join(seen.select(key), key, "left_anti")
 
 
 def already_seen(batch: DataFrame, seen: DataFrame, key: str = "hash") -> DataFrame:
@@ -105,37 +110,3 @@ def reconcile(source: DataFrame, target: DataFrame) -> DataFrame:
     counts = source.agg(F.count(F.lit(1)).alias("source_rows")).crossJoin(target.agg(F.count(F.lit(1)).alias("target_rows")))
     return counts.withColumn("matches", F.col("source_rows") == F.col("target_rows"))
 
-
-class TableStore:
-    """Tables in folders below one path; a new state is written beside the old and swapped in."""
-
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def read(self, name: str, schema: str) -> DataFrame:
-        fs, path = self._fs(f"{self.root}/{name}")
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}") if fs.exists(path) else self.spark.createDataFrame([], schema)
-
-    def append(self, name: str, rows: DataFrame, partition_by: Sequence[str] = ()) -> None:
-        rows.write.mode("append").partitionBy(*partition_by).parquet(f"{self.root}/{name}")
-
-    def swap(self, name: str, state: DataFrame, partition_by: Sequence[str] = ()) -> None:
-        """Write the new state beside the old one and put it in place; the old one goes last, so a crash loses neither."""
-        staged, aside = (f"{self.root}/_{kind}-{name}-{uuid.uuid4().hex}" for kind in ("staging", "old"))
-        state.write.partitionBy(*partition_by).parquet(staged)
-        fs, now = self._fs(f"{self.root}/{name}")
-        had = fs.exists(now)
-        if had:
-            fs.rename(now, self._fs(aside)[1])
-        fs.rename(self._fs(staged)[1], now)
-        if had:
-            fs.delete(self._fs(aside)[1], True)
-
-    def clear(self, *names: str) -> None:
-        for name in names:
-            fs, path = self._fs(f"{self.root}/{name}")
-            fs.delete(path, True)

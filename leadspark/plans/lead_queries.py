@@ -5,12 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadspark import rules
 from leadspark.functions.columns import record_key, row_id
 from leadspark.operators import dedup, disruption, leads, metrics, model_steps, normalize, vectors
+from leadspark.operators.store import TableStore, write_bucketed
 from leadspark.plans import views
 from leadspark.plans.queries import _KEY, _SCORED, ORACLES, QUERIES, _polls_scored, register
 from leadspark.sources import feeds, pages, registry
@@ -194,7 +196,7 @@ def copy_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("table_states", "SELECT 'appended' AS stage, count(*) AS n FROM orders UNION ALL SELECT 'swapped', count(*) FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT 'cleared', 0")
 def table_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a stored table after an append, after a swap that leaves finished orders out, and after it is cleared."""
-    store, orders = dedup.TableStore(spark, _folder(spark)), views.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    store, orders = TableStore(spark, _folder(spark)), views.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     schema, counts = "o_orderkey bigint, o_orderstatus string", []
     store.append("orders", orders)
     counts.append(("appended", store.read("orders", schema).count()))
@@ -205,6 +207,51 @@ def table_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(counts, "stage string, n bigint")
 
 
+_STORED = "id bigint, status string, changed boolean"
+
+
+def _stored_orders(spark: SparkSession, sf_dir: str) -> TableStore:
+    """Orders in a store of sixteen buckets."""
+    store = TableStore(spark, _folder(spark))
+    store.swap("orders", views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.lit(False).alias("changed")), "id")
+    return store
+
+
+@register("store_upsert", "SELECT o_orderkey AS id, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50) THEN 'X' ELSE o_orderstatus END AS status, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50) AS changed FROM orders UNION ALL SELECT -1 - c_custkey, 'N', true FROM customer WHERE c_custkey % 10 = 0")
+def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table after an upsert of changed and new rows: only the buckets of their keys are written anew."""
+    store = _stored_orders(spark, sf_dir)
+    large = views.table(spark, sf_dir, "lineitem").where("l_quantity = 50").select(F.col("l_orderkey").alias("id"), F.lit("X").alias("status"), F.lit(True).alias("changed")).distinct()
+    new = views.table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select((-1 - F.col("c_custkey")).alias("id"), F.lit("N").alias("status"), F.lit(True).alias("changed"))
+    store.change("orders", _STORED, large.unionByName(new), lambda old, batch: dedup.upsert(old, batch, "id", F.col("changed").cast("int")))
+    return store.read("orders", _STORED)
+
+
+@register("store_purge", "SELECT o_orderkey AS id, o_orderstatus AS status, false AS changed FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderkey % 3 = 0)")
+def store_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table after finished orders of a list have been deleted from their buckets."""
+    store = _stored_orders(spark, sf_dir)
+    doomed = views.table(spark, sf_dir, "orders").where("o_orderstatus = 'F' AND o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"))
+    store.change("orders", _STORED, doomed, lambda old, batch: old.join(batch, "id", "left_anti"))
+    return store.read("orders", _STORED)
+
+
+@register("store_lookup", "SELECT c_custkey AS id, o_orderstatus AS status FROM customer LEFT JOIN orders ON o_orderkey = c_custkey WHERE c_acctbal > 9900")
+def store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few keys looked up in a store: named in the filter of a scan of their buckets."""
+    asked = views.table(spark, sf_dir, "customer").where("c_acctbal > 9900").select(F.col("c_custkey").alias("id"))
+    return _stored_orders(spark, sf_dir).find("orders", _STORED, asked, "id").select("id", "status")
+
+
+@register("unseen_in_buckets", ORACLES["unseen_documents"])
+def unseen_in_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anti join of a batch with a large seen table that is bucketed and sorted by hash, so only the batch is shuffled."""
+    raw, path = views.raw_inputs(spark, sf_dir).select("id", "hash"), _folder(spark)
+    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    seen = write_bucketed(raw.where("id % 5 = 0").select("hash").distinct(), f"seen_{path.rsplit('/', 1)[1]}", "hash", path, buckets)
+    return dedup.unseen(raw.where("id % 5 <> 0"), seen).select("id", "hash")
+
+
 @register("scanned_columns", "SELECT o_orderstatus, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY o_orderstatus")
 def scanned_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scan by a declared column list; nothing else is read."""
@@ -521,6 +568,29 @@ def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).withColumn("batches", F.lit(len(seen)))
 
 
+@register("notified_once", f"WITH {views.LEADS} SELECT id, 1 AS received FROM leads WHERE status = 'new'")
+def notified_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New leads as a stream whose notifier dies twice, before it sends and before the ledger is written; a receiver that goes by payload ids gets each lead once."""
+    folder, deaths = _folder(spark), ["before", "after"]
+    views.leads(spark, sf_dir).where("status = 'new'").select("id", "source", "title").write.parquet(f"{folder}/leads")
+    stream = spark.readStream.schema("id bigint, source string, title string").parquet(f"{folder}/leads")
+
+    def send(batch: DataFrame, batch_id: int) -> None:
+        if deaths and deaths[0] == "before":
+            raise RuntimeError(deaths.pop(0))
+        batch.write.mode("append").parquet(f"{folder}/inbox")
+        if deaths:
+            raise RuntimeError(deaths.pop(0))
+
+    for _ in range(4):
+        try:
+            alerts.run_once(stream, f"{folder}/run", alerts.told_once(f"{folder}/ledger", send, ["id"]))
+        except StreamingQueryException:
+            continue
+    inbox = spark.read.parquet(f"{folder}/inbox")
+    return inbox.dropDuplicates(["payload_id"]).groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("received"))
+
+
 @register("stream_alerts", f"WITH acts AS ({ORACLES['alert_episodes']}) SELECT * FROM acts WHERE as_of < (SELECT max(date_trunc('hour', ts)) - INTERVAL 1 HOUR FROM events)")
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The alert state machine as a stream over written polls; polls within the lateness still wait."""

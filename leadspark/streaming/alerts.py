@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -126,7 +126,7 @@ def started(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoi
 def batch_folders(path: str, and_then: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
     """Sink of one folder a micro-batch: a repeated batch replaces its own folder, so each row is kept once.
 
-    ``and_then`` is called with what was written, once it is safe; it has to recognise a batch id it has seen.
+    ``and_then`` is called with what was written, once it is safe; it has to recognise a batch id it has seen, as that of ``told_once`` does.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -138,6 +138,42 @@ def batch_folders(path: str, and_then: Callable[[DataFrame, int], None] | None =
     return write
 
 
+class Ledger:
+    """Batch ids that are finished, one empty file each beside the output; it survives the stream."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def _at(self, batch_id: int):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{batch_id:012d}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def __contains__(self, batch_id: int) -> bool:
+        fs, path = self._at(batch_id)
+        return fs.exists(path)
+
+    def add(self, batch_id: int) -> None:
+        fs, path = self._at(batch_id)
+        fs.create(path, True).close()
+
+
+def told_once(path: str, send: Callable[[DataFrame, int], None], key: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """For ``and_then``: ``send`` gets the rows of a batch with a ``payload_id``, unless the ledger at ``path`` has the batch.
+
+    The id is written to the ledger after the notification. A stream that dies before it sends the batch once more when it is started
+    again: with the same payload ids, hashes of ``key``, so a receiver can drop what it already has. A batch in the ledger is never sent again.
+    """
+
+    def then(batch: DataFrame, batch_id: int) -> None:
+        ledger = Ledger(batch.sparkSession, path)
+        if batch_id in ledger:
+            return
+        send(batch.withColumn("payload_id", F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in key]), 256)), batch_id)
+        ledger.add(batch_id)
+
+    return then
+
+
 def run_once(stream: DataFrame, folder: str, and_then: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Run a stream over what its source holds now and read back all that it has written so far."""
     started(stream, batch_folders(f"{folder}/out", and_then), f"{folder}/state").awaitTermination()

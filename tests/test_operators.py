@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from leadspark import rules, schemas
 from leadspark.operators import dedup, disruption, leads, metrics, model_steps, prescore, vectors
+from leadspark.operators.store import TableStore
 from leadspark.sources import feeds, pages, reports
 from leadspark.streaming.alerts import _step
 
@@ -131,7 +132,7 @@ def test_dedup_and_purge(spark, tmp_path):
     assert sorted(r["id"] for r in keep.collect()) == ["b", "c"] and [r["id"] for r in gone.collect()] == ["a"]
     changed, missing = dedup.set_status(spark.createDataFrame([("a", "new")], "id string, status string"), spark.createDataFrame([("a", "x"), ("z", "x")], "id string, status string"))
     assert [tuple(r) for r in changed.collect()] == [("a", "x")] and [r["id"] for r in missing.collect()] == ["z"]
-    tables = dedup.TableStore(spark, str(tmp_path))
+    tables = TableStore(spark, str(tmp_path))
     assert tables.read("t", "hash string, id long").count() == 0
     tables.append("t", store)
     tables.swap("t", dedup.upsert(tables.read("t", "hash string, id long"), batch, "hash", F.col("id")))
@@ -271,14 +272,6 @@ def test_rows_without_key_are_all_kept(spark):
     assert {r["id"]: r["winning_id"] for r in told.collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 9}
 
 
-def test_swap_keeps_one_state_and_no_leftovers(spark, tmp_path):
-    store = dedup.TableStore(spark, str(tmp_path))
-    for n in (3, 5):
-        store.swap("t", spark.range(n).withColumnRenamed("id", "x"))
-        assert store.read("t", "x bigint").count() == n
-    assert [p.name for p in tmp_path.iterdir()] == ["t"]
-
-
 def _as_of_plain(left, right):
     """One sorted pass a key: the greatest value of the latest time at or before; None sorts first."""
     rank = lambda t: (t is not None, t or datetime.min)

@@ -16,7 +16,6 @@ import hashlib
 import json
 import os
 import re
-from array import array
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -44,6 +43,11 @@ _CUT = re.compile("(?<=[^\\s᠎​⁠﻿]) ")
 _UNEVEN = re.compile("[\\s᠎​⁠﻿] | [\\s᠎​⁠﻿]|\\A | \\Z")
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of ``size`` numbers each, end to end."""
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+
+
 #: Words that the first tokenizer's pattern takes as they are: letters, and one mark behind them at most.
 _PLAIN = re.compile("([A-Za-z]+)([.,;:!?]?)")
 
@@ -51,7 +55,7 @@ _PLAIN = re.compile("([A-Za-z]+)([.,;:!?]?)")
 class TwoEncoders:
     """Ids of both tokenizers for blank + text, cut at blanks into units that a bounded cache remembers."""
 
-    def __init__(self, path_a: str, path_b: str, most: int = 500_000) -> None:
+    def __init__(self, path_a: str, path_b: str, most: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
@@ -63,7 +67,8 @@ class TwoEncoders:
         before = told["pre_tokenizer"] or {}
         if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex") or told["normalizer"]:
             raise ValueError("the first tokenizer must be byte-level with its usual pattern and without normalisation")
-        self.most, self.units = most, {}
+        self.most = most
+        self._forget()
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         symbols = {chr(b): b for b in printed} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printed)}
         #: Bytes of every id.
@@ -96,16 +101,28 @@ class TwoEncoders:
         rest = iter(self.a.encode_batch_fast([" " + u for u in other], add_special_tokens=False))
         return [next(rest).ids if ids is None else ids for ids in out]
 
+    def _forget(self) -> None:
+        #: Number of each unit; its ids on both sides are stretches of two flat arrays, and it has none where the bytes differ.
+        self.units: dict[str, int] = {}
+        self.spelt = np.zeros(0, bool)
+        self.flat, self.first, self.size = ([np.zeros(0, kind), np.zeros(0, kind)] for kind in (np.int32, np.int64, np.int32))
+
     def _learn(self, units: set[str]) -> None:
-        fresh = [u for u in units if u not in self.units]
-        if len(self.units) + len(fresh) > self.most:
-            self.units.clear()
-            fresh = list(units)
-        of_a, of_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
-        for u, a, b in zip(fresh, self._ids_a(fresh), self.b.encode(fresh, num_threads=1), strict=True):
-            spelt = b" " + u.encode()
-            same = b"".join(map(of_a, a)) == spelt == b"".join(map(of_b, b))
-            self.units[u] = (array("I", a).tobytes(), array("I", b).tobytes()) if same else None
+        fresh = list(units)
+        sides = [self._ids_a(fresh), self.b.encode(fresh, num_threads=1)]
+        text = [b" " + u.encode() for u in fresh]
+        sizes = [np.fromiter(map(len, ids), np.int32, len(fresh)) for ids in sides]
+        flats = [np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())) for ids, n in zip(sides, sizes, strict=True)]
+        spelt = np.ones(len(fresh), bool)
+        for ids, tokens in zip(sides, (self.bytes_a, self.bytes_b), strict=True):
+            of = tokens.__getitem__
+            spelt &= np.fromiter([b"".join(map(of, i)) == t for i, t in zip(ids, text, strict=True)], bool, len(fresh))
+        known = len(self.units)
+        self.units.update(zip(fresh, range(known, known + len(fresh)), strict=True))
+        self.spelt = np.append(self.spelt, spelt)
+        for side in (0, 1):
+            start = np.cumsum(sizes[side]) - sizes[side] + len(self.flat[side])
+            self.flat[side], self.first[side], self.size[side] = np.append(self.flat[side], flats[side]), np.append(self.first[side], start), np.append(self.size[side], sizes[side])
 
     def _cut(self, text: str) -> list[str]:
         if not _UNEVEN.search(text):
@@ -114,20 +131,24 @@ class TwoEncoders:
         # An empty last unit would stand for a blank at the end, which belongs to the unit before it.
         return units if units[-1] else [*units[:-2], units[-2] + " "]
 
-    def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
-        """Both id arrays of each text, or None where it is empty or the bytes of either are not those of blank + text."""
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of A end to end, of B, number of ids of each text in A, in B); none for a text that is empty or whose bytes either side spells otherwise."""
         cut = [self._cut(t) if t else [] for t in texts]
-        known = self.units
-        missing = {u for units in cut for u in units if u not in known}
-        if missing:
-            self._learn(missing if len(known) + len(missing) <= self.most else {u for units in cut for u in units})
-        for units in cut:
-            found = [known[u] for u in units]
-            if not found or None in found:
-                yield None
-            else:
-                a, b = zip(*found, strict=True)
-                yield np.frombuffer(b"".join(a), np.uint32), np.frombuffer(b"".join(b), np.uint32)
+        units = list(chain.from_iterable(cut))
+        at = list(map(self.units.get, units))
+        if None in at:
+            missing = {u for u, i in zip(units, at, strict=True) if i is None}
+            if len(self.units) + len(missing) > self.most:
+                self._forget()
+                missing = set(units)
+            self._learn(missing)
+            at = list(map(self.units.__getitem__, units))
+        number, doc = np.array(at, np.int64), np.repeat(np.arange(len(cut)), [len(c) for c in cut])
+        odd = np.zeros(len(cut), bool)
+        odd[doc[~self.spelt[number]]] = True
+        number, doc = number[~odd[doc]], doc[~odd[doc]]
+        out = [self.flat[side][_ranges(self.first[side][number], self.size[side][number])].astype(np.int64) for side in (0, 1)]
+        return *out, *[np.bincount(doc, self.size[side][number], len(cut)).astype(np.int64) for side in (0, 1)]
 
 
 @lru_cache(maxsize=1)
@@ -191,11 +212,6 @@ def align(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.array(diagonals, np.int64).reshape(-1, 3), np.array(groups, np.int64).reshape(-1, 4)
 
 
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of ``size`` numbers each, end to end."""
-    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
-
-
 def group_links(a: list[int], b: list[int], group: tuple[int, int, int, int]) -> Iterator[tuple[int, int]]:
     """Token places of an irregular group whose byte ranges overlap; ``a`` and ``b`` are the ends."""
     i, k, j, m = group
@@ -257,11 +273,10 @@ class Described:
     times: np.ndarray
 
 
-def describe(ids: list[tuple[np.ndarray, np.ndarray] | None], both: TwoEncoders) -> Described:
+def describe(texts: list[str], both: TwoEncoders) -> Described:
     """Align documents laid end to end: both tokenizers end at the end of each, so no group reaches into the next."""
-    n, none = len(ids), np.zeros(0, np.uint32)
-    size_a, size_b = (np.array([0 if x is None else len(x[side]) for x in ids], np.int64) for side in (0, 1))
-    ids_a, ids_b = (np.concatenate([none, *[x[side] for x in ids if x is not None]]).astype(np.int64) for side in (0, 1))
+    n = len(texts)
+    ids_a, ids_b, size_a, size_b = both(texts)
     end_a, end_b = np.cumsum(both.size_a[ids_a]), np.cumsum(both.size_b[ids_b])
     diagonals, groups = align(end_a, end_b)
     left, right = all_links(end_a, end_b, diagonals, groups)
@@ -308,7 +323,7 @@ def _aligned(path_a: str, path_b: str, limit: int) -> Callable:
             for lo, hi in blocks(offsets, min(limit, PASS)):
                 texts = [bytes(view[offsets[i] : offsets[i + 1]]).decode("utf-8", "replace") for i in range(lo, hi)]
                 docs += names[lo:hi]
-                told.append(describe(list(both(texts)), both))
+                told.append(describe(texts, both))
                 size += int(offsets[hi] - offsets[lo]) + 64 * (hi - lo)
                 if size >= limit:
                     yield close(part << 32 | n_blocks, docs, told)

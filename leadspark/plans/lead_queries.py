@@ -402,6 +402,10 @@ def _weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat(F.lit("A"), F.pmod("user_id", F.lit(3)).cast("string")).alias("airport"), F.col("ts").cast("timestamp").alias("as_of"), kind.alias("type"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("zone"), F.lit(0).alias("pos"))
 
 
+def _stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.table(spark, sf_dir, "events").where("event_id % 25 = 0").groupBy(F.concat(F.lit("A"), F.pmod("user_id", F.lit(3)).cast("string")).alias("airport"), F.col("ts").cast("timestamp").alias("as_of")).agg(F.bool_or(F.col("event_type") == "signup").alias("ground_stop"))
+
+
 @register(
     "assembled_polls",
     f"""WITH {views.POLLS}, {_WEATHER}, {_STOPS}, pw AS (SELECT p.*, w.weather FROM polls p ASOF LEFT JOIN weather w ON p.airport = w.airport AND p.as_of >= w.at),
@@ -411,7 +415,7 @@ SELECT hotel_id, airport, as_of, total, cancelled, weather, ground_stop FROM ps
 )
 def assembled_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polls with the weather alert and ground stop of their time, for the hotels that watch the airport."""
-    stops = views.table(spark, sf_dir, "events").where("event_id % 25 = 0").groupBy(F.concat(F.lit("A"), F.pmod("user_id", F.lit(3)).cast("string")).alias("airport"), F.col("ts").cast("timestamp").alias("as_of")).agg(F.bool_or(F.col("event_type") == "signup").alias("ground_stop"))
+    stops = _stops(spark, sf_dir)
     polls = views.polls(spark, sf_dir).withColumn("ground_stop", F.lit(False))
     out = disruption.assemble_polls(polls, _weather(spark, sf_dir), stops, feeds.hotel_airports(_hotels(spark, sf_dir)))
     return _naive(out.select("hotel_id", "airport", "as_of", "total", "cancelled", "weather", "ground_stop"), "as_of")
@@ -568,6 +572,25 @@ def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).withColumn("batches", F.lit(len(seen)))
 
 
+@register(
+    "stream_assembled",
+    f"""WITH a AS ({ORACLES["assembled_polls"]}), {views.POLLS}, {_WEATHER}, {_STOPS}
+SELECT * FROM a WHERE as_of < least((SELECT max(as_of) FROM polls), (SELECT date_trunc('millisecond', max(weather.at)) FROM weather), (SELECT date_trunc('millisecond', max(stops.at)) FROM stops)) - INTERVAL 1 HOUR""",
+)
+def stream_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polls, weather and notices as three streams joined as of the polls' times, and with the hotels, a table; later polls still wait."""
+    folder = _folder(spark)
+    weather = _weather(spark, sf_dir).groupBy("airport", "as_of").agg(F.min_by("type", F.struct("zone", "pos")).alias("weather"))
+    frames = {"polls": views.polls(spark, sf_dir).select("airport", "as_of", "total", "cancelled"), "weather": weather, "stops": _stops(spark, sf_dir).withColumnRenamed("ground_stop", "notice_stop")}
+    streams = []
+    for name, frame in frames.items():
+        frame.write.parquet(f"{folder}/{name}")
+        streams.append(spark.readStream.schema(frame.schema).parquet(f"{folder}/{name}"))
+    joined = alerts.stream_as_of(streams[0], streams[1:], "airport", "as_of")
+    joined = joined.withColumn("ground_stop", F.coalesce("notice_stop", F.lit(False))).join(feeds.hotel_airports(_hotels(spark, sf_dir)), "airport")
+    return _naive(alerts.run_once(joined, f"{folder}/run").select("hotel_id", "airport", "as_of", "total", "cancelled", "weather", "ground_stop"), "as_of")
+
+
 @register("notified_once", f"WITH {views.LEADS} SELECT id, 1 AS received FROM leads WHERE status = 'new'")
 def notified_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New leads as a stream whose notifier dies twice, before it sends and before the ledger is written; a receiver that goes by payload ids gets each lead once."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -117,6 +118,89 @@ def stream_alerts(scored: DataFrame, late: str = "1 hour", dwell: int = rules.DW
     return actions.withColumns({c: F.timestamp_micros(c) for c in ("as_of", "started_at")})
 
 
+#: Rows wait as JSON; times keep their microseconds in it.
+_MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+class AsOfMachine(StatefulProcessor):
+    """State of one key: the latest row of each right side, and rows of all sides that the watermark has not passed."""
+
+    def __init__(self, sides: int) -> None:
+        self.sides = sides
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.latest = handle.getMapState("latest", "side int", "body string")
+        self.waiting = handle.getListState("waiting", "at bigint, side int, body string")
+        self.due = handle.getValueState("due", "at bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        earliest = self.due.get()[0] if self.due.exists() else None
+        for f in rows:
+            come = [(int(t), int(s), b) for t, s, b in zip(f["micros"], f["side"], f["body"], strict=True)]
+            self.waiting.appendList(come)
+            low = min(c[0] for c in come)
+            if earliest is None or low < earliest:
+                if earliest is not None:
+                    self.handle.deleteTimer(earliest // 1000 + 1)
+                earliest = low
+                self.due.update((low,))
+                self.handle.registerTimer(low // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """Answer the left rows that the watermark has passed; right rows of the same time come before them."""
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted((w[0], w[1], w[2]) for w in self.waiting.get())
+        latest = {int(k[0]): v[0] for k, v in self.latest.iterator()}
+        out, changed = [], set()
+        for _, side, body in (r for r in rows if r[0] < mark):
+            if side < self.sides:
+                latest[side] = body
+                changed.add(side)
+            else:
+                out.append((body, *[latest.get(s) for s in range(self.sides)]))
+        for side in changed:
+            self.latest.updateValue((side,), (latest[side],))
+        rest = [r for r in rows if r[0] >= mark]
+        if rest:
+            self.waiting.put(rest)
+            self.due.update((rest[0][0],))
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
+        else:
+            self.waiting.clear()
+            self.due.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["body", *[f"found{s}" for s in range(self.sides)]])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_as_of(left: DataFrame, rights: Sequence[DataFrame], key: str, time: str, late: str = "1 hour") -> DataFrame:
+    """Stream of the left rows, each with the latest row of every right stream of its key at or before its time.
+
+    The streams are joined by key in one keyed state. The watermark, which follows the slowest stream, decides when a left row is
+    answered: rows may come in any order within ``late``, and rows behind the watermark are dropped. What waits are the rows between the watermark and
+    the newest ones; of the right sides one row each is kept beyond that, however old. Right streams have key, time and the columns to carry;
+    of those with one key and time the one that is greatest as JSON counts. Rows without a key or time are left out.
+    """
+    spark = left.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    carried = [[c for c in r.columns if c not in (key, time)] for r in rights]
+    sides = []
+    for side, frame in enumerate([*rights, left]):
+        names = carried[side] if side < len(rights) else frame.columns
+        timed = frame.withColumn("_at", F.col(time).cast("timestamp")).withWatermark("_at", late)
+        body = F.to_json(F.struct(*names), {"ignoreNullFields": "false", **_MICROS})
+        sides.append(timed.select(F.col(key).alias("key"), F.col("_at").alias("at"), F.unix_micros("_at").alias("micros"), F.lit(side).alias("side"), body.alias("body")).where("key IS NOT NULL AND at IS NOT NULL"))
+    both = reduce(DataFrame.unionByName, sides)
+    schema = ", ".join(["body string", *[f"found{s} string" for s in range(len(rights))]])
+    told = both.groupBy("key").transformWithStateInPandas(AsOfMachine(len(rights)), schema, "append", "EventTime")
+    parsed = told.select(F.from_json("body", left.schema, _MICROS).alias("l"), *[F.from_json(f"found{s}", r.select(*carried[s]).schema, _MICROS).alias(f"r{s}") for s, r in enumerate(rights)])
+    return parsed.select("l.*", *[F.col(f"r{s}.{c}").alias(c) for s, names in enumerate(carried) for c in names])
+
+
 def started(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Start a stream that hands every micro-batch and its id to ``write``: each ``every``, or once over what is there."""
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -90,3 +90,61 @@ def test_alerts_go_on_after_a_restart(spark, tmp_path):
     want = disruption.alert_episodes(spark.createDataFrame(rows + last, SCORED)).where(F.col("as_of") < F.lit(last[-1][1]))
     columns = ["airport", "as_of", "started_at", "minutes", "state", "score", "action"]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect())) != []
+
+
+def test_joined_streams_equal_the_batch_join_with_late_rows(spark, tmp_path):
+    """Polls and two kinds of notices, each out of order within the lateness, over several batches and a restart."""
+    rnd = random.Random(21)
+    start = datetime(2024, 1, 1)
+    schemas = {"polls": "airport string, as_of timestamp, n int", "weather": "airport string, as_of timestamp, kind string", "rooms": "airport string, as_of timestamp, rooms int, note string"}
+    rows = {name: [] for name in schemas}
+    for i in range(150):
+        at = lambda: start + timedelta(minutes=10 * i + rnd.randrange(10), microseconds=rnd.randrange(10**6))  # noqa: B023, E731
+        for airport in ("A", "B"):
+            rows["polls"].append((airport, at(), i))
+            if rnd.random() < 0.2:
+                rows["weather"].append((airport, at(), rnd.choice(["Fog", "Snow"])))
+            if rnd.random() < 0.3:
+                rows["rooms"].append((airport, at(), rnd.choice([None, 1, 2]), rnd.choice([None, "x"])))
+    end = start + timedelta(days=9)
+    for name, tail in {"polls": (7,), "weather": ("end",), "rooms": (0, "end")}.items():
+        rows[name].append(("C", end, *tail))
+    rows["polls"].append((None, start, 1))
+    for i in range(3):
+        for name, all_rows in rows.items():
+            n = len(all_rows) - 1
+            part = all_rows[i * n // 3 : (i + 1) * n // 3] + (all_rows[n:] if i == 2 else [])
+            part.sort(key=lambda r: (r[1].timestamp() // 1500, rnd.random()))
+            spark.createDataFrame(part, schemas[name]).coalesce(1).write.parquet(f"{tmp_path}/{name}/{i}")
+        streams = [spark.readStream.schema(schemas[name]).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/{name}") for name in schemas]
+        got = alerts.run_once(alerts.stream_as_of(streams[0], streams[1:], "airport", "as_of"), f"{tmp_path}/run")
+    frames = {name: spark.createDataFrame(r, schemas[name]) for name, r in rows.items()}
+    want = disruption.as_of(disruption.as_of(frames["polls"], frames["weather"], "airport", "as_of", ["kind"]), frames["rooms"], "airport", "as_of", ["rooms", "note"])
+    want = want.where("airport IS NOT NULL AND n <> 7 OR airport <> 'C'").where("airport IS NOT NULL")
+    assert sorted(map(tuple, got.where("airport <> 'C'").collect()), key=str) == sorted(map(tuple, want.where("airport <> 'C'").collect()), key=str)
+
+
+def test_a_batch_is_told_once(spark, tmp_path):
+    """Killed between write and notification, and between notification and ledger: the ids let a receiver drop the repeat."""
+    sent, die = [], ["write", "ledger"]
+    spark.createDataFrame([(1,), (2,)], "id int").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id int").parquet(f"{tmp_path}/in")
+
+    def send(batch, batch_id):
+        if die[:1] == ["write"]:
+            raise RuntimeError(die.pop(0))
+        sent.extend(r["payload_id"] for r in batch.collect())
+        if die:
+            raise RuntimeError(die.pop(0))
+
+    ends = []
+    for _ in range(4):
+        try:
+            alerts.run_once(stream, f"{tmp_path}/run", alerts.told_once(f"{tmp_path}/ledger", send, ["id"]))
+            ends.append("whole")
+        except Exception:  # noqa: BLE001
+            ends.append("dead")
+    assert ends == ["dead", "dead", "whole", "whole"] and len(sent) == 4 and len(set(sent)) == 2
+    rows = spark.createDataFrame([(3,)], "id int")
+    alerts.told_once(f"{tmp_path}/ledger", send, ["id"])(rows, 0)
+    assert len(sent) == 4 and 0 in alerts.Ledger(spark, f"{tmp_path}/ledger") and 5 not in alerts.Ledger(spark, f"{tmp_path}/ledger")

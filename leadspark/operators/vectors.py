@@ -23,25 +23,52 @@ def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_i
     return vectors.select(id_col, cosine(vec, q).alias("similarity")).orderBy(F.desc("similarity"), id_col).limit(k)
 
 
+def matrix(column):
+    """A column of number lists of one length, none null, as rows of doubles."""
+    import numpy as np
+
+    column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def units(vectors):
+    """(rows over their norms, whether there is one); a zero row stays zero."""
+    import numpy as np
+
+    norm = np.sqrt((vectors**2).sum(axis=1))
+    return vectors / np.where(norm > 0, norm, 1.0)[:, None], norm > 0
+
+
 def _block_scores(k: int, kind: str):
     """Arrow task over cells of (queries, vectors): the k best neighbours of each query in the cell."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
-    def best(key, left, right):
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["query_id", "neighbor_id", "similarity"]
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": left["query_id"][:0], "neighbor_id": right["neighbor_id"][:0], "similarity": np.zeros(0)})
-        other, v = right["neighbor_id"].to_numpy(), np.stack(right["v"].to_numpy())
+            return pa.Table.from_arrays([left.column("query_id").slice(0, 0), right.column("neighbor_id").slice(0, 0), pa.array([], pa.float64())], names)
+        (q, some), (v, whole) = units(matrix(left.column("q"))), units(matrix(right.column("v")))
+        asked, other = left.column("query_id").to_numpy(), right.column("neighbor_id").to_numpy()
         parts = []
-        for i in range(0, len(left), 256):
-            ids = left["query_id"].to_numpy()[i : i + 256]
-            score = np.stack(left["q"].to_numpy()[i : i + 256]) @ v.T
-            score[ids[:, None] == other[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(other, score.shape), -score), axis=1)[:, :k]
-            top = np.take_along_axis(score, order, 1)
-            parts.append(pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "neighbor_id": other[order].ravel(), "similarity": top.ravel()}))
-        out = pd.concat(parts)
-        return out[np.isfinite(out["similarity"])]
+        for i in range(0, len(asked), 256):
+            ids = asked[i : i + 256]
+            score = q[i : i + 256] @ v.T
+            score[(ids[:, None] == other[None, :]) | ~some[i : i + 256, None] | ~whole[None, :]] = -np.inf
+            # Only those that reach the k-th best score are sorted, ties by id.
+            if k < score.shape[1]:
+                least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+                row, at = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+            else:
+                row, at = np.nonzero(np.isfinite(score))
+            order = np.lexsort((other[at], -score[row, at], row))
+            row, at = row[order], at[order]
+            first = np.searchsorted(row, np.arange(len(ids)))
+            keep = np.arange(len(row)) - first[row] < k
+            parts.append((ids[row[keep]], other[at[keep]], score[row[keep], at[keep]]))
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        return pa.Table.from_arrays([pa.array(columns[0], left.column("query_id").type), pa.array(columns[1], right.column("neighbor_id").type), pa.array(columns[2], pa.float64())], names)
 
     return best, f"query_id {kind}, neighbor_id {kind}, similarity double"
 
@@ -49,7 +76,7 @@ def _block_scores(k: int, kind: str):
 def _best_of_cells(asked: DataFrame, rows: DataFrame, cell: list[str], k: int, kind: str) -> DataFrame:
     """Exact k best over all cells in which a query meets vectors; a cell is bounded on both sides."""
     best, schema = _block_scores(k, kind)
-    found = asked.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInPandas(best, schema)
+    found = asked.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInArrow(best, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbor_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -61,8 +88,8 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "
     query block is copied to every vector block, and a cell keeps the k best of each query before the shuffle. Nothing passes
     through the driver but two counts.
     """
-    asked = queries.select(F.col(id_col).alias("query_id"), unit(vec).alias("q")).where("q is not null")
-    rows = vectors.select(F.col(id_col).alias("neighbor_id"), unit(vec).alias("v")).where("v is not null")
+    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vec).alias("q")).where("size(q) > 0")
+    rows = vectors.select(F.col(id_col).alias("neighbor_id"), F.col(vec).alias("v")).where("size(v) > 0")
     n_asked, n_rows = queries.count(), vectors.count()
     across, down = max(1, -(-n_asked // block)), max(1, -(-n_rows // rows_per_cell))
     asked = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(across))).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(down - 1).cast("bigint"))))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from leadspark import rules
 from leadspark.functions.columns import record_key, row_id
 from leadspark.operators import dedup, disruption, leads, metrics, model_steps, normalize, vectors
+from leadspark.operators.quantised import ProductIndex
 from leadspark.operators.store import TableStore, write_bucketed
 from leadspark.plans import views
 from leadspark.plans.queries import _KEY, _SCORED, ORACLES, QUERIES, _polls_scored, register
@@ -527,6 +528,30 @@ def clustered_all_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search(rows.where("vec_id % 100 = 0"), 10, probe=6).withColumn("similarity", F.round("similarity", 6))
 
 
+@register("quantised_recall", "SELECT true AS recall_reached, true AS under_a_tenth, 10 * count(*) AS neighbours FROM embeddings WHERE vec_id % 100 = 0")
+def quantised_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether search by codes finds nine in ten exact neighbours and scores under a tenth of the rows exactly for a query."""
+    rows = views.table(spark, sf_dir, "embeddings")
+    asked, total = rows.where("vec_id % 100 = 0"), rows.count()
+    index = ProductIndex(spark, _folder(spark)).build(rows)
+    many = min(200, max(10, total // 11))
+    found = vectors.recall(index.search(rows, asked, 10, many), vectors.nearest_each(rows, asked, 10))
+    return found.select((F.col("recall") >= 0.9).alias("recall_reached"), F.lit(many < total / 10).alias("under_a_tenth"), "neighbours")
+
+
+@register("index_upkeep", "SELECT vec_id AS id FROM embeddings WHERE vec_id % 7 <> 0")
+def index_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of an index after a tenth of its vectors was replaced, the rest came in later, a seventh was deleted and the changes were merged."""
+    rows = views.table(spark, sf_dir, "embeddings")
+    index = ProductIndex(spark, _folder(spark)).build(rows.where("vec_id % 5 <> 0"))
+    reversed_rows = rows.withColumn("embedding", F.reverse("embedding"))
+    index.update(reversed_rows.where("vec_id % 10 = 1"))
+    index.update(rows.where("vec_id % 5 = 0 OR vec_id % 10 = 1"), rows.where("vec_id % 7 = 0"))
+    index.update(deleted=rows.where("vec_id % 7 = 0"))
+    index.merge()
+    return index.rows().select("id")
+
+
 @register("cross_source_pairs", f"WITH n AS ({ORACLES['nearest_each']}), s AS (SELECT vec_id, 's' || CAST(vec_id % 3 AS VARCHAR) AS source FROM embeddings) SELECT n.query_id, n.neighbor_id, a.source AS query_source, b.source AS neighbor_source FROM n JOIN s a ON a.vec_id = query_id JOIN s b ON b.vec_id = neighbor_id WHERE similarity > 0.2 AND a.source <> b.source")
 def cross_source_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.table(spark, sf_dir, "embeddings")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,17 +27,105 @@ def without_scripts(html: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(or_blank(html), r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<!--.*?-->", " ")
 
 
-def tokens(pages: DataFrame, tags: Sequence[str], page: str = "page_id", html: str = "html") -> DataFrame:
-    """page_id, pos, tag, attrs, inner of every listed element in page order.
+#: Fixed facts of the markup: elements without content, and those whose end tag may be left out with how deep they stand in their
+#: container; such an element ends where another of its depth or a lower one starts.
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_OPTIONAL = {"tr": 1, "td": 2, "th": 2, "li": 2, "dt": 2, "dd": 2, "option": 2, "p": 3}
+_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)\b([^>]*)>")
 
-    An element reaches to its end tag, to the next listed element or to the end of the page.
+
+@dataclass
+class Element:
+    tag: str
+    attrs: str
+    begin: int
+    end: int
+    up: int | None
+    depth: int
+
+
+def parse(html: str) -> list[Element]:
+    """Elements of a page in order, with the stretch between their tags and the element around them.
+
+    An end tag closes the latest open element of its name and all that opened after it; one that closes nothing is left out. What is
+    open at the end of the page ends there. Linear in the tags but for elements that are open at once.
+    """
+    out: list[Element] = []
+    stack: list[int] = []
+    open_names: Counter[str] = Counter()
+
+    def close(n: int, at: int) -> None:
+        """Close the innermost ``n`` elements."""
+        for i in stack[len(stack) - n :]:
+            out[i].end = at
+            open_names[out[i].tag] -= 1
+        del stack[len(stack) - n :]
+
+    for found in _TAG.finditer(html):
+        ends, tag, attrs = found.group(1), found.group(2).lower(), found.group(3)
+        if ends:
+            if open_names[tag]:
+                close(next(n for n, i in enumerate(reversed(stack), 1) if out[i].tag == tag), found.start())
+            continue
+        depth = _OPTIONAL.get(tag)
+        if depth:
+            n = 0
+            while n < len(stack) and _OPTIONAL.get(out[stack[-1 - n]].tag, 0) >= depth:
+                n += 1
+            close(n, found.start())
+        out.append(Element(tag, attrs, found.end(), found.end(), stack[-1] if stack else None, len(stack)))
+        if tag not in _VOID and not attrs.endswith("/"):
+            stack.append(len(out) - 1)
+            open_names[tag] += 1
+    close(len(stack), len(html))
+    return out
+
+
+def _listed(tags: frozenset[str], classes: dict[str, re.Pattern]):
+    """Arrow task over pages: listed elements, and the first element inside each that has one of the classes."""
+
+    def run(batches):
+        for batch in batches:
+            source, columns = [], [[] for _ in range(7)]
+            for row, html in enumerate(batch.column(1).to_pylist()):
+                elements = parse(html or "")
+                place = {i: n for n, i in enumerate(i for i, e in enumerate(elements) if e.tag in tags)}
+                marked = [(i, name) for i, e in enumerate(elements) for name, p in classes.items() for value in [_CLASS.search(e.attrs)] if value and p.search(value.group(1))]
+                inside: dict[int, dict[str, str]] = {}
+                for i, name in marked:
+                    up = elements[i].up
+                    while up is not None:
+                        if up in place:
+                            inside.setdefault(up, {}).setdefault(name, html[elements[i].begin : elements[i].end])
+                        up = elements[up].up
+                for i, n in place.items():
+                    e, up = elements[i], elements[i].up
+                    while up is not None and up not in place:
+                        up = elements[up].up
+                    source.append(row)
+                    for c, value in zip(columns, (n, e.tag, e.attrs, html[e.begin : e.end], place.get(up), e.depth, list(inside.get(i, {}).items())), strict=True):
+                        c.append(value)
+            kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.map_(pa.string(), pa.string())]
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source, pa.int64())), *arrays], ["page", "pos", "tag", "attrs", "inner", "up", "depth", "inside"])
+
+    return run
+
+
+_CLASS = re.compile(r"""(?i)\bclass\s*=\s*["']([^"']*)["']""")
+
+
+def tokens(pages: DataFrame, tags: Sequence[str], page: str = "page_id", html: str = "html", classes: dict[str, str] | None = None) -> DataFrame:
+    """page_id, pos, tag, attrs, inner, up, depth, inside of every listed element in page order.
+
+    ``inner`` reaches to the element's own end tag, whatever is nested in it; an element without one ends with the element around it, a list item, cell or
+    paragraph also where the next one starts. ``up`` is the pos of the listed element around it, ``depth`` the number of all elements around it, ``inside`` maps each name of
+    ``classes`` (name to pattern of a class) to the first element in it of such a class. Pages are parsed one by one inside their task, without a shuffle.
     """
-    names = "|".join(tags)
-    pattern = rf"(?is)<({names})\b([^>]*)>(.*?)(?=</\1\s*>|<(?:{names})\b|$)"
-    body = pages.select(page, without_scripts(html).alias("_h"))
-    groups = [F.regexp_extract_all("_h", F.lit(pattern), F.lit(i)) for i in (1, 2, 3)]
-    zipped = F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("tag", "attrs", "inner"), strict=True)])
-    return body.select(page, F.posexplode(zipped).alias("pos", "t")).select(page, "pos", F.lower("t.tag").alias("tag"), "t.attrs", "t.inner")
+    body = pages.select(F.col(page).alias("page"), without_scripts(html).alias("_h"))
+    schema = f"page {body.schema['page'].dataType.simpleString()}, pos int, tag string, attrs string, inner string, up int, depth int, inside map<string,string>"
+    patterns = {n: re.compile(rf"(?i)\b(?:{p})\b") for n, p in (classes or {}).items()}
+    return body.mapInArrow(_listed(frozenset(t.lower() for t in tags), patterns), schema).withColumnRenamed("page", page)
 
 
 def attribute(attrs: Column | str, name: str) -> Column:
@@ -66,11 +158,11 @@ def cards(pages: DataFrame, tag: str, title_tags: Sequence[str], base: str, need
     The title is the first heading of the card, else its text; titles out of bounds (bytes), navigation
     titles and cards with a word of the drop list leave, other cards stay.
     """
-    found = tokens(pages, [tag], page, html)
+    found = tokens(pages, [tag], page, html, {"category": "(?:event-)?(?:category|type)", "date": "(?:event-)?(?:date|time)"})
     heads = [F.nullif(page_text(F.regexp_extract("inner", rf"(?is)<{t}\b[^>]*>(.*?)(?:</{t}\s*>|$)", 1)), F.lit("")) for t in title_tags]
-    by_class = lambda name: page_text(F.regexp_extract("inner", rf"""(?is)class\s*=\s*["'][^"']*\b{name}\b[^"']*["'][^>]*>(.*?)</""", 1))
+    by_class = lambda name: page_text(F.col("inside")[name])
     link = F.coalesce(F.nullif(attribute("attrs", "href"), F.lit("")), F.nullif(F.regexp_extract("inner", r"""(?is)<a\b[^>]*href\s*=\s*["']?([^"'\s>]*)""", 1), F.lit("")), F.lit(""))
-    card = F.struct(F.coalesce(*heads, page_text("inner")).alias("title"), by_class("(?:event-)?(?:category|type)").alias("category"), by_class("(?:event-)?(?:date|time)").alias("date"), absolute_url(link, base).alias("link"))
+    card = F.struct(F.coalesce(*heads, page_text("inner")).alias("title"), by_class("category").alias("category"), by_class("date").alias("date"), absolute_url(link, base).alias("link"))
     # The generator keeps the filters above it, so that the texts are made once and not again in every condition.
     rows = found.select(page, "pos", F.inline(F.array(card)))
     rows = rows.where(F.octet_length("title").between(least, most)).where(~((F.lower("title") == "events") | contains_any("title", nav_words)))

@@ -55,6 +55,33 @@ def snapshot_changes(snapshots: DataFrame, key: str, order: str, digest: str) ->
     return snapshots.withColumn("previous", before).where(F.col("previous").isNotNull() & (F.col("previous") != F.col(digest)))
 
 
+def line_changes(snapshots: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """key, order, previous, added, removed: the lines that a snapshot has and the one before of its key lacks, and the other way round.
+
+    Changes are found on hashes; only the texts of snapshots that changed are joined, each by its own (key, order), so a key of many
+    snapshots is no single task's. Lines count once each, in their order; snapshots are unique by key and order.
+    """
+    ids = snapshots.select(key, order, F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("_d"))
+    by_time = Window.partitionBy(key).orderBy(order)
+    told = ids.withColumns({"previous": F.lag(order).over(by_time), "_before": F.lag("_d").over(by_time)}).where("_before <> _d").select(key, order, "previous")
+    lines = F.array_distinct(F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
+    now, before = snapshots.select(key, order, lines.alias("_now")), snapshots.select(key, F.col(order).alias("previous"), lines.alias("_old"))
+    both = told.join(now, [key, order]).join(before, [key, "previous"])
+    return both.select(key, order, "previous", F.array_except("_now", "_old").alias("added"), F.array_except("_old", "_now").alias("removed"))
+
+
+def attributed(leads: DataFrame, outcomes: DataFrame, days: int, by: Sequence[str] = ("source",), arrived: str = "created_at") -> DataFrame:
+    """Leads, wins and the mean days to the win per group; a win counts for its lead if it came within ``days`` of the lead's arrival.
+
+    ``outcomes`` has lead_id and at. The first win in the window counts, once a lead; a win before the arrival or after the window does not.
+    """
+    window = (F.col("at") >= F.col(arrived)) & (F.col("at") < F.col(arrived) + F.make_dt_interval(days=F.lit(days)))
+    first = leads.select("id", arrived).join(outcomes.select(F.col("lead_id").alias("id"), "at"), "id").where(window).groupBy("id").agg(F.min("at").alias("won_at"))
+    told = leads.join(first, "id", "left")
+    late = (F.unix_micros("won_at") - F.unix_micros(arrived)) / 86_400_000_000
+    return told.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count("won_at").alias("won"), F.avg(late).alias("mean_days"), (F.count("won_at") / F.count(F.lit(1))).alias("hit_rate"))
+
+
 def repeat_organisations(rows: DataFrame, past: DataFrame, name: str = "org_name", most_edits: int = 2, bonus: int = 2) -> DataFrame:
     """Rows with their past organisation: the name with the fewest edits once normalised, at most ``most_edits``.
 

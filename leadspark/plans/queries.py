@@ -209,6 +209,13 @@ def source_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.source_report(views.leads(spark, sf_dir), F.col("quality") == 1, F.col("toxic") == 1)
 
 
+@register("attributed_wins", f"WITH {views.LEADS}, f AS (SELECT l.id, min(e.ts) AS won_at FROM leads l JOIN events e ON e.user_id = l.id AND e.event_type = 'purchase' AND e.ts >= l.created_at AND e.ts < l.created_at + INTERVAL 14 DAY GROUP BY l.id) SELECT source, count(*) AS n, count(won_at) AS won, round(avg((epoch_us(won_at) - epoch_us(created_at)) / 86400000000), 6) AS mean_days, count(won_at) / count(*) AS hit_rate FROM leads LEFT JOIN f USING (id) GROUP BY source")
+def attributed_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wins of each source within two weeks of a lead's arrival, purchases standing for wins."""
+    events = views.table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("lead_id"), F.col("ts").cast("timestamp").alias("at"))
+    return metrics.attributed(views.leads(spark, sf_dir), events, 14).withColumn("mean_days", F.round("mean_days", 6))
+
+
 @register("shared_inputs", "SELECT sha256(text) AS raw_input_id, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING count(*) > 1")
 def shared_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads that several leads go back to."""
@@ -224,6 +231,14 @@ def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.snapshot_changes(rows, "page", "page_id", "digest").select("page", "page_id", "digest", "previous")
 
 
+@register("snapshot_line_changes", "WITH p AS (SELECT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[0-9?#].*$', '') AS page, page_id, html FROM pages), s AS (SELECT page, page_id, lag(page_id) OVER w AS previous, list_distinct(string_split(html, chr(10))) AS a, list_distinct(string_split(lag(html) OVER w, chr(10))) AS b, html <> lag(html) OVER w AS changed FROM p WINDOW w AS (PARTITION BY page ORDER BY page_id)) SELECT page, page_id, previous, CAST(len(list_filter(a, lambda x: NOT list_contains(b, x))) AS INTEGER) AS added, CAST(len(list_filter(b, lambda x: NOT list_contains(a, x))) AS INTEGER) AS removed FROM s WHERE changed")
+def snapshot_line_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines came and went between captures of one address."""
+    address = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[0-9?#].*$", "")
+    rows = views.table(spark, sf_dir, "pages").select(address.alias("page"), "page_id", "html")
+    return metrics.line_changes(rows, "page", "page_id", "html").withColumns({"added": F.size("added"), "removed": F.size("removed")})
+
+
 @register("weekly_demand", "SELECT date_trunc('week', o_orderdate) AS week, c_mktsegment AS source, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2")
 def weekly_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = views.table(spark, sf_dir, "orders").join(views.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))

@@ -347,3 +347,14 @@ def test_minutes_active_over_cells(spark, cell):
             want.append((airport, at, rate, int((at - since).total_seconds() // 60) if since else 0))
     got = disruption.with_minutes_active(spark.createDataFrame(rows, "airport string, as_of timestamp, rate double"), 0.2, cell_seconds=cell)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_lines_that_changed_and_wins_in_a_window(spark):
+    pages_of = spark.createDataFrame([("p", 1, "a\nb\nb"), ("p", 2, "a\nb\nb"), ("p", 3, "b\nc\na\nd"), ("p", 4, None), ("q", 1, "z")], "page string, n int, text string")
+    got = metrics.line_changes(pages_of, "page", "n", "text").orderBy("n").collect()
+    assert [tuple(r) for r in got] == [("p", 3, 2, ["c", "d"], []), ("p", 4, 3, [""], ["b", "c", "a", "d"])]
+    day = datetime(2024, 1, 1)
+    arrived = spark.createDataFrame([(1, "s", day), (2, "s", day), (3, "t", day), (4, "t", None)], "id int, source string, created_at timestamp")
+    wins = spark.createDataFrame([(1, day + timedelta(days=3)), (1, day + timedelta(days=1)), (2, day - timedelta(days=1)), (2, day + timedelta(days=7)), (3, day), (4, day), (9, day)], "lead_id int, at timestamp")
+    got = metrics.attributed(arrived, wins, 7).orderBy("source").collect()
+    assert [tuple(r) for r in got] == [("s", 2, 1, 1.0, 0.5), ("t", 2, 1, 0.0, 0.5)]

@@ -12,6 +12,9 @@ the pairs add up like random signs, so their cosine estimates the share of word
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ SEEDS, PACKED = 2, 32
 LANES = SEEDS * PACKED * 2
 #: Identity lanes, number of pairs, likeness lanes; 32 bits each.
 WIDTH = 8 + 1 + LANES
+#: The lowest id there can be.
+LOWEST = -(1 << 63)
 _PAIR_MASK = 0x0000000100000001
 
 
@@ -109,37 +114,58 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when(norm > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b) / norm))).otherwise(F.lit(0.0))
 
 
-def _bucket(cuts: list[int]) -> Column:
-    """Number of ``cuts`` below doc_id; coarse edges first, then the fine ones of that stretch."""
+def _bucket(cuts: list[int], column: str) -> Column:
+    """Number of ``cuts`` below a column; coarse edges first, then the fine ones of that stretch."""
     if not cuts:
         return F.lit(0)
     step = max(1, int(len(cuts) ** 0.5))
-    below = lambda edges: F.size(F.filter(edges, lambda e: e < F.col("doc_id")))
+    below = lambda edges: F.size(F.filter(edges, lambda e: e < F.col(column)))
     block = below(F.lit(cuts[step - 1 :: step]).cast("array<long>"))
     return block * step + below(F.slice(F.lit(cuts).cast("array<long>"), block * step + 1, F.lit(step)))
 
 
+def _hash_edges(keyed: DataFrame, ids: dict[int, int]) -> DataFrame:
+    """id, edges: as many quantiles of the hashes' leading 48 bits, which they hold exactly, of each id's rows as ``ids`` says."""
+    out = []
+    for times in sorted(set(ids.values())):
+        hot = keyed.sparkSession.createDataFrame([(i,) for i, n in ids.items() if n == times], "id long")
+        shares = [k / (times + 1) for k in range(1, times + 1)]
+        out.append(keyed.join(F.broadcast(hot), "id").groupBy("id").agg(F.percentile_approx(F.shiftright("hash", 16), shares, 10 * times + 100).alias("edges")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def with_next(docs: DataFrame, rows_per_bucket: int = 500, most_buckets: int = 20_000) -> DataFrame:
-    """Rows of ``docs`` (doc_id, hash, text) in buckets of adjoining ids: bucket, last, doc_id, hash, text.
+    """Rows of ``docs`` (doc_id, hash, text) in buckets that adjoin by (doc_id, hash): bucket, last, doc_id, hash, text.
 
-    Bucket edges are quantiles of the ids, at most ``most_buckets`` of them; each bucket also gets
-    the first row of the next one (after the last, the first of all), marked ``last``, so that every row
-    finds its successor inside its bucket. Only edges and first ids reach the driver.
+    Bucket edges are quantiles of the ids, at most ``most_buckets`` of them. An id that two quantiles or more name has that many buckets to
+    itself, cut at quantiles of its hashes; rows that share such a hash too are equal and are dealt to the buckets that it cuts. So no id and no
+    row, however often it is repeated, is one task. Each bucket also gets one copy of the first row of the next one (after the last, the first
+    of all), marked ``last``, so that every row finds its successor inside its bucket. Only edges and first keys reach the driver.
     """
     rows = docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    # Rows without an id come before all others, beside the lowest id there can be.
+    keyed = docs.withColumn("id", F.coalesce("doc_id", F.lit(LOWEST)))
     wanted = max(1, min(most_buckets, rows // rows_per_bucket))
-    cuts = []
+    quantiles: list[int] = []
     if wanted > 1:
         shares = [i / wanted for i in range(1, wanted)]
-        cuts = sorted(set(docs.select(F.percentile_approx("doc_id", shares, 10 * wanted + 100).alias("q")).first()["q"] or []))
-    placed = docs.withColumn("bucket", _bucket(cuts).cast("int"))
-    firsts = placed.groupBy("bucket").agg(F.min(F.struct("doc_id", "hash")).alias("f"))
-    ring = [(r["bucket"], r["f"]["doc_id"], r["f"]["hash"]) for r in firsts.orderBy("bucket").collect()]
-    before = docs.sparkSession.createDataFrame([(d, h, ring[i - 1][0]) for i, (_, d, h) in enumerate(ring)], "first_id long, first_hash long, into int")
-    marked = placed.join(F.broadcast(before), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash")), "left")
-    own, extra = F.struct(F.col("bucket"), F.lit(0).alias("last")), F.struct(F.col("into").alias("bucket"), F.lit(1).alias("last"))
-    places = F.when(F.col("into").isNull(), F.array(own)).otherwise(F.array(own, extra))
-    return marked.withColumn("_at", F.explode(places)).select("_at.bucket", "_at.last", "doc_id", "hash", "text")
+        quantiles = keyed.select(F.percentile_approx("id", shares, 10 * wanted + 100).alias("q")).first()["q"] or []
+    hot = {i: n for i, n in Counter(quantiles).items() if n > 1}
+    cuts = sorted(set(quantiles) | {i - 1 for i in hot if i > LOWEST})
+    place = _bucket(cuts, "id").cast("long") * (most_buckets + 1)
+    placed = keyed.withColumn("bucket", place)
+    if hot:
+        below, equal = (F.size(F.filter("edges", f)) for f in (lambda e: e < F.shiftright("hash", 16), lambda e: e == F.shiftright("hash", 16)))
+        dealt = F.pmod(F.xxhash64(F.col("deal")), equal + 1)
+        edges = F.broadcast(_hash_edges(keyed.select("id", "hash"), hot))
+        placed = keyed.withColumn("deal", F.monotonically_increasing_id()).join(edges, "id", "left").withColumn("bucket", place + F.when(F.col("edges").isNotNull(), below + dealt).otherwise(0)).drop("edges", "deal")
+    firsts = placed.groupBy("bucket").agg(F.min(F.struct("id", "hash")).alias("f"))
+    ring = [(r["bucket"], r["f"]["id"], r["f"]["hash"]) for r in firsts.orderBy("bucket").collect()]
+    before = F.broadcast(docs.sparkSession.createDataFrame([(i, h, ring[n - 1][0]) for n, (_, i, h) in enumerate(ring)], "id long, hash long, into long"))
+    # Equal rows that are first of a bucket are one row in the bucket before.
+    copies = keyed.join(before, ["id", "hash"]).groupBy("id", "hash", "into").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    names = ["bucket", "last", "doc_id", "hash", "text"]
+    return placed.withColumn("last", F.lit(0)).select(names).unionByName(copies.withColumnRenamed("into", "bucket").withColumn("last", F.lit(1)).select(names))
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@ import hashlib
 import math
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from leadspark.llm.fingerprint import delete, fingerprint_edits, fingerprints, insert
+from leadspark.llm.fingerprint import delete, fingerprint_edits, fingerprints, insert, with_next
 from tests.llm.fixtures import awkward_docs, empty_docs
 
 
@@ -100,3 +101,35 @@ def test_rows_without_id_come_first(spark):
     rows = [(None, "u v w x"), (5, "a b c d"), (9, "e f g h")]
     got = {r["doc_id"]: r["edited_sha256"] for r in fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in ((None, "u v a b"), (5, "a b e f"), (9, "e f u v"))}
+
+
+def successors(rows):
+    """Edited texts in plain Python; rows of one id stand in the order of their hashes, which the caller gives."""
+    out = []
+    for i, (doc, text) in enumerate(rows):
+        follows, half = rows[(i + 1) % len(rows)][1], len(text) // 2
+        out.append((doc, hashlib.sha256((text[: len(text) - half] + follows[:half]).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_ids_and_rows_repeated_thousands_of_times(spark):
+    """A third of the rows has no id and one text, a third one id and many texts; none of them is one bucket."""
+    rows = [(None, "same words here")] * 1500 + [(None, f"other {i}") for i in range(300)] + [(7, f"text number {i} of one id") for i in range(1500)] + [(i, f"doc {i} and its words") for i in range(100, 1300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).select("doc_id", "text", F.xxhash64("text").alias("hash")).cache()
+    ordered = [(r["doc_id"], r["text"]) for r in sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["hash"]))]
+    buckets = with_next(docs, 200)
+    sizes = {r["bucket"]: r["n"] for r in buckets.where("last = 0").groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+    assert sum(sizes.values()) == len(rows) and max(sizes.values()) < 600 and len(sizes) > 15
+    assert buckets.where("last = 1").count() == len(sizes)
+    for per_bucket in (200, 10**9):
+        order = Window.partitionBy("bucket").orderBy("last", "doc_id", "hash")
+        told = with_next(docs, per_bucket).withColumn("follows", F.lead("text").over(order)).where("last = 0")
+        n = F.char_length("text")
+        edited = F.concat(F.substr("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.substr("follows", F.lit(1), F.floor(n / 2).cast("int")))
+        assert sorted(((r["doc_id"], r["e"]) for r in told.select("doc_id", F.sha2(edited, 256).alias("e")).collect()), key=str) == successors(ordered)
+
+
+def test_text_over_a_megabyte(spark):
+    rows = [(1, "alpha beta " * 120_000), (2, "gamma"), (3, "x" * 1_200_000)]
+    got = {r["doc_id"]: r["edited_sha256"] for r in fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sorted(got.items(), key=str) == successors(rows)

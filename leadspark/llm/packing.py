@@ -40,8 +40,9 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 #: The symbol that stands for each byte in a byte-level vocabulary: printable bytes for themselves, the others from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_SYMBOLS = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-_LETTERS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+BYTE_SYMBOLS = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+#: Letters with one mark behind them at most, which the pre-tokenizer takes as they are after a blank.
+LETTERS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
 #: A blank before white space or the end.
 _UNEVEN = re.compile(r" (?:\s|\Z)")
 
@@ -76,11 +77,11 @@ class CachedEncoder:
 
     def _plain(self, word: str) -> bytes | None:
         """Ids of a blank and Latin letters with one mark at most, which the pre-tokenizer takes as they are; None for other words."""
-        found = _LETTERS.fullmatch(word)
+        found = LETTERS.fullmatch(word)
         if not found:
             return None
         letters, mark = found.groups()
-        pieces = ["\u0120" + letters.encode().decode("latin-1").translate(_BYTE_SYMBOLS), *mark]
+        pieces = ["\u0120" + letters.encode().decode("latin-1").translate(BYTE_SYMBOLS), *mark]
         return self._bytes([t.id for p in pieces for t in self.tokenizer.model.tokenize(p)])
 
     def _learn(self, words: list[str]) -> None:

@@ -19,7 +19,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadspark.llm.packing import BYTE_SYMBOLS, LETTERS
 from leadspark.llm.store import Workspace
 from leadspark.llm.textops import blocks, utf8_parts
 
@@ -48,10 +49,6 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
 
 
-#: Words that the first tokenizer's pattern takes as they are: letters, and one mark behind them at most.
-_PLAIN = re.compile("([A-Za-z]+)([.,;:!?]?)")
-
-
 class TwoEncoders:
     """Ids of both tokenizers for blank + text, cut at blanks into units that a bounded cache remembers."""
 
@@ -90,10 +87,11 @@ class TwoEncoders:
         out: list[list[int] | None] = []
         tokenize = self.a.model.tokenize
         for u in units:
-            found = _PLAIN.fullmatch(u)
+            found = LETTERS.fullmatch(u)
             if found:
                 letters, mark = found.groups()
-                ids = [t.id for t in tokenize("\u0120" + letters)]
+                plain = letters if letters.isascii() else letters.encode().decode("latin-1").translate(BYTE_SYMBOLS)
+                ids = [t.id for t in tokenize("\u0120" + plain)]
                 out.append(ids + [t.id for t in tokenize(mark)] if mark else ids)
             else:
                 out.append(None)
@@ -135,15 +133,16 @@ class TwoEncoders:
         """(ids of A end to end, of B, number of ids of each text in A, in B); none for a text that is empty or whose bytes either side spells otherwise."""
         cut = [self._cut(t) if t else [] for t in texts]
         units = list(chain.from_iterable(cut))
-        at = list(map(self.units.get, units))
-        if None in at:
-            missing = {u for u, i in zip(units, at, strict=True) if i is None}
+        number = np.fromiter(map(self.units.get, units, repeat(-1)), np.int64, len(units))
+        lost = np.flatnonzero(number < 0)
+        if len(lost):
+            missing = {units[i] for i in lost.tolist()}
             if len(self.units) + len(missing) > self.most:
                 self._forget()
-                missing = set(units)
+                missing, lost = set(units), np.arange(len(units))
             self._learn(missing)
-            at = list(map(self.units.__getitem__, units))
-        number, doc = np.array(at, np.int64), np.repeat(np.arange(len(cut)), [len(c) for c in cut])
+            number[lost] = [self.units[units[i]] for i in lost.tolist()]
+        doc = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
         odd = np.zeros(len(cut), bool)
         odd[doc[~self.spelt[number]]] = True
         number, doc = number[~odd[doc]], doc[~odd[doc]]
@@ -159,11 +158,11 @@ def _encoders(path_a: str, path_b: str) -> TwoEncoders:
 def one_to_one(a: bytes, b: bytes, i: int, j: int) -> int:
     """How many entries (of eight bytes) from ``i`` of ``a`` and ``j`` of ``b`` on are equal, the first of which are.
 
-    Windows double while they are equal; the one that differs is halved until its first difference is found.
+    Windows double, from four entries on, while they are equal; the one that differs is halved until its first difference is found.
     """
     x, y = 8 * i, 8 * j
     most = min(len(a) - x, len(b) - y)
-    done, width = 8, 8
+    done, width = 8, 32
     while True:
         if done >= most:
             return most // 8

@@ -175,7 +175,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, lines:
 
 
 def score_quality(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``; a null text is empty, one blank line; a row without doc_id is not held out."""
+    """doc_id, held_out, score, predicted for every row of ``docs``.
+
+    A null text is empty, one blank line; a row without doc_id is not held out. Repeated rows get equal scores, a score at the threshold
+    counts as good, other columns are ignored, an empty table gives an empty one. A text is scored whole, as one block if it is over a megabyte.
+    """
 
     def run(batches):
         for batch in batches:

@@ -27,7 +27,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadspark.llm.packing import BYTE_SYMBOLS, LETTERS
 from leadspark.llm.store import Workspace
 from leadspark.llm.textops import blocks, utf8_parts
 
@@ -49,6 +48,29 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
 
 
+class Growing:
+    """An array that doubles when it is full, so adding to it copies each entry about once."""
+
+    def __init__(self, kind: type) -> None:
+        self.held, self.used = np.zeros(1 << 12, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.used + len(values)
+        if end > len(self.held):
+            wider = np.zeros(max(end, 2 * len(self.held)), self.held.dtype)
+            wider[: self.used] = self.held[: self.used]
+            self.held = wider
+        self.held[self.used : end] = values
+        self.used = end
+
+
+#: The symbol that stands for each byte in a byte-level vocabulary: printable bytes for themselves, the others from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SYMBOLS = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+#: Words that the first tokenizer's pattern takes as they are after a blank: letters, and one mark behind them at most.
+_LETTERS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+
+
 class TwoEncoders:
     """Ids of both tokenizers for blank + text, cut at blanks into units that a bounded cache remembers."""
 
@@ -66,8 +88,7 @@ class TwoEncoders:
             raise ValueError("the first tokenizer must be byte-level with its usual pattern and without normalisation")
         self.most = most
         self._forget()
-        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        symbols = {chr(b): b for b in printed} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printed)}
+        symbols = {chr(s): b for b, s in _SYMBOLS.items()}
         #: Bytes of every id.
         self.bytes_a = [b""] * self.a.get_vocab_size()
         for token, i in self.a.get_vocab().items():
@@ -87,10 +108,10 @@ class TwoEncoders:
         out: list[list[int] | None] = []
         tokenize = self.a.model.tokenize
         for u in units:
-            found = LETTERS.fullmatch(u)
+            found = _LETTERS.fullmatch(u)
             if found:
                 letters, mark = found.groups()
-                plain = letters if letters.isascii() else letters.encode().decode("latin-1").translate(BYTE_SYMBOLS)
+                plain = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_SYMBOLS)
                 ids = [t.id for t in tokenize("\u0120" + plain)]
                 out.append(ids + [t.id for t in tokenize(mark)] if mark else ids)
             else:
@@ -102,8 +123,8 @@ class TwoEncoders:
     def _forget(self) -> None:
         #: Number of each unit; its ids on both sides are stretches of two flat arrays, and it has none where the bytes differ.
         self.units: dict[str, int] = {}
-        self.spelt = np.zeros(0, bool)
-        self.flat, self.first, self.size = ([np.zeros(0, kind), np.zeros(0, kind)] for kind in (np.int32, np.int64, np.int32))
+        self.spelt = Growing(bool)
+        self.flat, self.first, self.size = [Growing(np.int32), Growing(np.int32)], [Growing(np.int64), Growing(np.int64)], [Growing(np.int32), Growing(np.int32)]
 
     def _learn(self, units: set[str]) -> None:
         fresh = list(units)
@@ -117,10 +138,11 @@ class TwoEncoders:
             spelt &= np.fromiter([b"".join(map(of, i)) == t for i, t in zip(ids, text, strict=True)], bool, len(fresh))
         known = len(self.units)
         self.units.update(zip(fresh, range(known, known + len(fresh)), strict=True))
-        self.spelt = np.append(self.spelt, spelt)
+        self.spelt.add(spelt)
         for side in (0, 1):
-            start = np.cumsum(sizes[side]) - sizes[side] + len(self.flat[side])
-            self.flat[side], self.first[side], self.size[side] = np.append(self.flat[side], flats[side]), np.append(self.first[side], start), np.append(self.size[side], sizes[side])
+            self.first[side].add(np.cumsum(sizes[side]) - sizes[side] + self.flat[side].used)
+            self.flat[side].add(flats[side])
+            self.size[side].add(sizes[side])
 
     def _cut(self, text: str) -> list[str]:
         if not _UNEVEN.search(text):
@@ -144,10 +166,10 @@ class TwoEncoders:
             number[lost] = [self.units[units[i]] for i in lost.tolist()]
         doc = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
         odd = np.zeros(len(cut), bool)
-        odd[doc[~self.spelt[number]]] = True
+        odd[doc[~self.spelt.held[number]]] = True
         number, doc = number[~odd[doc]], doc[~odd[doc]]
-        out = [self.flat[side][_ranges(self.first[side][number], self.size[side][number])].astype(np.int64) for side in (0, 1)]
-        return *out, *[np.bincount(doc, self.size[side][number], len(cut)).astype(np.int64) for side in (0, 1)]
+        out = [self.flat[side].held[_ranges(self.first[side].held[number], self.size[side].held[number])].astype(np.int64) for side in (0, 1)]
+        return *out, *[np.bincount(doc, self.size[side].held[number], len(cut)).astype(np.int64) for side in (0, 1)]
 
 
 @lru_cache(maxsize=1)

@@ -158,13 +158,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Mo
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``; a null text is empty, a row without doc_id is not held out."""
+    """doc_id, held_out, score, predicted for every row of ``docs``.
+
+    A null text is empty, a row without doc_id is not held out. Repeated rows get equal scores, a score at the threshold counts as
+    toxic, other columns are ignored, an empty table gives an empty one. A text is scored whole, as one block if it is over a megabyte.
+    """
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_count_batches(*model), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold(FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
-    """Rows of ``docs`` whose text scores below ``limit``, columns unchanged."""
+    """Rows of ``docs`` whose text scores below ``limit``, columns unchanged; null and empty texts, repeated rows and rows without a doc_id are judged by their text alone."""
     lexicon, weights = model
     schema = docs.schema
     at = docs.columns.index("text")

@@ -57,7 +57,8 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """page_id, host, fetched_on, pattern, action, kept of captures (page_id, url, fetched_on).
 
     Unlisted captures, those without a host or day, and those whose entry allows them are kept.
-    Repeated rows stay; other columns are left out, so a clash of names does no harm.
+    Repeated rows stay; other columns are left out, so a clash of names does no harm. An entry whose
+    action is null, or any other than ``block``, lets its captures pass.
     """
     rows = captures.select("page_id", hosts(F.col("url")).alias("host"), "fetched_on")
     asked = rows.select("host", "fetched_on").where("host is not null and fetched_on is not null").distinct()

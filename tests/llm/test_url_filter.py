@@ -1,4 +1,5 @@
-from datetime import date
+import random
+from datetime import date, timedelta
 
 from leadspark.llm.url_filter import filter_captures, hosts
 
@@ -22,3 +23,22 @@ def test_hosts(spark):
     urls = ["HTTPS://u:p@A.b.Example.com.:8080/p?q#r", "ftp://x/", "//x/", "", None]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     assert [r[0] for r in df.select(hosts(df["url"])).collect()] == ["a.b.example.com", "x", None, None, None]
+
+
+def test_random_lists_against_a_plain_walk(spark):
+    """Every capture against every entry: the longest listed suffix with an active entry decides, null actions allow."""
+    rnd = random.Random(6)
+    names = ["a.com", "b.a.com", "c.b.a.com", "d.com", "com"]
+    day = lambda n: date(2024, 1, 1) + timedelta(days=n)
+    entries = [(rnd.choice(names), day(rnd.randrange(30)), rnd.choice(["block", "allow", None])) for _ in range(40)]
+    captures = [(i, rnd.choice([None, "http://x/", *[f"http://{p}{n}/q" for n in names for p in ("", "w.", "not")]]), rnd.choice([None, *map(day, range(31))])) for i in range(300)]
+    want = []
+    for page, url, fetched in captures:
+        host, chosen = (url.split("/")[2] if url else None), None
+        for pattern in sorted(names, key=len):
+            if fetched and host and (host == pattern or host.endswith("." + pattern)):
+                live = [(d, a is not None, a) for p, d, a in entries if p == pattern and d <= fetched]
+                chosen = (max(live)[2], pattern) if live else chosen
+        want.append((page, chosen[1] if chosen else None, chosen is None or chosen[0] != "block"))
+    got = filter_captures(spark.createDataFrame(captures, "page_id long, url string, fetched_on date"), spark.createDataFrame(entries, "pattern string, listed_on date, action string"))
+    assert sorted((r["page_id"], r["pattern"], r["kept"]) for r in got.collect()) == sorted(want)

@@ -39,7 +39,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace every secret span; documents stay."""
+    """Replace every secret span; documents stay, null and empty texts as they are, and so does an empty table."""
     return secret_scan.redact_secrets(docs)
 
 

@@ -57,9 +57,11 @@ def with_minutes_active(polls: DataFrame, onset_rate: float = 0.0, key: str = "a
     runs = rows.groupBy("_k", "_cell", "_run").agg(F.min(F.when(F.col("_on"), F.col(time))).alias("_start"))
     cells = runs.groupBy("_k", "_cell").agg(F.max("_run").alias("_offs"), F.max_by("_start", "_run").alias("_open"))
     carried = _open_before(cells, ["_k"], F.col("_offs") > 0, {"_entry": F.first("_open", True)})
-    starts = runs.join(carried, ["_k", "_cell"]).select("_k", "_cell", "_run", F.when(F.col("_run") == 0, F.coalesce("_entry", "_start")).otherwise(F.col("_start")).alias("_since"))
+    here = F.min(F.when(F.col("_on"), F.col(time))).over(Window.partitionBy("_k", "_cell", "_run"))
+    since = F.when(F.col("_run") == 0, F.coalesce("_entry", here)).otherwise(here)
+    told = rows.join(carried, ["_k", "_cell"]).withColumn("_since", since)
     minutes = F.floor((F.unix_timestamp(time) - F.unix_timestamp("_since")) / 60) + close_minutes
-    told = rows.join(starts, ["_k", "_cell", "_run"]).withColumn("minutes_active", F.when(F.col("_on"), minutes).otherwise(F.lit(0)).cast("int"))
+    told = told.withColumn("minutes_active", F.when(F.col("_on"), minutes).otherwise(F.lit(0)).cast("int"))
     return told.select(*polls.columns, "minutes_active")
 
 

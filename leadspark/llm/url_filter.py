@@ -34,14 +34,14 @@ def hosts(url):
 def active_entries(asked: DataFrame, entries: DataFrame, parts: int = 64) -> DataFrame:
     """As-of join: host, fetched_on, pattern, action of every entry that is active for ``asked`` (host, fetched_on).
 
-    Only suffixes that the list holds are kept. The days of a pattern are dealt to parts, each of which gets the pattern's
-    entries, so a suffix of many hosts is not one task's work; the entries are few, the fetch days are not.
+    The days of a suffix are dealt to parts, each of which gets the pattern's entries, so a suffix of many hosts, listed or
+    not, is not one task's work; the entries are few, the fetch days are not. One shuffle carries both; a suffix that the
+    list does not hold meets no entry and goes.
     """
     days = validity_intervals(entries).select("pattern", F.col("valid_from").alias("day"), "action")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    listed = days.select("pattern").distinct()
-    wanted = asked.withColumn("pattern", F.explode(suffixes)).join(listed, "pattern", "left_semi")
+    wanted = asked.withColumn("pattern", F.explode(suffixes))
     wanted = wanted.withColumn("_part", F.pmod(F.xxhash64("host", "fetched_on"), F.lit(parts)).cast("int"))
     copies = days.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     events = wanted.select("pattern", "_part", F.col("fetched_on").alias("day"), "host", F.lit(None).cast("struct<action:string>").alias("entry")).unionByName(

@@ -159,9 +159,12 @@ def _feature_batches(batches):
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, lines: int = FIT_LINES) -> dict[str, np.ndarray]:
     """The chain and the final curve from at most ``rows`` labelled training documents and ``lines`` of their lines."""
     sample = training_sample(docs, labels, "quality", FOLDS, HELD_OUT, rows)
-    sample = sample.withColumn("_n", F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).where(F.col("_n") <= lines / 10)
-    upto = F.sum("_n").over(Window.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
-    sample = sample.withColumn("_upto", upto).where(F.col("_upto") <= lines).select("doc_id", "text", "label")
+    n = F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    sample = sample.withColumn("_hash", F.xxhash64("text")).withColumn("_n", n).where(F.col("_n") <= lines / 10)
+    # Only ids, hashes and line counts are ordered in one task, and two bounds hold them: ``rows`` ids, ``lines`` lines.
+    upto = F.sum("_n").over(Window.orderBy(F.xxhash64("doc_id"), "_hash").rowsBetween(Window.unboundedPreceding, 0))
+    within = sample.select("doc_id", "_hash", "_n").orderBy(F.xxhash64("doc_id"), "_hash").limit(lines).withColumn("_upto", upto).where(F.col("_upto") <= lines)
+    sample = sample.join(F.broadcast(within.select("doc_id", "_hash")), ["doc_id", "_hash"]).select("doc_id", "text", "label")
     got = sample.mapInArrow(_feature_batches, "doc_id long, label int, lines binary").toPandas().sort_values("doc_id")
     width = line_features(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0].shape[1] + 1
     if got.empty or got["label"].nunique() < 2:

@@ -13,6 +13,8 @@ from leadspark.functions.columns import disruption_score, state_of, tuned_state
 
 #: Seconds of a cell, the stretch of time of one key that one task orders.
 CELL_SECONDS = 86_400
+#: Polls, and hotels, of one airport in a cell of their join, about.
+CELL_ROWS = 1024
 
 
 def _cell(time: str, seconds: int) -> Column:
@@ -127,12 +129,29 @@ def alert_episodes(scored: DataFrame, keys: Sequence[str] = ("airport",), time:
     return rows.withColumn("action", action).where("action is not null").select(*keys, time, "started_at", "minutes", "state", "score", "action")
 
 
+def for_hotels(polls: DataFrame, hotel_airports: DataFrame, counted: DataFrame | None = None, key: str = "airport", time: str = "as_of", cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Each poll once for every hotel that watches its airport.
+
+    Polls and hotels of an airport are dealt to blocks of about ``cell_rows``, and every block of polls meets every block of hotels in a cell of its own: few
+    airports with many of both are as many tasks as they have cells. A poll is copied once a block of hotels, a hotel once a block of polls, before
+    the shuffle. ``counted`` has as many rows of each airport as ``polls`` where those take long to make.
+    """
+    watched, told = (f.groupBy(key).agg(F.count(F.lit(1)).alias(n)) for f, n in ((hotel_airports, "_hotels"), (polls if counted is None else counted, "_polls")))
+    blocks = told.join(watched, key).select(key, F.ceil(F.col("_polls") / cell_rows).alias("_across"), F.ceil(F.col("_hotels") / cell_rows).alias("_down"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    left = polls.join(blocks, key).withColumns({"_pb": F.pmod(F.xxhash64(time), F.col("_across")), "_hb": every("_down")}).drop("_across", "_down")
+    right = hotel_airports.join(blocks, key).withColumns({"_hb": F.pmod(F.xxhash64("hotel_id"), F.col("_down")), "_pb": every("_across")}).drop("_across", "_down")
+    # A stated number of partitions of either side: by the size of what goes in, these would be merged into a few.
+    cell, parts = [key, "_pb", "_hb"], int(polls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return left.repartition(parts, *cell).join(right.repartition(parts, *cell), cell).drop("_pb", "_hb")
+
+
 def assemble_polls(polls: DataFrame, weather: DataFrame, stops: DataFrame, hotel_airports: DataFrame, min_score: bool = False) -> DataFrame:
     """Polls with the weather alert and ground stop of their time, for every hotel that watches the airport."""
     first = weather.groupBy("airport", "as_of").agg(F.min_by("type", F.struct("zone", "pos")).alias("weather"))
     joined = as_of(as_of(polls, first, "airport", "as_of", ["weather"]), stops.withColumnRenamed("ground_stop", "notice_stop"), "airport", "as_of", ["notice_stop"])
     joined = joined.withColumn("ground_stop", F.coalesce("ground_stop", F.lit(False)) | F.coalesce("notice_stop", F.lit(False)))
-    out = joined.join(hotel_airports, "airport")
+    out = for_hotels(joined, hotel_airports, polls)
     return out.where(F.col("score") >= F.coalesce("alert_threshold_sps", F.lit(0.0))) if min_score and "score" in out.columns else out
 
 

@@ -603,7 +603,7 @@ def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT * FROM a WHERE as_of < least((SELECT max(as_of) FROM polls), (SELECT date_trunc('millisecond', max(weather.at)) FROM weather), (SELECT date_trunc('millisecond', max(stops.at)) FROM stops)) - INTERVAL 1 HOUR""",
 )
 def stream_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Polls, weather and notices as three streams joined as of the polls' times, and with the hotels, a table; later polls still wait."""
+    """Polls, weather and notices as three streams joined as of the polls' times; later polls still wait. What they wrote, a row a poll, is joined with the hotels, a table."""
     folder = _folder(spark)
     weather = _weather(spark, sf_dir).groupBy("airport", "as_of").agg(F.min_by("type", F.struct("zone", "pos")).alias("weather"))
     frames = {"polls": views.polls(spark, sf_dir).select("airport", "as_of", "total", "cancelled"), "weather": weather, "stops": _stops(spark, sf_dir).withColumnRenamed("ground_stop", "notice_stop")}
@@ -611,9 +611,9 @@ def stream_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, frame in frames.items():
         frame.write.parquet(f"{folder}/{name}")
         streams.append(spark.readStream.schema(frame.schema).parquet(f"{folder}/{name}"))
-    joined = alerts.stream_as_of(streams[0], streams[1:], "airport", "as_of")
-    joined = joined.withColumn("ground_stop", F.coalesce("notice_stop", F.lit(False))).join(feeds.hotel_airports(_hotels(spark, sf_dir)), "airport")
-    return _naive(alerts.run_once(joined, f"{folder}/run").select("hotel_id", "airport", "as_of", "total", "cancelled", "weather", "ground_stop"), "as_of")
+    joined = alerts.stream_as_of(streams[0], streams[1:], "airport", "as_of").withColumn("ground_stop", F.coalesce("notice_stop", F.lit(False)))
+    told = disruption.for_hotels(alerts.run_once(joined, f"{folder}/run"), feeds.hotel_airports(_hotels(spark, sf_dir)))
+    return _naive(told.select("hotel_id", "airport", "as_of", "total", "cancelled", "weather", "ground_stop"), "as_of")
 
 
 @register("notified_once", f"WITH {views.LEADS} SELECT id, 1 AS received FROM leads WHERE status = 'new'")

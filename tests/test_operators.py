@@ -169,6 +169,23 @@ def test_as_of_and_hotels(spark):
     assert [(r["hotel_id"], r["weather"], r["ground_stop"]) for r in got] == [("h1", "Snow", False), ("h1", "Snow", True)]
 
 
+def test_hotels_of_one_airport_are_many_cells(spark):
+    """Polls of one busy airport for many hotels come from several tasks, each pair once, with or without the sides' own cells."""
+    start = datetime(2024, 1, 1)
+    polls = spark.createDataFrame([(a, start + timedelta(hours=i), 0.5) for a, n in (("A", 40), ("B", 3), ("C", 2), (None, 2)) for i in range(n)], "airport string, as_of timestamp, rate double").withColumn("ground_stop", F.lit(False))
+    hotels = spark.range(6000).selectExpr("CAST(id AS STRING) AS hotel_id", "0D AS alert_threshold_sps", "explode(if(id % 1000 = 0, array('A', 'B', 'D'), array('A'))) AS airport", "5 AS distance_min")
+    weather = spark.createDataFrame([], "airport string, as_of timestamp, zone string, pos int, type string")
+    stops = spark.createDataFrame([], "airport string, as_of timestamp, ground_stop boolean")
+    out = disruption.assemble_polls(polls, weather, stops, hotels)
+    shares = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) == 40 * 6000 + 3 * 6 and max(shares) < 0.8 * sum(shares)
+    few = hotels.where("CAST(hotel_id AS INT) % 100 = 0")
+    key = ["airport", "as_of", "hotel_id"]
+    want = sorted(map(str, polls.join(few, "airport").select(key).collect()))
+    for cell_rows in (1, 7, 10_000):
+        assert sorted(map(str, disruption.for_hotels(polls, few, cell_rows=cell_rows).select(key).collect())) == want
+
+
 def test_vectors(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.9, 0.1, 0.0]), (3, [0.0, 0.0, 1.0]), (4, [0.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
     assert [r["vec_id"] for r in vectors.nearest(rows, [1.0, 0.0, 0.0], 2).collect()] == [1, 2]

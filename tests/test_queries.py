@@ -38,6 +38,13 @@ def test_clustered_search_finds_nine_in_ten(spark):
     assert got["recall_reached"] and got["pruned"]
 
 
+def test_stream_writes_a_row_a_poll(spark):
+    """The copies for the hotels are made after the stream, so what it writes does not grow with polls times hotels."""
+    out = QUERIES["stream_assembled"](spark, SF)
+    written = spark.read.parquet(*[f for f in out.inputFiles() if "/run/out/" in f])
+    assert 0 < written.count() == written.select("airport", "as_of").distinct().count() == out.select("airport", "as_of").distinct().count()
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadspark.operators.store import TableStore
-from leadspark.operators.vectors import matrix, units
+from leadspark.operators.vectors import matrix, nearest_centres, stretches, units
 
 CENTRES, STRETCH = 256, 4
 #: Rows that the centres are fitted on, rows of codes a cell of the search holds, queries a cell holds.
@@ -27,7 +27,7 @@ def _fit_stretch(rounds: int, centres: int):
         x = x[np.lexsort(x.T)]
         own = np.unique(x[np.linspace(0, len(x) - 1, min(centres, len(x))).astype(int)], axis=0)
         for _ in range(rounds):
-            near = np.argmin((own**2).sum(axis=1)[None, :] - 2 * x @ own.T, axis=1)
+            near = nearest_centres(x, own)[:, 0]
             size = np.bincount(near, minlength=len(own))
             sums = np.stack([np.bincount(near, x[:, d], len(own)) for d in range(x.shape[1])], axis=1)
             own = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], own)
@@ -65,16 +65,16 @@ class ProductIndex:
         centres = self.centres()
 
         def code(batches):
-            for batch in batches:
+            for batch in _unit_batches(batches):
                 x, at, out = matrix(pa.chunked_array([batch.column(1)])), 0, []
                 for own in centres:
                     part = x[:, at : at + own.shape[1]] if len(x) else np.zeros((0, own.shape[1]))
-                    out.append(np.argmin((own**2).sum(axis=1)[None, :] - 2 * part @ own.T, axis=1).astype(np.uint8))
+                    out.append(nearest_centres(part, own)[:, 0].astype(np.uint8))
                     at += own.shape[1]
                 codes = np.stack(out, axis=1) if len(x) else np.zeros((0, len(centres)), np.uint8)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "code"])
 
-        return _with_units(vectors, self.id_col, self.vec, self.id_type).mapInArrow(code, self.base_schema)
+        return _with_length(vectors, self.id_col, self.vec).mapInArrow(code, self.base_schema)
 
     # Upkeep ------------------------------------------------------------------------------------------
 
@@ -129,17 +129,21 @@ class ProductIndex:
         return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _with_units(vectors: DataFrame, id_col: str, vec: str, id_type: str) -> DataFrame:
+def _unit_batches(batches):
     """id and unit vector v of the rows that have a length."""
+    for batch in batches:
+        v, whole = units(matrix(pa.chunked_array([batch.column(1)])))
+        rows = v[whole]
+        offsets = pa.array(np.arange(len(rows) + 1) * (rows.shape[1] if len(rows) else 0), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(whole)), pa.ListArray.from_arrays(offsets, pa.array(rows.ravel(), pa.float64()))], ["id", "v"])
+
 
-    def run(batches):
-        for batch in batches:
-            v, whole = units(matrix(pa.chunked_array([batch.column(1)])))
-            rows = v[whole]
-            offsets = pa.array(np.arange(len(rows) + 1) * (rows.shape[1] if len(rows) else 0), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(whole)), pa.ListArray.from_arrays(offsets, pa.array(rows.ravel(), pa.float64()))], ["id", "v"])
+def _with_length(vectors: DataFrame, id_col: str, vec: str) -> DataFrame:
+    return vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("v")).where("size(v) > 0")
 
-    return vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("v")).where("size(v) > 0").mapInArrow(run, f"id {id_type}, v array<double>")
+
+def _with_units(vectors: DataFrame, id_col: str, vec: str, id_type: str) -> DataFrame:
+    return _with_length(vectors, id_col, vec).mapInArrow(_unit_batches, f"id {id_type}, v array<double>")
 
 
 def _nearest_codes(centres: list[np.ndarray], many: int):
@@ -156,16 +160,17 @@ def _nearest_codes(centres: list[np.ndarray], many: int):
             tables.append(q[:, at : at + own.shape[1]] @ own.T)
             at += own.shape[1]
         parts = []
-        for lo in range(0, len(asked), 64):
-            score = np.zeros((min(64, len(asked) - lo), len(other)))
+        for part in stretches(len(asked), len(other)):
+            ids = asked[part]
+            score = np.zeros((len(ids), len(other)))
             for s, table in enumerate(tables):
-                score += table[lo : lo + 64].take(code[:, s], axis=1)
-            score[asked[lo : lo + 64, None] == other[None, :]] = -np.inf
+                score += table[part].take(code[:, s], axis=1)
+            score[ids[:, None] == other[None, :]] = -np.inf
             n = min(many, score.shape[1])
-            top = np.argpartition(-score, n - 1, axis=1)[:, :n]
+            top = np.argpartition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n :]
             value = np.take_along_axis(score, top, axis=1).ravel()
             keep = np.isfinite(value)
-            parts.append((np.repeat(asked[lo : lo + 64], n)[keep], other[top.ravel()][keep], value[keep]))
+            parts.append((np.repeat(ids, n)[keep], other[top.ravel()][keep], value[keep]))
         columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
         return pa.table({"query_id": pa.array(columns[0], none.schema.types[0]), "neighbor_id": pa.array(columns[1], none.schema.types[1]), "estimate": columns[2]})
 

@@ -40,6 +40,27 @@ def units(vectors):
     return vectors / np.where(norm > 0, norm, 1.0)[:, None], norm > 0
 
 
+#: Scores of rows against others that a task makes at once, 8 MB of doubles.
+SCORES = 1 << 20
+
+
+def stretches(rows: int, others: int) -> list[slice]:
+    """Cuts of ``rows`` so small that the scores of one against all ``others`` are within SCORES."""
+    step = max(1, SCORES // max(1, others))
+    return [slice(i, i + step) for i in range(0, rows, step)]
+
+
+def nearest_centres(x, centres, n: int = 1):
+    """Numbers of the ``n`` nearest centres of each row, the lower of equal ones first."""
+    import numpy as np
+
+    out, size = np.zeros((len(x), min(n, len(centres))), np.int64), (centres**2).sum(axis=1)
+    for at in stretches(len(x), len(centres)):
+        far = size[None, :] - 2 * x[at] @ centres.T
+        out[at] = np.argmin(far, axis=1)[:, None] if n == 1 else np.argsort(far, axis=1, kind="stable")[:, :n]
+    return out
+
+
 def _block_scores(k: int, kind: str):
     """Arrow task over cells of (queries, vectors): the k best neighbours of each query in the cell."""
     import numpy as np
@@ -52,10 +73,10 @@ def _block_scores(k: int, kind: str):
         (q, some), (v, whole) = units(matrix(left.column("q"))), units(matrix(right.column("v")))
         asked, other = left.column("query_id").to_numpy(), right.column("neighbor_id").to_numpy()
         parts = []
-        for i in range(0, len(asked), 256):
-            ids = asked[i : i + 256]
-            score = q[i : i + 256] @ v.T
-            score[(ids[:, None] == other[None, :]) | ~some[i : i + 256, None] | ~whole[None, :]] = -np.inf
+        for at_once in stretches(len(asked), len(other)):
+            ids = asked[at_once]
+            score = q[at_once] @ v.T
+            score[(ids[:, None] == other[None, :]) | ~some[at_once, None] | ~whole[None, :]] = -np.inf
             # Only those that reach the k-th best score are sorted, ties by id.
             if k < score.shape[1]:
                 least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]

@@ -1,8 +1,11 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from leadspark.operators import vectors
-from leadspark.operators.quantised import ProductIndex
+from leadspark.operators.quantised import ProductIndex, _nearest_codes
 
 SF = "/root/testdata/sf0.01/embeddings.parquet"
 
@@ -56,6 +59,26 @@ def test_upkeep_equals_a_rebuilt_index(spark, tmp_path):
     assert same() and found(index.search(now, asked, 5, 40)) == before and index.store.read("changes", index.change_schema).count() == 0
 
 
+def test_a_cell_makes_few_scores_at_once():
+    """Queries against a full cell of codes take memory for a few of them at a time, and the best codes stay the same."""
+    rnd = np.random.default_rng(4)
+    n, many = 120_000, 50
+    centres = [rnd.standard_normal((16, 4)) for _ in range(2)]
+    q, code = rnd.standard_normal((64, 8)), rnd.integers(0, 16, (n, 2)).astype(np.uint8)
+    left = pa.table({"query_id": np.arange(64), "q": pa.array(list(q), pa.list_(pa.float64()))})
+    right = pa.table({"id": np.arange(n), "code": pa.array([c.tobytes() for c in code], pa.binary())})
+    tracemalloc.start()
+    got = _nearest_codes(centres, many)(left, right)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64 * n * 8
+    score = sum((q[:, 4 * s : 4 * s + 4] @ own.T)[:, code[:, s]] for s, own in enumerate(centres))
+    score[np.arange(64), np.arange(64)] = -np.inf
+    want = -np.sort(-score, axis=1)[:, :many]
+    found = np.array(got.column("estimate")).reshape(64, many)
+    assert np.allclose(-np.sort(-found, axis=1), want) and len(set(zip(got.column("query_id").to_pylist(), got.column("neighbor_id").to_pylist(), strict=True))) == 64 * many
+
+
 def test_rows_without_length_and_an_empty_table(spark, tmp_path):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, []), (4, None), (5, [2.0, 0.1])], "vec_id bigint, embedding array<float>")
     index = ProductIndex(spark, f"{tmp_path}/a").build(rows)

@@ -81,14 +81,27 @@ def parse(html: str) -> list[Element]:
     return out
 
 
-def _listed(tags: frozenset[str], classes: dict[str, re.Pattern]):
-    """Arrow task over pages: listed elements, and the first element inside each that has one of the classes."""
+#: Characters of elements that a task holds before it hands them on.
+PIECE = 1 << 21
+
+
+def _listed(tags: frozenset[str], classes: dict[str, re.Pattern], piece: int = PIECE):
+    """Arrow task over pages: listed elements, and the first element inside each that has one of the classes.
+
+    Pages are taken out of their batch one by one, and what was found is handed on in pieces: nested elements repeat the text they share.
+    """
+    kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.map_(pa.string(), pa.string())]
+
+    def made(ids, source, columns):
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(source, pa.int64())), *arrays], ["page", "pos", "tag", "attrs", "inner", "up", "depth", "inside"])
 
     def run(batches):
         for batch in batches:
-            source, columns = [], [[] for _ in range(7)]
-            for row, html in enumerate(batch.column(1).to_pylist()):
-                elements = parse(html or "")
+            held, source, columns = 0, [], [[] for _ in kinds]
+            for row in range(batch.num_rows):
+                html = batch.column(1)[row].as_py() or ""
+                elements = parse(html)
                 place = {i: n for n, i in enumerate(i for i, e in enumerate(elements) if e.tag in tags)}
                 marked = [(i, name) for i, e in enumerate(elements) for name, p in classes.items() for value in [_CLASS.search(e.attrs)] if value and p.search(value.group(1))]
                 inside: dict[int, dict[str, str]] = {}
@@ -105,9 +118,12 @@ def _listed(tags: frozenset[str], classes: dict[str, re.Pattern]):
                     source.append(row)
                     for c, value in zip(columns, (n, e.tag, e.attrs, html[e.begin : e.end], place.get(up), e.depth, list(inside.get(i, {}).items())), strict=True):
                         c.append(value)
-            kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.map_(pa.string(), pa.string())]
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source, pa.int64())), *arrays], ["page", "pos", "tag", "attrs", "inner", "up", "depth", "inside"])
+                    held += len(e.attrs) + e.end - e.begin + sum(map(len, inside.get(i, {}).values()))
+                    if held >= piece:
+                        yield made(batch.column(0), source, columns)
+                        held, source, columns = 0, [], [[] for _ in kinds]
+            yield made(batch.column(0), source, columns)
+            del batch
 
     return run
 

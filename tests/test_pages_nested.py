@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from leadspark.sources import pages
@@ -94,3 +95,13 @@ def test_card_in_a_card_and_nested_labels(spark):
     nested = pages.tokens(rows, ["div", "h3"]).orderBy("pos")
     assert [(r["tag"], r["up"], r["depth"]) for r in nested.collect()] == [("div", None, 0), ("h3", 0, 2), ("div", 0, 1), ("h3", 2, 2)]
     assert nested.where(F.col("page_id") > 1).count() == 0
+
+
+def test_elements_are_handed_on_in_pieces():
+    """Neither many pages nor elements nested in each other are held whole, and the pieces together have every element."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(301)), pa.array([f"<div>{'x' * 50_000}</div>"] * 300 + ["<div>" * 300 + "y" * 50_000])], ["page", "html"])
+    pieces = list(pages._listed(frozenset({"div"}), {})(iter([batch])))
+    assert max(p.nbytes for p in pieces) < 4_000_000
+    rows = [r for p in pieces for r in p.to_pylist()]
+    assert [(r["page"], r["pos"]) for r in rows] == [(i, 0) for i in range(300)] + [(300, i) for i in range(300)]
+    assert {r["inner"] for r in rows[:300]} == {"x" * 50_000} and [len(r["inner"]) for r in rows[300:]] == [50_000 + 5 * (299 - i) for i in range(300)]

@@ -122,7 +122,8 @@ class ClusterIndex:
     """Inverted lists around k-means centres of unit vectors.
 
     The fit sees at most ``fit_rows`` rows; every row is in a list. The number of lists grows with the root of
-    the rows. Lists are dealt to parts of bounded size, so a hot list is many cells; a query meets every part of its lists.
+    the rows. Lists are dealt to parts of bounded size, so a hot list is many cells; a query meets every part of its lists. Queries are dealt to
+    blocks, as most of them look into the same list where vectors have no clusters.
     """
 
     def __init__(self, vectors: DataFrame, lists: int | None = None, fit_rows: int = 50_000, seed: int = 7, id_col: str = "vec_id", vec: str = "embedding", rows_per_cell: int = 5_000) -> None:
@@ -142,23 +143,29 @@ class ClusterIndex:
         """Rows once for each of their ``n`` nearest lists."""
         centres = self.centres
 
-        def near(frames):
+        def near(batches):
             import numpy as np
+            import pyarrow as pa
 
-            for f in frames:
-                x = np.stack(f[c].to_numpy()) if len(f) else np.zeros((0, centres.shape[1]))
-                far = (centres**2).sum(axis=1)[None, :] - 2 * x @ centres.T
-                f["near"] = list(np.argsort(far, axis=1, kind="stable")[:, :n].astype("int64"))
-                yield f
+            for batch in batches:
+                # What is handed on at once has as many numbers as the scores it comes from.
+                for at in stretches(batch.num_rows, len(centres)):
+                    some = batch.slice(at.start, at.stop - at.start)
+                    found = nearest_centres(matrix(pa.chunked_array([some.column(c)])), centres, n)
+                    offsets = pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32())
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))], [*some.schema.names, "near"])
 
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", near array<bigint>"
-        return rows.mapInPandas(near, schema).withColumn("list", F.explode("near")).drop("near")
+        return rows.mapInArrow(near, schema).withColumn("list", F.explode("near")).drop("near")
 
-    def search(self, queries: DataFrame, k: int, probe: int = 3, vec: str = "embedding") -> DataFrame:
+    def search(self, queries: DataFrame, k: int, probe: int = 3, vec: str = "embedding", block: int = 16_384) -> DataFrame:
         """query_id, neighbor_id, similarity, rank from the ``probe`` nearest lists, scored exactly."""
         asked = queries.select(F.col(self.id_col).alias("query_id"), unit(vec).alias("q")).where("q is not null")
         asked = self._listed(asked, "q", probe).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(self.parts - 1).cast("bigint"))))
-        return _best_of_cells(asked, self.rows, ["list", "part"], k, self.kind)
+        across = max(1, -(-queries.count() // block))
+        asked = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(across)))
+        rows = self.rows.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(across - 1).cast("bigint"))))
+        return _best_of_cells(asked, rows, ["list", "part", "qb"], k, self.kind)
 
     def share_scanned(self, queries: DataFrame, probe: int, vec: str = "embedding") -> DataFrame:
         """One row: mean share of all vectors that a query with ``probe`` lists is scored against."""

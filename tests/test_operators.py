@@ -1,6 +1,9 @@
 import random
+import tracemalloc
 from datetime import date, datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,6 +200,35 @@ def test_vectors(spark):
     assert vectors.recall(vectors.ClusterIndex(data, 4).search(asked, 10, probe=4), exact).first()["recall"] == 1.0
 
 
+def test_lists_of_few_vectors_at_a_time(spark):
+    """Memory of a task follows the scores it makes at once, however many lists there are; queries in blocks find the same."""
+    data = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    asked, index = data.where("vec_id % 20 = 0"), vectors.ClusterIndex(data, lists=6)
+    key = lambda found: sorted((r["query_id"], r["neighbor_id"], r["rank"]) for r in found.collect())
+    assert key(index.search(asked, 5, probe=6, block=7)) == key(index.search(asked, 5, probe=6)) == key(vectors.nearest_each(data, asked, 5))
+
+    class Rows:
+        schema = spark.createDataFrame([], "id long, v array<double>").schema
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            self.run = run
+            return self
+
+        mapInPandas = mapInArrow  # noqa: N815
+        withColumn = drop = lambda self, *_: self  # noqa: N815
+
+    rnd, rows = np.random.default_rng(5), Rows()
+    index.centres, x = rnd.standard_normal((2000, 4)), rnd.standard_normal((6000, 4))
+    index._listed(rows, "v", 3)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6000)), pa.array(list(x), pa.list_(pa.float64()))], ["id", "v"])
+    tracemalloc.start()
+    got = [r for piece in rows.run(iter([batch])) for r in piece.select(["id", "near"]).to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 6000 * 2000 * 8 and [r["id"] for r in got] == list(range(6000))
+    assert all(r["near"] == np.argsort(((x[r["id"]] - index.centres) ** 2).sum(axis=1))[:3].tolist() for r in got[::100])
+
+
 def lead(spark, n=3):
     rows = [{"id": str(i), "source": "s", "title": f"T{i} <x>", "location": "L", "project_value": 1234567, "priority_score": 5 + 2 * i, "status": "new", "created_at": datetime(2024, 1, 1 + i), "estimated_crew_size": 3, "estimated_duration_months": 2, "contractor": "C", "applicant": "A"} for i in range(n)]
     return spark.createDataFrame(rows, schemas.LEAD)
